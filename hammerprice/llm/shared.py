@@ -56,6 +56,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def fields(found: pa.ListScalar, *names: str) -> list[pa.Array]:
+    """The named fields of one row's array of structs, as arrays."""
+    own = found.values
+    flat = dict(zip((f.name for f in own.type), own.flatten()))
+    return [flat[n] for n in names]
+
+
 def _mins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
