@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substring, suffix, token_files, toxicity
+from . import decontaminate, packing, simhash, substring, suffix, token_files, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_files.write_blocks(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_files.read_blocks(blocks)
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op7_token_files": op7_token_files,
         "op8_decontamination": op8_decontamination,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
