@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substring, suffix, token_files, toxicity, vectors
+from . import decontaminate, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
 
+#: Of the registered query; a real corpus has its own.
+PII_KEY = "a key for tests"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -49,6 +51,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_files.write_blocks(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_files.read_blocks(blocks)
@@ -61,6 +67,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", items, named, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY, found="found")
+    kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds")
+    return found.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), kinds)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,11 +85,13 @@ def queries() -> dict[str, Query]:
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op6_license_scan": op6_license_scan,
         "op7_token_files": op7_token_files,
         "op8_decontamination": op8_decontamination,
+        "op9_pii": op9_pii,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses.sql()}
