@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import merges, prices, series  # noqa: F401  they register their queries
+from .plans import merges, operations, prices, series, streams, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
