@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import _BASE, mixed
 from .shared import components, utf8, written
 
 #: A posting list of more fingerprints is split by further bits before it is searched.
@@ -181,9 +182,165 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the
-    smallest doc_id stays, with all its columns. Rows without a doc_id stay; of
+# Near copies of 0.8 similarity differ in about 15 % of their bits, too many for eight
+# bytes. Wide fingerprints have 24: of such a pair about six bytes agree, and two that
+# agree within one of three groups of eight positions are enough to meet.
+
+LANES = 3
+#: Positions of the bytes that a list is posted under.
+PAIRS = [(8 * g + i, 8 * g + j) for g in range(LANES) for i, j in combinations(range(8), 2)]
+#: Differing bits of 192 up to which two texts count as similar by 0.8: the expected
+#: number (29) and one and a half standard deviations.
+WIDE_BITS = 36
+#: In lists up to this size all pairs are compared at once.
+SHORT = 32
+
+
+def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
+    """192-bit SimHash (three uint64) of the set of ``width``-word shingles of a text."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(LANES, np.uint64)
+    n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    ones = np.zeros(64 * LANES, np.int64)
+    for i in range(0, len(hashes), PIECE):
+        piece = hashes[i : i + PIECE]
+        lanes = np.stack([piece, *(mixed(piece + np.uint64(k * _BASE % (1 << 64))) for k in range(1, LANES))], axis=1)
+        ones += np.unpackbits(lanes.view(np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+_WIDE = "f0 bigint, f1 bigint, f2 bigint"
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(LANES))], ["doc_id", "f0", "f1", "f2"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, f"doc_id bigint, {_WIDE}")
+
+
+def _lanes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(f"f{k}").to_numpy(zero_copy_only=False) for k in range(LANES)], axis=1)
+
+
+def _wide_post(fps: DataFrame, again: bool = False) -> DataFrame:
+    """(key, fingerprint) under every pair of byte positions; ``again``: within the lists ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = _lanes(batch)
+            octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * LANES).astype(np.int64)
+            for nth, (i, j) in enumerate(PAIRS):
+                key = nth << 16 | octets[:, i] << 8 | octets[:, j]
+                if again:
+                    old = batch.column("key").to_numpy(zero_copy_only=False)
+                    some = np.flatnonzero(old >> 16 < nth)  # each further pair of positions once
+                    key, own = (mixed((old[some] << 32 | key[some]).view(np.uint64)) | np.uint64(1 << 63)).view(np.int64), fps[some]
+                else:
+                    own = fps
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(own[:, k]) for k in range(LANES))], ["key", "f0", "f1", "f2"])
+
+    return fps.mapInArrow(run, f"key bigint, {_WIDE}")
+
+
+def wide_forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links (places in ``fps``) that join its rows as all links of at most ``bits`` bits do."""
+    links, rest, frontier = [], np.arange(len(fps)), []
+    while rest.size:
+        if not frontier:
+            frontier.append(int(rest[0]))
+            rest = rest[1:]
+        at = frontier.pop()
+        near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1) <= bits
+        found = rest[near].tolist()
+        links += [(at, x) for x in found]
+        frontier += found
+        rest = rest[~near]
+    return links
+
+
+def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked places in sorted lists, at most ``SHORT`` apart; a pair only in the first list it shares."""
+    octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * LANES)
+    first, second = (np.array(x) for x in zip(*PAIRS))
+    for d in range(1, SHORT):
+        i = np.flatnonzero(keys[d:] == keys[:-d])
+        if not len(i):
+            return
+        i = i[np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1) <= bits]
+        if len(i):
+            same = octets[i] == octets[i + d]
+            at = (same[:, first] & same[:, second]).argmax(axis=1)
+            i = i[(at == keys[i] >> 16) | (keys[i] < 0)]
+            yield i, i + d
+
+
+def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
+    """kind 0: linked fingerprints (f: one, g: the other); kind 1: the members of lists over ``limit``, under ``key``."""
+    names = ["kind", "key", *(f"f{k}" for k in range(LANES)), *(f"g{k}" for k in range(LANES))]
+
+    def rows(kind: int, key: np.ndarray, f: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(key), kind, np.int32), key, *(x[:, k].view(np.int64) for x in (f, g) for k in range(LANES))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.diff(keys)) + 1
+            lo, size = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(keys)])))
+            short = np.repeat(size <= SHORT, size) & np.repeat(size > 1, size)
+            k, f = keys[short], fps[short]
+            for a, b in _near_pairs(k, f, bits):
+                yield rows(0, k[a], f[a], f[b])
+            for at, n in zip(lo[size > SHORT].tolist(), size[size > SHORT].tolist()):
+                own = np.unique(fps[at : at + n], axis=0)
+                if limit and len(own) > limit:
+                    yield rows(1, np.full(len(own), keys[at]), own, own)
+                elif found := np.array(wide_forest(own, bits), np.int64).reshape(-1, 2).tolist():
+                    a, b = np.array(found).T
+                    yield rows(0, np.full(len(a), keys[at]), own[a], own[b])
+
+        keys, fps = np.empty(0, np.int64), np.empty((0, LANES), np.uint64)
+        for batch in batches:
+            keys = np.concatenate((keys, batch.column("key").to_numpy(zero_copy_only=False)))
+            fps = np.concatenate((fps, _lanes(batch).view(np.uint64)))
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if whole:
+                yield from solve(keys[:whole], fps[:whole])
+                keys, fps = keys[whole:], fps[whole:]
+        if len(keys):
+            yield from solve(keys, fps)
+
+    schema = f"kind int, key bigint, {_WIDE}, g0 bigint, g1 bigint, g2 bigint"
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def similar(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row of ``docs`` (doc_id, text): texts whose sets of
+    ``width``-word shingles are similar by about 0.8 or more, judged by ``bits`` of 192, link.
+    Null and empty texts link with each other; ids as in ``near_duplicates``."""
+    lanes = [f"f{k}" for k in range(LANES)]
+    fps = written(wide_fingerprints(docs, width), "fingerprints")
+    classes = fps.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
+    found = written(_wide_linked(_wide_post(classes.select(*lanes)), bits, LIST_LIMIT), "links")
+    crowded = found.where("kind = 1").select("key", *lanes)
+    again = _wide_linked(_wide_post(crowded, again=True), bits, None)
+    both = found.where("kind = 0").union(again)
+    node = F.xxhash64(*lanes)
+    edges = both.select(node.alias("a"), F.xxhash64("g0", "g1", "g2").alias("b")).distinct()
+    named = classes.withColumn("node", node).join(components(edges), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = written(named.join(written(least, "least"), "group").select(*lanes, "component_id"), "classes")
+    return fps.join(named, lanes).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of ``similar`` texts the row with
+    the smallest doc_id stays, with all its columns. Rows without a doc_id stay; of
     repeated rows with that smallest doc_id all stay."""
-    gone = near_duplicates(docs, width, bits).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = similar(docs, width, bits).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
