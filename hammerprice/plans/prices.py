@@ -44,9 +44,9 @@ def price_summary_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.summary(sales(spark, sf_dir), ["brand"], "price")
 
 
-@query(f"WITH {SALES} SELECT brand, " + ", ".join(f"{m(f'quantile_cont(price, {p / 100})')} AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM sales GROUP BY brand")
+@query(f"WITH {SALES} SELECT brand, " + ", ".join(f"floor(quantile_cont(price, {p / 100}) * 10000 + 0.5) / 10000 AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM sales GROUP BY brand")
 def percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = [money(F.percentile("price", F.lit(p / 100))).alias(f"p{p}") for p in (5, 25, 50, 75, 95)]
+    bands = [(F.floor(F.percentile("price", F.lit(p / 100)) * 10000 + 0.5) / 10000).alias(f"p{p}") for p in (5, 25, 50, 75, 95)]
     return sales(spark, sf_dir).groupBy("brand").agg(*bands)
 
 
