@@ -11,15 +11,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Entries of one generation of a memo; two generations are kept.
-MEMO = 150_000
+MEMO = 400_000
 #: Characters with which a text goes to the library whole: white space but blank and
 #: line feed, controls, everything from U+0250, digits that aren't decimal ones, and
 #: what may be a special token.
 _CARE = re.compile("[^\n\x20-\x7e¡-ɏ]|[²³¹¼-¾]|<\\|")
+#: White space that isn't a single blank or line feed between two words.
+_LOOSE = re.compile("[ \n][ \n]|^[ \n]|[ \n]\\Z").search
 _ENDS = "'s|'t|'re|'ve|'m|'ll|'d|"
 
 
@@ -56,24 +59,27 @@ class Encoder:
         self.folds = any(p["type"] == "Lowercase" for p in parts)
         drops = spec["pre_tokenizer"]["type"] == "Sequence"
         self.known = (drops and self.folds) or (spec["pre_tokenizer"]["type"] == "ByteLevel" and not parts and not spec["pre_tokenizer"]["add_prefix_space"])
+        self.drops = drops
         if drops:  # white space is dropped: words between it, then letters, digits, others
-            self.chunks = re.compile(r"[^ \n]+").findall
             self.pieces = re.compile(_ENDS + r"[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
         else:  # a blank belongs to the word that follows
-            self.chunks = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|\n").findall
+            self.chunks = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|\n").findall
             self.pieces = re.compile(_ENDS + r" ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
-        self.by_piece = _Memo(self._piece)
         self.by_chunk = _Memo(self._chunk)
+        self.by_word = _Memo(lambda word: self._chunk(" " + word))  # words after a blank
 
     def _piece(self, piece: str) -> bytes:
         units = piece.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.by_piece[p] for p in self.pieces(chunk.lower() if self.folds else chunk)])
+        pieces = self.pieces(chunk.lower() if self.folds else chunk)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return b"".join([self.by_word[p[1:]] if p[0] == " " and len(p) > 1 else self.by_chunk[p] for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -81,7 +87,17 @@ class Encoder:
         if not self.known or _CARE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         memo = self.by_chunk
-        return b"".join([memo[c] for c in self.chunks(text)])
+        if self.drops:
+            return b"".join([memo[c] for c in text.split()])
+        if _LOOSE(text):
+            return b"".join([memo[c] for c in self.chunks(text)])
+        after, out = self.by_word, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(memo["\n"])
+            out.append(memo[first])
+            out += [after[w] for w in rest]
+        return b"".join(out[1:])
 
 
 _OPEN: dict[str, Encoder] = {}
