@@ -93,7 +93,3 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.sql()}

@@ -13,6 +13,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hammerprice.llm import anchors, decontaminate, licenses, packing, pii, simhash, substring, suffix, token_files, tokens, toxicity, vectors
+from hammerprice.llm import oracle_sql
+from hammerprice.llm import queries as registered
 from hammerprice.llm.queries import vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -344,3 +346,14 @@ def test_pipeline(spark):
         before = after
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert packed == before
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for f in Path(SMALL).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df, cursor = registered()[name](spark, SMALL), con.execute(oracle_sql()[name])
+    columns, names = sorted(df.columns), [d[0] for d in cursor.description]
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
