@@ -264,19 +264,22 @@ def wide_forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def _first_shared(f: np.ndarray, g: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the list ``keys`` is the first that fingerprints f and g are both posted in (always, in lists posted again)."""
+    same = np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8 * LANES) == np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8 * LANES)
+    first, second = (np.array(x) for x in zip(*PAIRS))
+    return ((same[:, first] & same[:, second]).argmax(axis=1) == keys >> 16) | (keys < 0)
+
+
 def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked places in sorted lists, at most ``SHORT`` apart; a pair only in the first list it shares."""
-    octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * LANES)
-    first, second = (np.array(x) for x in zip(*PAIRS))
     for d in range(1, SHORT):
         i = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(i):
             return
         i = i[np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1) <= bits]
+        i = i[_first_shared(fps[i], fps[i + d], keys[i])]
         if len(i):
-            same = octets[i] == octets[i + d]
-            at = (same[:, first] & same[:, second]).argmax(axis=1)
-            i = i[(at == keys[i] >> 16) | (keys[i] < 0)]
             yield i, i + d
 
 
@@ -300,9 +303,11 @@ def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame
                 own = np.unique(fps[at : at + n], axis=0)
                 if limit and len(own) > limit:
                     yield rows(1, np.full(len(own), keys[at]), own, own)
-                elif found := np.array(wide_forest(own, bits), np.int64).reshape(-1, 2).tolist():
-                    a, b = np.array(found).T
-                    yield rows(0, np.full(len(a), keys[at]), own[a], own[b])
+                    continue
+                # A link whose ends share an earlier list is left to the forest of that list.
+                a, b = np.array(wide_forest(own, bits), np.int64).reshape(-1, 2).T
+                new = _first_shared(own[a], own[b], keys[at : at + 1])
+                yield rows(0, np.full(int(new.sum()), keys[at]), own[a[new]], own[b[new]])
 
         keys, fps = np.empty(0, np.int64), np.empty((0, LANES), np.uint64)
         for batch in batches:
