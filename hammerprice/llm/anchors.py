@@ -157,11 +157,13 @@ def shared_contexts(all_runs: DataFrame, name: str) -> tuple[DataFrame, DataFram
     n, first (smallest place), again (whether there is another place), contexts (how
     many the anchor has). Counts are summed before each shuffle."""
     often = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    often = written(often, f"{name}-often")  # a plain table: large partitions of the joins can then be split
     met = written(all_runs.join(often, "anchor"), f"{name}-shared")
     place = F.struct("doc", "at")
     each = met.groupBy("anchor", "context").agg(F.min("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     each = written(each.select("anchor", "context", "n", "first", (F.col("first") != F.col("last")).alias("again")), f"{name}-contexts")
     many = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
+    many = written(many, f"{name}-many")
     return met, each.join(many, "anchor")
 
 

@@ -22,7 +22,7 @@ from .anchors import CHUNK, Rolling, index, mixed, shared_contexts, with_texts
 from .shared import fields, utf8, written
 
 #: Bytes of an anchor.
-GRAM = 64
+GRAM = 240
 #: An anchor with more contexts is merged across shards.
 CROWD = 1_000
 #: Symbols of one suffix array, unless a single anchor has more.
@@ -185,9 +185,11 @@ def _by_hashes(contexts: DataFrame, width: int) -> DataFrame:
                 hashes = Rolling(byte_values(text))(start, start + width)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(n, doc)), pa.array(at + start), pa.array(np.full(n, lone))], ["hash", "doc", "at", "lone"])
 
-    windows = written(contexts.select("doc", "at", "n", "lone", "bytes").mapInArrow(run, "hash bigint, doc bigint, at bigint, lone boolean"), "crowd")
+    spread = contexts.select("doc", "at", "n", "lone", "bytes").repartition("doc", "at")  # evenly, whatever their anchors
+    windows = written(spread.mapInArrow(run, "hash bigint, doc bigint, at bigint, lone boolean"), "crowd")
     place = F.struct("doc", "at")
     often = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("hash")
+    often = written(often, "crowd-often")
     return windows.where("lone").join(often, "hash").select("doc", "at", F.lit(1).alias("n"))
 
 
