@@ -60,6 +60,7 @@ def repeats(docs: DataFrame, width: int) -> DataFrame:
     single = written(_windows(with_texts(docs, edges, "at", "n"), width), "windows")
     place = F.struct("doc", "at")
     firsts = single.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    firsts = written(firsts.select("hash", "first"), "firsts")
     later = single.join(firsts, "hash").where(place != F.col("first"))
     later = later.select("doc", "at", F.lit(1).alias("n"), F.col("first.doc").alias("source_doc"), F.col("first.at").alias("source_at"))
     return inside.union(later)
