@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import utf8
+from .shared import small, utf8
 
 #: Test items are met in blocks of so many words, each broadcast by itself; no bound on their number.
 BLOCK_WORDS = 1_000_000
@@ -145,7 +145,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, found array<struct<item_id:string,item_word:bigint,word:bigint,words:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             texts = [words_of(t) for t in utf8(batch.column(1))]
             sizes = np.array([len(t) for t in texts], np.int64)
             starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1] if len(sizes) else sizes
@@ -181,14 +181,17 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFr
 
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            own = [words_of((t or "").encode()) for t in series]
-            kept = np.ones(len(own), bool)
-            ends = np.cumsum([len(t) + 1 for t in own])
-            for each in blocks:
-                get = each.value.ids.get
-                ids = np.array([x for t in own for x in (*(get(w, -1) for w in t), -1)], np.int64)
-                kept[np.searchsorted(ends, each.value.matches(ids)[0], side="right")] = False
-            yield pd.Series(kept)
+            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
+            yield pd.Series(np.concatenate([np.zeros(0, bool), *(kept(part) for part in small(iter([batch]), 0))]))
+
+    def kept(part: pa.RecordBatch) -> np.ndarray:
+        own = [words_of(t) for t in utf8(part.column(0))]
+        out = np.ones(len(own), bool)
+        ends = np.cumsum([len(t) + 1 for t in own])
+        for each in blocks:
+            get = each.value.ids.get
+            ids = np.fromiter((x for t in own for x in (*(get(w, -1) for w in t), -1)), np.int64, int(ends[-1]))
+            out[np.searchsorted(ends, each.value.matches(ids)[0], side="right")] = False
+        return out
 
     return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
-

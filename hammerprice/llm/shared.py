@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,18 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of the column ``text``: words as
+    Python objects take ten times as much."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield batch.slice(i, j - i)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()
