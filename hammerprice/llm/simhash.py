@@ -228,8 +228,12 @@ def _lanes(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(f"f{k}").to_numpy(zero_copy_only=False) for k in range(LANES)], axis=1)
 
 
-def _wide_post(fps: DataFrame, again: bool = False) -> DataFrame:
-    """(key, fingerprint) under every pair of byte positions; ``again``: within the lists ``key``."""
+#: Bits of a list's key; above them stand the two parts that meet, if the list is crowded.
+_LIST = 23
+
+
+def _wide_post(fps: DataFrame) -> DataFrame:
+    """(key, fingerprint) under every pair of byte positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,17 +241,20 @@ def _wide_post(fps: DataFrame, again: bool = False) -> DataFrame:
             octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * LANES).astype(np.int64)
             for nth, (i, j) in enumerate(PAIRS):
                 key = nth << 16 | octets[:, i] << 8 | octets[:, j]
-                if again:
-                    old = batch.column("key").to_numpy(zero_copy_only=False)
-                    some = np.flatnonzero(old >> 16 < nth)  # each further pair of positions once
-                    key, own = (mixed((old[some] << 32 | key[some]).view(np.uint64)) | np.uint64(1 << 63)).view(np.int64), fps[some]
-                else:
-                    own = fps
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(own[:, k]) for k in range(LANES))], ["key", "f0", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fps[:, k]) for k in range(LANES))], ["key", "f0", "f1", "f2"])
 
     return fps.mapInArrow(run, f"key bigint, {_WIDE}")
 
 
+def _meetings(crowded: DataFrame) -> DataFrame:
+    """Members of crowded lists (key, fingerprint, parts), dealt into parts of which each two
+    meet under a key of their own. Every two members meet, those of one part many times."""
+    part = F.pmod(F.xxhash64("f0", "f1", "f2"), "parts").cast("bigint")
+    dealt = crowded.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).where("part != other")
+    meeting = F.shiftleft(F.shiftleft(F.least("part", "other"), 20).bitwiseOR(F.greatest("part", "other")), _LIST)
+    return dealt.select(meeting.bitwiseOR(F.col("key")).alias("key"), "f0", "f1", "f2")
+
+
 def wide_forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links (places in ``fps``) that join its rows as all links of at most ``bits`` bits do."""
     links, rest, frontier = [], np.arange(len(fps)), []
@@ -265,10 +272,10 @@ def wide_forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _first_shared(f: np.ndarray, g: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the list ``keys`` is the first that fingerprints f and g are both posted in (always, in lists posted again)."""
+    """Whether the list ``keys`` is the first that fingerprints f and g are both posted in."""
     same = np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8 * LANES) == np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8 * LANES)
     first, second = (np.array(x) for x in zip(*PAIRS))
-    return ((same[:, first] & same[:, second]).argmax(axis=1) == keys >> 16) | (keys < 0)
+    return (same[:, first] & same[:, second]).argmax(axis=1) == (keys & (1 << _LIST) - 1) >> 16
 
 
 def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -284,7 +291,7 @@ def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[
 
 
 def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
-    """kind 0: linked fingerprints (f: one, g: the other); kind 1: the members of lists over ``limit``, under ``key``."""
+    """kind 0: linked fingerprints (f: one, g: the other); others: the members of lists over ``limit``, under ``key``; kind is the number of parts to deal them into."""
     names = ["kind", "key", *(f"f{k}" for k in range(LANES)), *(f"g{k}" for k in range(LANES))]
 
     def rows(kind: int, key: np.ndarray, f: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
@@ -302,7 +309,7 @@ def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame
             for at, n in zip(lo[size > SHORT].tolist(), size[size > SHORT].tolist()):
                 own = np.unique(fps[at : at + n], axis=0)
                 if limit and len(own) > limit:
-                    yield rows(1, np.full(len(own), keys[at]), own, own)
+                    yield rows(max(2, -(-len(own) // max(1, limit // 2))), np.full(len(own), keys[at]), own, own)
                     continue
                 # A link whose ends share an earlier list is left to the forest of that list.
                 a, b = np.array(wide_forest(own, bits), np.int64).reshape(-1, 2).T
@@ -332,8 +339,8 @@ def similar(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS) -> DataFrame
     fps = written(wide_fingerprints(docs, width), "fingerprints")
     classes = fps.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
     found = written(_wide_linked(_wide_post(classes.select(*lanes)), bits, LIST_LIMIT), "links")
-    crowded = found.where("kind = 1").select("key", *lanes)
-    again = _wide_linked(_wide_post(crowded, again=True), bits, None)
+    crowded = found.where("kind > 0").select("key", F.col("kind").alias("parts"), *lanes)
+    again = _wide_linked(_meetings(crowded), bits, None)
     both = found.where("kind = 0").union(again)
     node = F.xxhash64(*lanes)
     edges = both.select(node.alias("a"), F.xxhash64("g0", "g1", "g2").alias("b")).distinct()

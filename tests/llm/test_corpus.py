@@ -323,6 +323,26 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(50, 70)] and kept.columns == df.columns
 
 
+def test_crowded_lists_lose_no_copy(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(200)]
+        for _ in range(4):
+            x = [*base]
+            for at in r.sample(range(200), 3):
+                x[at] = "changed"
+            rows.append((len(rows), " ".join(x)))
+    found = []
+    for limit in (None, 40, 2):
+        monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
+        monkeypatch.setattr(simhash, "SHORT", 1)
+        found.append({r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()})
+    assert len(set(found[0].values())) < 150
+    assert found[1] == found[0] and found[2] == found[0]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     path = vocabulary("byte_bpe_50k.json")
