@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _BASE, mixed
-from .shared import components, utf8, written
+from .shared import components, small, utf8, written
 
 #: A posting list of more fingerprints is split by further bits before it is searched.
 LIST_LIMIT = 20_000
@@ -183,27 +183,34 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
 
 
 # Near copies of 0.8 similarity differ in about 15 % of their bits, too many for eight
-# bytes. Wide fingerprints have 24: of such a pair about six bytes agree, and two that
-# agree within one of three groups of eight positions are enough to meet.
+# bytes. Wide fingerprints have five lanes of eight; two bytes that agree within one lane
+# are enough to meet, and two other lanes tell whether to look at the texts. What links
+# is decided by the shingles themselves.
 
-LANES = 3
-#: Positions of the bytes that a list is posted under.
+LANES = 5
+#: Positions of the bytes that a list is posted under, lane by lane.
 PAIRS = [(8 * g + i, 8 * g + j) for g in range(LANES) for i, j in combinations(range(8), 2)]
-#: Differing bits of 192 up to which two texts count as similar by 0.8: the expected
-#: number (29) and one and a half standard deviations.
+#: Differing bits of the two lanes (128 bits) up to which texts are compared: the number
+#: expected at 0.8 (19) and four standard deviations.
 WIDE_BITS = 36
 #: In lists up to this size all pairs are compared at once.
 SHORT = 32
+#: A longer list gives all its pairs unless they are more than so many a member.
+DENSE = 16
+#: Up to so many ids of texts to compare are sent to all tasks; more meet by a shuffle.
+SENT = 1 << 20
 
 
-def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
-    """192-bit SimHash (three uint64) of the set of ``width``-word shingles of a text."""
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted XXH64 values (seed 42) of the set of ``width``-word shingles of a text; none without words."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(LANES, np.uint64)
-    n = max(1, len(words) - width + 1)
+    n = max(1, len(words) - width + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """320-bit SimHash (five uint64) of a set of shingles."""
     ones = np.zeros(64 * LANES, np.int64)
     for i in range(0, len(hashes), PIECE):
         piece = hashes[i : i + PIECE]
@@ -212,147 +219,232 @@ def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-_WIDE = "f0 bigint, f1 bigint, f2 bigint"
+def _node(hashes: np.ndarray) -> int:
+    """The number of a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([wide_fingerprint(t, width) for t in utf8(batch.column(1))], np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(LANES))], ["doc_id", "f0", "f1", "f2"])
+_WIDE = [f"f{k}" for k in range(LANES)]
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, f"doc_id bigint, {_WIDE}")
 
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``doc_id``, ``node`` (the set of shingles) and its fingerprint, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            sets = [shingles(t, width) for t in utf8(batch.column(1))]
+            fps = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, LANES).view(np.int64)
+            nodes = np.array([_node(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *(pa.array(fps[:, k]) for k in range(LANES))], ["doc_id", "node", *_WIDE])
 
-def _lanes(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(f"f{k}").to_numpy(zero_copy_only=False) for k in range(LANES)], axis=1)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, node bigint, " + ", ".join(f"{f} bigint" for f in _WIDE))
 
 
 #: Bits of a list's key; above them stand the two parts that meet, if the list is crowded.
-_LIST = 23
+_LIST = 24
 
 
-def _wide_post(fps: DataFrame) -> DataFrame:
-    """(key, fingerprint) under every pair of byte positions."""
+def _wide_post(classes: DataFrame) -> DataFrame:
+    """key, node and the two lanes after the key's own, under every pair of byte positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = _lanes(batch)
-            octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * LANES).astype(np.int64)
+            fps = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in _WIDE], axis=1)
+            octets = fps.view(np.uint8).reshape(-1, 8 * LANES).astype(np.int64)
             for nth, (i, j) in enumerate(PAIRS):
                 key = nth << 16 | octets[:, i] << 8 | octets[:, j]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fps[:, k]) for k in range(LANES))], ["key", "f0", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), *(pa.array(fps[:, (i // 8 + k) % LANES]) for k in (1, 2))], ["key", "node", "f", "g"])
 
-    return fps.mapInArrow(run, f"key bigint, {_WIDE}")
+    return classes.select("node", *_WIDE).mapInArrow(run, "key bigint, node bigint, f bigint, g bigint")
 
 
 def _meetings(crowded: DataFrame) -> DataFrame:
-    """Members of crowded lists (key, fingerprint, parts), dealt into parts of which each two
+    """Members of crowded lists (key, node, f, g, parts), dealt into parts of which each two
     meet under a key of their own. Every two members meet, those of one part many times."""
-    part = F.pmod(F.xxhash64("f0", "f1", "f2"), "parts").cast("bigint")
+    part = F.pmod(F.xxhash64("node"), "parts").cast("bigint")
     dealt = crowded.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).where("part != other")
     meeting = F.shiftleft(F.shiftleft(F.least("part", "other"), 20).bitwiseOR(F.greatest("part", "other")), _LIST)
-    return dealt.select(meeting.bitwiseOR(F.col("key")).alias("key"), "f0", "f1", "f2")
-
-
-def wide_forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links (places in ``fps``) that join its rows as all links of at most ``bits`` bits do."""
-    links, rest, frontier = [], np.arange(len(fps)), []
-    while rest.size:
-        if not frontier:
-            frontier.append(int(rest[0]))
-            rest = rest[1:]
-        at = frontier.pop()
-        near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1) <= bits
-        found = rest[near].tolist()
-        links += [(at, x) for x in found]
-        frontier += found
-        rest = rest[~near]
-    return links
-
-
-def _first_shared(f: np.ndarray, g: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the list ``keys`` is the first that fingerprints f and g are both posted in."""
-    same = np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8 * LANES) == np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8 * LANES)
-    first, second = (np.array(x) for x in zip(*PAIRS))
-    return (same[:, first] & same[:, second]).argmax(axis=1) == (keys & (1 << _LIST) - 1) >> 16
+    return dealt.select(meeting.bitwiseOR(F.col("key")).alias("key"), "node", "f", "g")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of two lanes."""
+    return np.bitwise_count(x[..., 0] ^ y[..., 0]) + np.bitwise_count(x[..., 1] ^ y[..., 1])
+
+
+def wide_forest(fps: np.ndarray, bits: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The shortest links (places in ``fps``) that join its rows as all links of at most
+    ``bits`` bits do, and the tree of each row."""
+    n = len(fps)
+    rest, source, tree = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    near = np.full(n, 255, np.uint8)
+    links, at, m = [], 0, n
+    while True:
+        k = int(near[:m].argmin())
+        at = int(rest[k])
+        if near[k] <= bits:
+            links.append((int(source[k]), at))
+            tree[at] = tree[source[k]]
+        else:
+            tree[at] = at
+        m -= 1
+        rest[k], near[k], source[k] = rest[m], near[m], source[m]
+        if not m:
+            return links, tree
+        d = _apart(fps[rest[:m]], fps[at])
+        less = d < near[:m]
+        near[:m][less] = d[less]
+        source[:m][less] = at
 
 
 def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked places in sorted lists, at most ``SHORT`` apart; a pair only in the first list it shares."""
+    """Places of at most ``bits`` differing bits in sorted lists, at most ``SHORT`` apart."""
     for d in range(1, SHORT):
         i = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(i):
             return
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1) <= bits]
-        i = i[_first_shared(fps[i], fps[i + d], keys[i])]
+        i = i[_apart(fps[i], fps[i + d]) <= bits]
         if len(i):
             yield i, i + d
 
 
+def _tiles(fps: np.ndarray, bits: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of at most ``bits`` differing bits (and different ``apart``), tile by tile."""
+    step = max(1, (1 << 20) // len(fps))
+    for at in range(0, len(fps), step):
+        near = _apart(fps[at : at + step, None], fps[None, at:]) <= bits
+        if apart is not None:
+            near &= apart[at : at + step, None] != apart[None, at:]
+        i, j = np.nonzero(near)
+        i, j = i[i < j] + at, j[i < j] + at
+        yield i, j
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted lists, many whole lists at a time (first column: their key)."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, new)] if held else new
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last list may go on
+        if whole:
+            yield [c[:whole] for c in held]
+            held = [c[whole:] for c in held]
+    if held and len(held[0]):
+        yield held
+
+
+def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.diff(keys)) + 1
+    return np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(keys)])))
+
+
 def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
-    """kind 0: linked fingerprints (f: one, g: the other); others: the members of lists over ``limit``, under ``key``; kind is the number of parts to deal them into."""
-    names = ["kind", "key", *(f"f{k}" for k in range(LANES)), *(f"g{k}" for k in range(LANES))]
+    """kind 0: nodes ``a``, ``b`` to compare. kind 1: a node ``a`` of a dense list's tree
+    ``key``, of whose pairs only the shortest were given. Others: the members ``a`` of lists over
+    ``limit``, under ``key``; kind is the number of parts to deal them into."""
 
-    def rows(kind: int, key: np.ndarray, f: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-        columns = [np.full(len(key), kind, np.int32), key, *(x[:, k].view(np.int64) for x in (f, g) for k in range(LANES))]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+    def rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(a), kind, np.int32), key, a, b, *(np.ascontiguousarray(fps[:, k]).view(np.int64) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a", "b", "f", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            lo, size = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(keys)])))
-            short = np.repeat(size <= SHORT, size) & np.repeat(size > 1, size)
-            k, f = keys[short], fps[short]
-            for a, b in _near_pairs(k, f, bits):
-                yield rows(0, k[a], f[a], f[b])
+        for keys, nodes, f, g in _lists(batches):
+            fps = np.stack([f, g], axis=1).view(np.uint64)
+            lo, size = _bounds(keys)
+            short = np.repeat((size <= SHORT) & (size > 1), size)
+            k, own = nodes[short], fps[short]
+            for i, j in _near_pairs(keys[short], own, bits):
+                yield rows(0, keys[short][i], k[i], k[j], np.zeros((len(i), 2), np.uint64))
             for at, n in zip(lo[size > SHORT].tolist(), size[size > SHORT].tolist()):
-                own = np.unique(fps[at : at + n], axis=0)
-                if limit and len(own) > limit:
-                    yield rows(max(2, -(-len(own) // max(1, limit // 2))), np.full(len(own), keys[at]), own, own)
+                key, node, own = keys[at : at + n], nodes[at : at + n], fps[at : at + n]
+                if limit and n > limit:
+                    yield rows(max(2, -(-n // max(1, limit // 2))), key, node, node, own)
+                    continue
+                found, total = [], 0
+                for i, j in _tiles(own, bits):
+                    found.append((i, j))
+                    total += len(i)
+                    if total > DENSE * n:
+                        break
+                if total <= DENSE * n:
+                    i, j = (np.concatenate(x) for x in zip(*found))
+                    yield rows(0, key[i], node[i], node[j], np.zeros((len(i), 2), np.uint64))
                     continue
-                # A link whose ends share an earlier list is left to the forest of that list.
-                a, b = np.array(wide_forest(own, bits), np.int64).reshape(-1, 2).T
-                new = _first_shared(own[a], own[b], keys[at : at + 1])
-                yield rows(0, np.full(int(new.sum()), keys[at]), own[a[new]], own[b[new]])
+                links, tree = wide_forest(own, bits)
+                i, j = np.array(links, np.int64).reshape(-1, 2).T
+                yield rows(0, key[i], node[i], node[j], np.zeros((len(i), 2), np.uint64))
+                some = np.bincount(tree, minlength=n)[tree] > 2  # of two nodes the only pair is given
+                name = mixed(mixed(key[some].view(np.uint64)) ^ node[tree[some]].view(np.uint64)).view(np.int64)
+                yield rows(1, name, node[some], node[some], own[some])
 
-        keys, fps = np.empty(0, np.int64), np.empty((0, LANES), np.uint64)
-        for batch in batches:
-            keys = np.concatenate((keys, batch.column("key").to_numpy(zero_copy_only=False)))
-            fps = np.concatenate((fps, _lanes(batch).view(np.uint64)))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if whole:
-                yield from solve(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield from solve(keys, fps)
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, key bigint, a bigint, b bigint, f bigint, g bigint")
 
-    schema = f"kind int, key bigint, {_WIDE}, g0 bigint, g1 bigint, g2 bigint"
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
+def _across(trees: DataFrame, bits: int) -> DataFrame:
+    """All pairs ``a``, ``b`` of at most ``bits`` bits within trees (key, node, f, g, component) whose components differ."""
 
-def similar(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, f, g, component in _lists(batches):
+            fps = np.stack([f, g], axis=1).view(np.uint64)
+            for at, n in zip(*(x.tolist() for x in _bounds(keys))):
+                own = slice(at, at + n)
+                for i, j in _tiles(fps[own], bits, component[own]):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][i]), pa.array(nodes[own][j])], ["a", "b"])
+
+    return trees.select("key", "node", "f", "g", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of the pairs ``a``, ``b`` of nodes those whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    none = F.lit((1 << 63) - 1)
+    wanted = written(classes.join(nodes, "node", "left_semi").select(F.coalesce("least", none).alias("id")).distinct(), "wanted")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 0):
+            found = [shingles(t, width) for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in found], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "own"])
+
+    own = written(texts.select("text").mapInArrow(sets, "node bigint, own array<bigint>"), "shingles").dropDuplicates(["node"])
+    first = written(pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a"), "pairs")
+    both = first.join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("all"))
+    return written(both.where(F.col("shared") >= F.lit(similarity) * (F.col("all") - F.col("shared"))).select("a", "b"), "links")
+
+
+def similar(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row of ``docs`` (doc_id, text): texts whose sets of
-    ``width``-word shingles are similar by about 0.8 or more, judged by ``bits`` of 192, link.
-    Null and empty texts link with each other; ids as in ``near_duplicates``."""
-    lanes = [f"f{k}" for k in range(LANES)]
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more link. Pairs
+    are found by wide fingerprints of at most ``bits`` of 128 differing bits and then decided by
+    their sets (of 64-bit hashes). Texts without words link with each other; ids as in ``near_duplicates``."""
     fps = written(wide_fingerprints(docs, width), "fingerprints")
-    classes = fps.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
-    found = written(_wide_linked(_wide_post(classes.select(*lanes)), bits, LIST_LIMIT), "links")
-    crowded = found.where("kind > 0").select("key", F.col("kind").alias("parts"), *lanes)
-    again = _wide_linked(_meetings(crowded), bits, None)
-    both = found.where("kind = 0").union(again)
-    node = F.xxhash64(*lanes)
-    edges = both.select(node.alias("a"), F.xxhash64("g0", "g1", "g2").alias("b")).distinct()
-    named = classes.withColumn("node", node).join(components(edges), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    classes = written(fps.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in _WIDE)), "classes")
+    found = written(_wide_linked(_wide_post(classes), bits, LIST_LIMIT), "links")
+    crowded = found.where("kind > 1").select("key", F.col("kind").alias("parts"), F.col("a").alias("node"), "f", "g")
+    found = found.where("kind < 2").union(written(_wide_linked(_meetings(crowded), bits, None), "links"))
+    edges = _verified(found.where("kind = 0"), docs, classes, width, similarity)
+    groups = components(edges)
+    # Trees of dense lists that the links found have not made one: all their other pairs are compared, too.
+    trees = found.where("kind = 1").select("key", F.col("a").alias("node"), "f", "g").join(groups, "node", "left")
+    trees = written(trees.withColumn("component", F.coalesce("component", "node")), "trees")
+    split = trees.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    split = written(trees.join(split, "key", "left_semi"), "trees")
+    if not split.isEmpty():
+        groups = components(edges.union(_verified(_across(split, bits), docs, classes, width, similarity)))
+    named = classes.select("node", "least").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = written(named.join(written(least, "least"), "group").select(*lanes, "component_id"), "classes")
-    return fps.join(named, lanes).select("doc_id", "component_id")
+    named = written(named.join(written(least, "least"), "group").select("node", "component_id"), "classes")
+    return fps.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of ``similar`` texts the row with
     the smallest doc_id stays, with all its columns. Rows without a doc_id stay; of
     repeated rows with that smallest doc_id all stay."""
-    gone = similar(docs, width, bits).where("doc_id != component_id").select("doc_id").distinct()
+    gone = similar(docs, width, bits, similarity).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)

@@ -338,11 +338,49 @@ def test_crowded_lists_lose_no_copy(spark, monkeypatch):
     for limit in (None, 40, 2):
         monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
         monkeypatch.setattr(simhash, "SHORT", 1)
-        found.append({r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()})
+        found.append({r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows), similarity=0.7).collect()})
     assert len(set(found[0].values())) < 150
     assert found[1] == found[0] and found[2] == found[0]
 
 
+def jaccard_groups(rows, width=5):
+    sets = {i: {tuple(w[k : k + width]) for w in [t.lower().split()] for k in range(max(1, len(w) - width + 1))} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("short,dense", [(32, 16), (1, 16), (1, 0)])
+def test_only_similar_texts_link(spark, monkeypatch, short, dense):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for changed in range(1, 13):  # similarity from 0.95 down to 0.5
+        for _ in range(4):
+            base = [r.choice(words) for _ in range(200)]
+            for _ in range(4):
+                x = [*base]
+                for at in r.sample(range(200), changed):
+                    x[at] = "changed"
+                rows.append((len(rows), " ".join(x)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(frame(spark, rows)).collect()}
+    want = jaccard_groups(rows)
+    assert 20 < len(set(want.values())) < 180
+    assert got == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     path = vocabulary("byte_bpe_50k.json")
