@@ -1,20 +1,22 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit. Lengths are whole numbers up to the capacity, so the
-sorted list of documents, and that of the open sequences' gaps, is a list of runs of
-equal values, at most ``capacity`` of them however many documents there are. The
-runs are counted on the cluster. A round takes the longest run of documents left,
-sweeps the gaps for its successor (the smallest gap that holds it) and matches the
-two runs rank by rank: the first min(documents, gaps) by rank win, the gaps shrink,
-the rest meet the next gap in the next round; without a fitting gap new sequences
-open. A round writes one line ("ranks a to b of length n stand at offset o of
-sequences from s on"); every task then finds its documents' places in these lines.
+Bulk-synchronous best fit. A round range-sorts the documents that are left and the
+gaps of the open sequences, longest first and gaps before documents of their length,
+and sweeps over them: each document takes the nearest gap before it that no document
+in between has taken, that is the smallest one that holds it and is still free when
+the documents come longest first. The sweep is a matching of brackets. Each range
+counts its own gaps and documents; with the sums of the ranges before it every row
+knows its level, and within a level gaps and documents alternate. Documents without
+a gap know their rank among such; the longest of them open new sequences, as many
+together as fit. Then the gaps are updated and the next round begins.
+
+A gap of several times the longest document left stands in the sweep as several gaps.
+The number of rounds follows from the lengths, not from the number of documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,61 +28,125 @@ from pyspark.sql import functions as F
 from .shared import written
 from .tokens import encoder
 
-_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint, ids binary"
+_PIECES = "id bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
-    """The pieces of all documents: only documents of over ``capacity`` tokens are cut,
-    the first piece takes what whole sequences leave over. ``part`` and ``nth`` number
-    the pieces of one length within a task; ``ids`` is null unless ``keep_ids``."""
+    """The pieces of all documents: only documents of over ``capacity`` tokens are cut, the
+    first piece takes what whole sequences leave over. ``id`` names a piece (task and number
+    in it, so write the table before use); ``ids`` is null unless ``keep_ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        name = TaskContext.get().partitionId() << 33
         encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = encode(text) + end
                 n = len(data) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
                     own = data[4 * i : 4 * j]
-                    out.append((name, k, i, j - i, zlib.crc32(own), part, int(seen[j - i]), own if keep_ids else None))
-                    seen[j - i] += 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    out.append((name, doc, k, i, j - i, zlib.crc32(own), own if keep_ids else None))
+                    name += 1
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*out)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in _PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Lines (length, first rank, ranks, first sequence, offset) that place ``counts[n]``
-    pieces of each length n, longest first, each run in the smallest gaps that hold it."""
-    lines: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, deque[tuple[int, int]]] = defaultdict(deque)  # gap: runs (first sequence, sequences)
-    opened = 0
-    for n in sorted(counts, reverse=True):
-        rank, left, gap = 0, counts[n], n
-        while left:
-            while gap <= capacity and not gaps.get(gap):  # the sweep for the successor
-                gap += 1
-            if gap > capacity:  # no gap holds it: open as many sequences as it fills alone
-                first, many = opened, max(1, left // (capacity // n))
-                opened += many
-            else:
-                first, many = gaps[gap].popleft()
-            won = min(left, many)
-            room = min(gap, capacity)
-            if won < many:
-                gaps[room].appendleft((first + won, many - won))
-            lines.append((n, rank, won, first, capacity - room))
-            rest = room - n
-            rank, left = rank + won, left - won
-            if rest:
-                gaps[rest].append((first, won))
-            gap = n
-    return lines
+def _swept(items: DataFrame) -> DataFrame:
+    """``items`` (size, kind 0 gap or 1 document, id, slot) range-sorted, with ``part`` (the range),
+    ``sum`` (gaps less documents of the range so far) and ``low`` (the least such sum before the row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, low = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = total + np.cumsum(1 - 2 * batch.column("kind").to_numpy(zero_copy_only=False).astype(np.int64))
+            lows = np.minimum.accumulate(np.concatenate(([low], sums)))
+            total, low = int(sums[-1]), int(lows[-1])
+            more = [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(sums), pa.array(lows[:-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "sum", "low"])
+
+    order = [F.desc("size"), "kind", "id", "slot"]
+    return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "size bigint, kind int, id bigint, slot int, part int, sum bigint, low bigint")
+
+
+def _matched(swept: DataFrame) -> DataFrame:
+    """The documents of a sweep: id, length, sequence_id and slot of their gap, or their ``rank``
+    among those without one."""
+    kinds = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    ranges = swept.groupBy("part").agg(F.sum(kinds).alias("total"), F.least(F.min("sum"), F.lit(0)).alias("least"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    ranges = ranges.withColumn("floor", F.least(F.lit(0), F.coalesce(F.min(F.col("base") + F.col("least")).over(before), F.lit(0))))
+    rows = swept.join(F.broadcast(ranges.select("part", "base", "floor")), "part")
+    rows = rows.withColumn("at", F.col("base") + F.col("sum")).withColumn("lowest", F.least("floor", F.col("base") + F.col("low")))
+    alone = (F.col("kind") == 1) & (F.col("at") < F.col("lowest"))
+    level = F.when(~alone, F.col("at") - F.col("lowest") + F.col("kind"))
+    # A level has a gap and a document for each length at most; unmatched documents, a level each.
+    rows = rows.select("size", "kind", "id", "slot", F.coalesce(level, F.col("at")).alias("level"), F.when(alone, -1 - F.col("at")).alias("rank"))
+    along = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    gap = F.when(F.col("rank").isNull(), F.lag(F.struct("id", "slot")).over(along))
+    rows = rows.withColumn("gap", gap).where("kind = 1")
+    return rows.select("id", F.col("size").alias("length"), F.col("gap.id").alias("sequence_id"), F.col("gap.slot").alias("slot"), "rank")
+
+
+def _opened(found: DataFrame, longest: int, capacity: int, first: int) -> DataFrame:
+    """``found`` with new sequences, from number ``first``, for the longest documents without a gap.
+
+    ``floor(capacity / length)`` documents of that number stand together, in order of length. Where
+    not even one sequence would be full its documents wait for a gap, but for the longest ones'."""
+    most = capacity // longest
+    threshold = max(longest // (2 if most < 8 else 4), capacity // (most + 1) if most <= 2 else 0)
+    each = F.floor(F.lit(capacity) / F.col("length")).cast("bigint")
+    waiting = F.col("rank").isNotNull() & (F.col("length") > threshold)
+    groups = found.where(waiting).groupBy(each.alias("each")).agg(F.min("rank").alias("from"), F.count(F.lit(1)).alias("documents"))  # two roots of the capacity rows at most
+    groups = groups.where((F.col("documents") >= F.col("each")) | (F.col("each") == most))
+    earlier = Window.orderBy("each").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("base", F.lit(first) + F.coalesce(F.sum(F.ceil(F.col("documents") / F.col("each"))).over(earlier), F.lit(0)))
+    found = found.withColumn("each", F.when(waiting, each)).join(F.broadcast(groups), "each", "left")
+    nth = F.col("rank") - F.col("from")
+    number = F.coalesce("sequence_id", (F.col("base") + F.floor(nth / F.col("each"))).cast("bigint"))
+    return found.select("id", "length", number.alias("sequence_id"), F.coalesce("slot", (nth % F.col("each")).cast("int")).alias("slot"), (F.col("base").isNotNull() & (nth % F.col("each") == 0)).alias("opens"))
+
+
+def best_fit(lengths: DataFrame, capacity: int) -> DataFrame:
+    """Places ``lengths`` (id, length from 1 to ``capacity``): id, length, sequence_id (from 0, no
+    number left out) and offset."""
+    left = lengths.select("id", "length")
+    gaps = left.limit(0).select(F.col("id").alias("sequence_id"), F.col("length").alias("room"))
+    scope = left.agg(F.min("length"), F.max("length")).first()
+    placed, sequences, largest = [], 0, 0
+    while scope[1] is not None:
+        shortest, longest = scope
+        items = left.select(F.col("length").alias("size"), F.lit(1).alias("kind"), "id", F.lit(0).alias("slot"))
+        if largest >= shortest:
+            times = F.greatest(F.floor(F.col("room") / longest), F.lit(1)).cast("int")
+            slots = gaps.where(F.col("room") >= shortest).select("sequence_id", "room", times.alias("times")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+            size = F.when(F.col("slot") < F.col("times") - 1, longest).otherwise(F.col("room") - (F.col("times") - 1) * longest)
+            items = items.union(slots.select(size.cast("bigint"), F.lit(0), "sequence_id", "slot"))
+        found = _matched(written(_swept(items), "sweep"))
+        if largest < longest:
+            found = _opened(found, longest, capacity, sequences)
+        else:
+            found = found.select("id", "length", "sequence_id", "slot", F.lit(False).alias("opens"))
+        found = written(found, "round")
+        done, left = found.where("sequence_id is not null"), found.where("sequence_id is null").select("id", "length")
+        placed.append(done.select("id", "length", "sequence_id", F.lit(len(placed)).alias("round"), "slot"))
+        change = done.select("sequence_id", (F.when(F.col("opens"), capacity).otherwise(0) - F.col("length")).alias("room"))
+        gaps = written(gaps.union(change).groupBy("sequence_id").agg(F.sum("room").alias("room")).where("room > 0"), "gaps")
+        known = found.select(F.when(F.col("sequence_id").isNull(), F.col("length")).alias("length"), F.when(F.col("opens"), F.col("sequence_id")).alias("new"), F.lit(None).cast("bigint").alias("room"))
+        known = known.union(gaps.select(F.lit(None), F.lit(None), "room")).agg(F.min("length"), F.max("length"), F.max("new"), F.max("room")).first()
+        scope, sequences, largest = known[:2], max(sequences, -1 if known[2] is None else known[2] + 1), known[3] or 0
+    rows = placed[0] if placed else left.select("id", "length", F.col("id").alias("sequence_id"), F.lit(0).alias("round"), F.lit(0).alias("slot"))
+    for more in placed[1:]:
+        rows = rows.union(more)
+    before = Window.partitionBy("sequence_id").orderBy("round", "slot").rowsBetween(Window.unboundedPreceding, -1)  # capacity rows at most
+    return rows.select("id", "length", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
@@ -90,24 +156,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     id alone. Returns a row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and with ``keep_ids`` the piece's ids (little-endian
     unsigned 32 bit). Sequences are filled from 0 without gaps. Repeated rows are
-    packed as often as they come; a null doc_id stays null."""
+    packed as often as they come; a null doc_id stays null; no rows give no rows."""
     cut = written(pieces(docs, tokenizer, end_id, capacity, keep_ids), "pieces")
-    runs = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = written(runs.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "runs")
-    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    lines = np.array(sorted(best_fit(counts, capacity)), np.int64).reshape(-1, 5)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = np.int64(1 << 48)
-        starts = lines[:, 0] * scale + lines[:, 1]
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("base").to_numpy(zero_copy_only=False) + batch.column("nth").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(starts, length * scale + rank, side="right") - 1
-            own = {"sequence_id": pa.array(lines[at, 3] + rank - lines[at, 1]), "offset": pa.array(lines[at, 4])}
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids]
-            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names)
-
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep_ids
-    return cut.join(runs.select("length", "part", "base"), ["length", "part"]).mapInArrow(place, schema)
+    places = best_fit(cut, capacity).select("id", "sequence_id", "offset")
+    return cut.join(places, "id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out rows."""
 
+import bisect
 import random
 import zlib
 from collections import Counter
@@ -162,6 +163,37 @@ def test_packing(spark):
     assert len(sequences) <= 1.03 * -(-sum(r["length"] for r in out) // 2048) + 1
 
 
+def sequential_best_fit(lengths, capacity):
+    """Sequences that best fit opens, longest first."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        if i == len(gaps):
+            opened += 1
+            gap = capacity
+        else:
+            gap = gaps.pop(i)
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return opened
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "long", "few"])
+def test_best_fit(spark, kind):
+    r = np.random.default_rng(0)
+    lengths = {"mixed": np.r_[r.integers(1, 2049, 1500), [2048] * 200], "equal": np.full(301, 683), "long": r.integers(513, 1025, 1000), "few": np.array([5, 1, 1])}[kind].tolist()
+    rows = packing.best_fit(spark.createDataFrame(list(enumerate(lengths)), "id bigint, length bigint"), 2048).collect()
+    assert sorted((x["id"], x["length"]) for x in rows) == list(enumerate(lengths))
+    sequences = {}
+    for x in rows:
+        sequences.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for own in sequences.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert len(sequences) <= 1.01 * sequential_best_fit(lengths, 2048)
+
+
 def near_vectors(seed=2):
     r = np.random.default_rng(seed)
     rows, k = [], 0
