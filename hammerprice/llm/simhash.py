@@ -1,11 +1,11 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints that differ in at most ``bits`` bits share at least ``8 - bits`` of
-their eight bytes position by position. The index therefore posts each distinct
-fingerprint under every combination of ``8 - bits`` positional bytes; two
-fingerprints reach the guaranteed count of shared bytes exactly when they meet in
-such a posting list. Lists are verified by the real bit distance and yield only a
-spanning forest of the links found, never all pairs of a list.
+their eight bytes position by position. The index posts each distinct fingerprint
+under positional bytes, as many at once as any two such fingerprints surely share. In
+a list the shared bytes of each pair are tallied; pairs that reach the guaranteed
+minimum are verified by their real bit distance. A list yields only a spanning forest
+of the links found, never all its pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .anchors import _BASE, mixed
 from .shared import components, small, utf8, written
 
-#: A posting list of more fingerprints is split by further bits before it is searched.
+#: A posting list of more fingerprints is met part by part.
 LIST_LIMIT = 20_000
+#: Up to so many distinct fingerprints lists of two bytes are short enough (512 each).
+PAIRED = 1 << 25
 #: The shingles of one document are summed in pieces of so many.
 PIECE = 1 << 15
 
@@ -62,107 +64,99 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def shared_bytes(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
+    """In how many of their eight positions two fingerprints have the same byte."""
+    z = x ^ y
+    for shift in (4, 2, 1):
+        z = z | z >> np.uint64(shift)
+    return 8 - np.bitwise_count(z & np.uint64(0x0101010101010101))
+
+
 def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that join the values of ``fps`` (uint64, distinct) as do all links of
-    at most ``bits`` differing bits. Breadth first, against what is not yet reached
-    only: a dense list costs a few passes."""
+    """Links that join the values of ``fps`` (uint64, distinct) as do all links of at most
+    ``bits`` differing bits. Breadth first, against what is not yet reached only: a dense
+    list costs a few passes. The shared bytes of each pair are tallied; only pairs that
+    reach the minimum are compared bit by bit."""
     links, rest = [], fps
     frontier: list[int] = []
     while rest.size:
         if not frontier:
             frontier.append(int(rest[0]))
             rest = rest[1:]
-        at = frontier.pop()
-        near = np.bitwise_count(rest ^ np.uint64(at)) <= bits
-        if near.any():
+        at = np.uint64(frontier.pop())
+        near = np.flatnonzero(shared_bytes(rest, at) >= 8 - bits)
+        near = near[np.bitwise_count(rest[near] ^ at) <= bits]
+        if len(near):
             found = rest[near].tolist()
-            links += [(at, x) for x in found]
+            links += [(int(at), x) for x in found]
             frontier += found
-            rest = rest[~near]
+            rest = np.delete(rest, near)
     return links
 
 
-def _postings(fps: np.ndarray, parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([((fps & mask) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(salt * 0xD6E8FEB86659FD93 & (1 << 64) - 1) for mask, salt in parts])
-    return keys, np.tile(fps, len(parts))
+def positions(distinct: int, bits: int) -> list[tuple[int, ...]]:
+    """The byte positions of the index's lists, so that any two fingerprints with ``8 - bits``
+    shared bytes have a whole list in common.
 
+    With the positions dealt into one group less than bytes are shared, two shared bytes
+    fall in one group: lists of two bytes within a group are enough (seven for four bits).
+    For more fingerprints than such lists can tell apart, a list has all the bytes shared."""
+    least = 8 - bits
+    if least >= 2 and distinct <= PAIRED:
+        return [pair for g in range(least - 1) for pair in combinations(range(g, 8, least - 1), 2)]
+    return list(combinations(range(8), least))
 
-def _masks(edges: list[int], bits: int) -> list[np.uint64]:
-    """Bit masks of all choices of ``len(blocks) - bits`` of the blocks between the given edges."""
-    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:])]
-    return [np.uint64(sum(c)) for c in combinations(blocks, len(blocks) - bits)]
 
-
-def _linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
-    """Spanning links of each posting list; lists over ``limit`` come back whole, as (key, fp)."""
+def _post(fps: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp) for each fingerprint and list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-            many = hi - lo > 1
-            a: list[int] = []
-            b: list[int] = []
-            over: list[np.ndarray] = []
-            for i, j in zip(lo[many].tolist(), hi[many].tolist()):
-                values = np.unique(fps[i:j])
-                if limit and len(values) > limit:
-                    over.append(values)
-                    continue
-                if len(values) == 2:
-                    if int(values[0] ^ values[1]).bit_count() <= bits:
-                        a.append(int(values[0]))
-                        b.append(int(values[1]))
-                    continue
-                for x, y in forest(values, bits):
-                    a.append(x)
-                    b.append(y)
-            x, y = np.array(a, np.uint64), np.array(b, np.uint64)
-            kind = np.zeros(len(x), np.int32)
-            for k, values in enumerate(over):
-                x, y = np.concatenate((x, values)), np.concatenate((y, np.full(len(values), values[0])))
-                kind = np.concatenate((kind, np.full(len(values), k + 1, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["kind", "a", "b"])
-
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-            fps = np.concatenate((fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
-            if whole:
-                yield from solve(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield from solve(keys, fps)
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            octets = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            for nth, places in enumerate(lists):
+                key = np.full(len(values), nth, np.int64)
+                for i in places:
+                    key = key << 8 | octets[:, i]
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "fp"])
 
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, a bigint, b bigint")
+    return fps.select("fp").mapInArrow(run, "key bigint, fp bigint")
 
 
-def _post(fps: DataFrame, masks: list[np.uint64], extra: bool = False) -> DataFrame:
-    """(key, fp) for each fingerprint and mask; with ``extra`` the column ``key`` is mixed in."""
+def _linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
+    """Spanning links ``a``, ``b`` of each list (kind 0). Members ``a`` of lists over ``limit`` come
+    back under their ``key``; kind is the number of parts to deal them into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(values), 4096):
-                keys, all_ = _postings(values[i : i + 4096], [(m, s) for s, m in enumerate(masks)])
-                if extra:
-                    old = batch.column(1).to_numpy(zero_copy_only=False)[i : i + 4096].view(np.uint64)
-                    keys = keys ^ np.tile(old * np.uint64(0xBF58476D1CE4E5B9), len(masks))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(all_.view(np.int64))], ["key", "fp"])
+        for keys, fps in _lists(batches):
+            fps = fps.view(np.uint64)
+            lo, size = _bounds(keys)
+            links: list[tuple[int, int]] = []
+            for at, n in zip(lo[size > 1].tolist(), size[size > 1].tolist()):
+                if limit and n > limit:
+                    own = fps[at : at + n].view(np.int64)
+                    columns = [np.full(n, max(2, -(-n // max(1, limit // 2))), np.int32), keys[at : at + n], own, own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a", "b"])
+                else:
+                    links += forest(np.unique(fps[at : at + n]), bits)
+            x = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [np.zeros(len(x), np.int32), np.zeros(len(x), np.int64), x[:, 0], x[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "key", "a", "b"])
 
-    return fps.mapInArrow(run, "key bigint, fp bigint")
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, key bigint, a bigint, b bigint")
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints (bigint column ``fp``) that
-    connect the same groups as all links of at most ``bits`` (0 to 7) differing bits."""
-    found = written(_linked(_post(fps.select("fp"), _masks(list(range(0, 65, 8)), bits)), bits, LIST_LIMIT), "links")
-    # A crowded list is posted again, by further blocks of all 64 bits: 16 blocks, of which 16 - bits agree, choose two at least.
-    crowded = found.where("kind > 0").select(F.col("a").alias("fp"), F.col("b").alias("key"))
-    finer = [np.uint64(x | y) for x, y in combinations([sum(1 << i for i in range(k, 64, bits + 2)) for k in range(bits + 2)], 2)]
-    again = _linked(_post(crowded, finer, extra=True), bits, None)
-    return found.where("kind = 0").select("a", "b").union(again.select("a", "b")).distinct()
+    connect the same groups as all links of at most ``bits`` (0 to 7) differing bits.
+
+    A list of more than LIST_LIMIT fingerprints is dealt into parts, of which each two
+    meet by themselves, so that no task holds more."""
+    found = written(_linked(_post(fps, positions(fps.count(), bits)), bits, LIST_LIMIT), "links")
+    crowded = found.where("kind > 0").select("key", F.col("kind").alias("parts"), F.col("a").alias("fp"))
+    dealt = crowded.withColumn("part", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).where("part != other")
+    meetings = dealt.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "fp")
+    return found.where("kind = 0").union(_linked(meetings, bits, None)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:

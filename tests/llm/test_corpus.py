@@ -4,6 +4,7 @@ import bisect
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -321,11 +322,20 @@ def slow_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s))
 
 
-@pytest.mark.parametrize("limit", [20_000, 2])
-def test_simhash(spark, monkeypatch, limit):
+def test_lists_meet_all_pairs():
+    for bits in range(8):
+        for distinct in (10, 1 << 40):
+            lists = [set(x) for x in simhash.positions(distinct, bits)]
+            for shared in combinations(range(8), 8 - bits):
+                assert any(x <= set(shared) for x in lists)
+
+
+@pytest.mark.parametrize("limit,paired", [(20_000, 1 << 25), (2, 1 << 25), (20_000, 0), (2, 0)])
+def test_simhash(spark, monkeypatch, limit, paired):
     monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
-    rows = [*documents(spark), (900, None), (901, ""), (902, "a b"), (903, "A b")]
-    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rows = [*documents(spark), (900, None), (901, ""), (902, "a b"), (903, "A b"), (904, "long " * 70_000)]
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(frame(spark, [*rows, rows[0], (None, "a b")])).collect() if r["doc_id"] is not None}
     fp = {i: slow_fingerprint(t) for i, t in rows}
     parent = {i: i for i in fp}
 
