@@ -1,6 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
-The ordinary dictionary is trained on ordinary text. The toxic one holds that same
+The ordinary dictionary is trained by zstandard on ordinary text. Trained in the same way,
+a toxic one would be full of ordinary words, which toxic texts mostly consist of, and
+tell little (README gives figures). So the toxic one holds that same
 text followed by the segments that set toxic text apart, the most frequent nearest;
 in the ordinary one a filler of equal length stands in their place, so that offsets
 cost the same and a window's two lengths differ only where it repeats a toxic
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .shared import utf8
 
-#: Words of a window, and bytes of the shortest match that counts.
-WINDOW, MATCH = 12, 5
+#: Words of a window, words from one window to the next (windows overlap, so that no passage
+#: falls on an edge), and bytes of the shortest match that counts.
+WINDOW, STRIDE, MATCH = 12, 6, 5
 #: zstandard starts no match in the last bytes of its input; windows end in so many more.
 _TAIL = b"\0" * 12
 #: A figure of so many bytes or more is calibrated alike.
@@ -42,7 +45,8 @@ class Model:
 
 def windows(text: bytes | None) -> list[bytes]:
     words = (text or b"").lower().split()
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " + _TAIL for i in range(0, len(words), WINDOW)]
+    last = max(1, len(words) - WINDOW + STRIDE) if words else 0
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " + _TAIL for i in range(0, last, STRIDE)]
 
 
 class Scorer:
@@ -82,9 +86,10 @@ def _frequency(texts: list[bytes]) -> Counter:
     return seen
 
 
-def segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.01, ratio: float = 60.0) -> bytes:
+def segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.01, ratio: float = 60.0, most: int = 400) -> bytes:
     """The toxic dictionary's own part: runs of byte 5-grams that at least ``share`` of the
-    toxic texts have, ``ratio`` times as large a share as of the ordinary ones."""
+    toxic texts have, ``ratio`` times as large a share as of the ordinary ones; of those in
+    five texts or more the ``most`` frequent ones, so that the dictionary is bounded."""
     t, o = _frequency(toxic), _frequency(ordinary)
     apart = {g for g, n in t.items() if n >= max(5, share * len(toxic)) and n / len(toxic) > ratio * (o[g] + 1) / len(ordinary)}
     runs: Counter = Counter()
@@ -97,7 +102,7 @@ def segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.01, rat
                 elif run:
                     runs[run] += 1
                     run = b""
-    kept = [r for r, n in runs.most_common(400) if n >= 5]
+    kept = [r for r, n in runs.most_common(most) if n >= 5]
     return b"\0".join([b"", *reversed(kept), b""])
 
 
@@ -115,15 +120,16 @@ def _calibrated(toxic: list[int], ordinary: list[int], rate: float) -> list[floa
     return [a / m for m, a, n in pools for _ in range(int(n))]
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000, windows_used: int = 60_000, most: int = 400) -> Model:
     """Fits a model on labelled rows whose crc32(doc_id as text) mod 4 is not 2.
 
     ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1; a document with several
     labels counts as toxic if one says so, null labels count for nothing). The fit
     uses at most ``toxic_rows`` and ``ordinary_rows`` rows, those with the smallest
     hashed doc_ids: two thirds for the dictionaries, one third for the calibration.
-    Only the doc_ids of that bounded sample are broadcast and only its texts come to
-    the driver. Without rows of both labels the model knows no toxic segments."""
+    The ordinary dictionary is trained on ``windows_used`` of its windows at most, taken
+    evenly over all sampled texts; ``most`` bounds the toxic segments. Only the doc_ids of
+    that bounded sample are broadcast and only its texts come to the driver. Without rows of both labels the model knows no toxic segments."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -137,12 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_r
         texts.sort()
     fit = [[t for k, t in texts if k] or [t for _, t in texts] for texts in held]
     check = [[t for k, t in texts if not k] or [t for _, t in texts] for texts in held]
-    cut = [w[: -len(_TAIL)] for t in fit[0] for w in windows(t)][:60_000]
+    cut = [w[: -len(_TAIL)] for t in fit[0] for w in windows(t)]
+    cut = cut[:: max(1, -(-len(cut) // windows_used))]
     try:
         ordinary = zstandard.train_dictionary(4096, cut).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from
         ordinary = b"".join(cut)[:4096]
-    own = segments(*reversed(fit)) if fit[0] and fit[1] else b"\0\0"
+    own = segments(*reversed(fit), most=most) if fit[0] and fit[1] else b"\0\0"
     filler = np.random.default_rng(7).integers(1, 32, len(own)).astype(np.uint8).tobytes()
     model = Model(ordinary + filler, ordinary + own, [0.0] * (TOP + 1))
     if count:
