@@ -16,7 +16,6 @@ as much), so that distances are exact whole numbers and all tasks decide alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 from math import ceil, log, sqrt
 
 import numpy as np
@@ -32,6 +31,8 @@ BLOCKS = 4
 CELL = 1024
 #: A cell with more rows is met part by part.
 CROWD = 8192
+#: Up to so many crowded cells are sent to all tasks; more meet their rows by a shuffle.
+SENT = 1 << 20
 SCALE = 1 << 20
 #: Rows of a cell that are compared with all its rows at once.
 TILE = 256
@@ -54,28 +55,27 @@ class Grid:
         return np.rint(x / np.sqrt((x * x).sum(axis=1, keepdims=True)) @ self.rotation)
 
     def cells(self, z: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-        """(block, rows, cell numbers, visiting) for all the cells where each row stands or visits."""
-        for b, (first, _) in enumerate(self.blocks):
-            axes, reach = self.axes[b], self.reach[b]
-            own = z[:, first : first + axes]
-            width = 2 * reach
-            home = np.floor(own / width)
-            yield b, np.arange(len(z)), self._number(home, b), False
-            for step in product((-1, 0, 1), repeat=axes):
-                if step <= (0,) * axes:
-                    continue
-                s = np.array(step)
-                gap = np.where(s > 0, (home + 1) * width - own, np.where(s < 0, own - home * width, 0))
-                near = np.flatnonzero((gap * gap).sum(axis=1) <= reach * reach)
-                if len(near):
-                    yield b, near, self._number(home[near] + s, b), True
+        """(block, rows, cell numbers, visiting) for all the cells where each row stands or visits.
 
-    @staticmethod
-    def _number(cell: np.ndarray, b: int) -> np.ndarray:
-        h = np.full(len(cell), b + 1, np.uint64)
-        for column in cell.astype(np.int64).view(np.uint64).T:
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column)
-        return h.view(np.int64)
+        Axis by axis, what has come too far from its own cell for its reach is left; of two
+        neighbour cells only the one whose first different axis is higher is visited."""
+        for b, (first, _) in enumerate(self.blocks):
+            width = 2 * self.reach[b]
+            rows, far, later = np.arange(len(z)), np.zeros(len(z)), np.zeros(len(z), bool)
+            cell = np.full(len(z), b + 1, np.uint64)
+            for own in z[:, first : first + self.axes[b]].T:
+                home = np.floor(own / width)
+                up, down = ((home + 1) * width - own)[rows] ** 2 + far, (own - home * width)[rows] ** 2 + far
+                higher = np.flatnonzero(up <= self.share[b])
+                lower = np.flatnonzero((down <= self.share[b]) & later)
+                at = np.concatenate((np.arange(len(rows)), higher, lower))
+                step = np.concatenate((np.zeros(len(rows), np.int64), np.ones(len(higher), np.int64), np.full(len(lower), -1)))
+                far, later = np.concatenate((far, up[higher], down[lower])), later[at] | (step > 0)
+                cell = mixed(cell[at] * np.uint64(0x9E3779B97F4A7C15) + (home[rows][at].astype(np.int64) + step).view(np.uint64))
+                rows = rows[at]
+            for visiting in (False, True):
+                some = later == visiting
+                yield b, rows[some], cell[some].view(np.int64), visiting
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -109,6 +109,7 @@ class Union:
 def linked(x: np.ndarray, size: np.ndarray, visiting: np.ndarray, part: np.ndarray, grid: Grid, block: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Of the rows of a cell: linked vectors of each, and spanning links. Two visitors are no
     pair here; nor are two rows of the same part if there are two parts."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact; squares of huge or tiny components stay numbers
     z = grid.rotated(x)
     first, last = grid.blocks[block]
     own = z[:, first:last]
@@ -166,11 +167,14 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     ``classes`` has a row per distinct vector: node, size (vectors equal to it), label, embedding."""
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     met = written(_met(classes, cosine, largest), "cells")
-    crowded = met.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD)
-    parts = F.coalesce(F.ceil(F.col("rows") / (CROWD // 2)), F.lit(1)).cast("int")
-    dealt = met.join(crowded, "cell", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "visiting"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("meeting", F.least("part", "other") * F.lit(1 << 20).cast("bigint") + F.greatest("part", "other"))
+    crowded = written(met.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD), "crowded")
+    many = crowded.count()
+    dealt = met.withColumn("part", F.lit(0)).withColumn("meeting", F.lit(0).cast("bigint"))
+    if many:
+        parts = F.coalesce(F.ceil(F.col("rows") / (CROWD // 2)), F.lit(1)).cast("int")
+        dealt = met.join(F.broadcast(crowded) if many <= SENT else crowded, "cell", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "visiting"), "parts").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumn("meeting", F.least("part", "other") * F.lit(1 << 20).cast("bigint") + F.greatest("part", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grids: dict[int, Grid] = {}

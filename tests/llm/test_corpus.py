@@ -204,7 +204,8 @@ def near_vectors(seed=2):
             rows.append((k, (base + r.standard_normal(16) * 0.09).tolist(), c % 3))
             k += 1
     rows += [(k, rows[0][1], 0), (k + 1, rows[0][1], 0), (k + 2, rows[0][1], 1), (k + 3, [2 * x for x in rows[0][1]], 0), (k + 4, None, 0), (k + 5, [0.0] * 16, 0), (k + 6, [float("nan")] * 16, 0), (k + 7, rows[0][1], None), (k + 8, [1.0, None] * 8, 0), (k + 9, [1.0, 2.0], 0), (k + 10, [1.0, 2.0], 0), (k + 11, [], 0)]
-    return rows
+    rows += [(k + 12 + i, [x * scale for x in rows[0][1]], 2) for i, scale in enumerate((1e200, 1e-200, 1.0, 1e150))]
+    return [*rows, (k + 20, rows[0][1], 1)]
 
 
 @pytest.mark.parametrize("cell,crowd", [(1024, 8192), (4, 6)])
@@ -212,9 +213,13 @@ def test_vectors(spark, monkeypatch, cell, crowd):
     monkeypatch.setattr(vectors, "CROWD", crowd)
     monkeypatch.setattr(vectors, "CELL", cell)
     rows = near_vectors()
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df, 0.98).collect()}
-    sound = {i: np.array(v) for i, v, c in rows if v and c is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    more = [(*r, 1.0, "c") for r in [*rows, (None, rows[0][1], 0)]]
+    df = spark.createDataFrame(more, "vec_id bigint, embedding array<double>, label int, n_links double, cell string")  # clashing names
+    out = vectors.near_duplicates(df, 0.98).collect()
+    assert [tuple(r) for r in out if r["vec_id"] is None] == [(None, 0, None, True)]
+    assert all(n == 3 for n in [r["n_links"] for r in out if r["vec_id"] in [i for i, v, c in rows if c == 2 and v and max(map(abs, v)) > 1e100]])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out if r["vec_id"] is not None}
+    sound = {i: np.array(v) / np.max(np.abs(v)) for i, v, c in rows if v and c is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label, parent, n = {i: c for i, _, c in rows}, {i: i for i, _, _ in rows}, Counter()
 
     def root(i):
