@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, utf8
+from .shared import small, utf8, written
 
-#: Test items are met in blocks of so many words, each broadcast by itself; no bound on their number.
-BLOCK_WORDS = 1_000_000
+#: Test items are met in blocks of about so many bytes. A block is broadcast for a pass over the
+#: documents and dropped after it, so that no more than one is held anywhere.
+BLOCK_BYTES = 1 << 24
 #: A-Z to a-z; everything else below 0x80 that isn't a digit or letter to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -104,20 +106,17 @@ class TestBlock:
         return low
 
 
-def _blocks(items: DataFrame, width: int) -> list:
-    """The test items as broadcast blocks; the driver holds one block at a time."""
-    sc, found, own, held = items.sparkSession.sparkContext, [], [], 0
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator()
-    for name, text in rows:
-        words = words_of((text or "").encode())
-        if own and held + len(words) > BLOCK_WORDS:
-            found.append(sc.broadcast(TestBlock(own, width)))
-            own, held = [], 0
-        own.append((name, words))
-        held += len(words)
-    if own:
-        found.append(sc.broadcast(TestBlock(own, width)))
-    return found
+def _blocks(items: DataFrame, width: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The test items block by block, broadcast, and whether it is the last block. A block is
+    destroyed when the next one is asked for, so all but the last must have been used by then."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(1, -(-size // BLOCK_BYTES))
+    for k in range(many):
+        own = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(many)) == k)
+        sent = items.sparkSession.sparkContext.broadcast(TestBlock([(name, words_of(text.encode())) for name, text in own.toLocalIterator()], width))
+        yield sent, k == many - 1
+        sent.destroy()
 
 
 def joined(places: np.ndarray, block: TestBlock, tests: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -141,20 +140,20 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     ``items`` (ids of items met, sorted as strings; a null id is ""), ``found``
     (longest matches: item_id, item_word, word, words). Null and empty texts have no
     words and no matches, as items and as documents; repeated items all count."""
-    blocks = _blocks(items, width)
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, found array<struct<item_id:string,item_word:bigint,word:bigint,words:bigint>>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
-            texts = [words_of(t) for t in utf8(batch.column(1))]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1] if len(sizes) else sizes
-            hit = [np.zeros(n, np.int64) for n in (sizes + 1).tolist()]
-            named: list[set[str]] = [set() for _ in texts]
-            found: list[list[dict]] = [[] for _ in texts]
-            for each in blocks:
-                block = each.value
-                get = block.ids.get
+    kinds = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("words", pa.int64())]))
+    struct = "array<struct<item_id:string,item_word:bigint,word:bigint,words:bigint>>"
+
+    def searched(rows: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        """doc_id, text, found after a pass, or the result after the last one."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            get = block.ids.get
+            for batch in small(batches, 1):
+                texts = [words_of(t) for t in utf8(batch.column(1))]
+                found: list[list[dict]] = batch.column(2).to_pylist()
+                sizes = np.array([len(t) for t in texts], np.int64)
+                starts = np.cumsum(sizes + 1) - sizes - 1
                 ids = np.full(int((sizes + 1).sum()), -1, np.int64)
                 for at, own in zip(starts.tolist(), texts):
                     ids[at : at + len(own)] = [get(w, -1) for w in own]
@@ -162,36 +161,53 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
                 doc = np.searchsorted(starts, places, side="right") - 1
                 for d in np.unique(doc).tolist():
                     here = doc == d
-                    for item, item_word, word, words in joined(places[here] - starts[d], block, tests[here]):
-                        hit[d][word] += 1
-                        hit[d][word + words] -= 1
-                        named[d].add(block.names[item])
-                        found[d].append({"item_id": block.names[item], "item_word": item_word, "word": word, "words": words})
-            n_hit = [int((np.cumsum(h)[:-1] > 0).sum()) if f else 0 for h, f in zip(hit, found)]
-            kinds = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in named], pa.list_(pa.string())), pa.array(found, kinds)], ["doc_id", "n_words", "n_hit", "items", "found"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+                    found[d] += [{"item_id": block.names[item], "item_word": item_word, "word": word, "words": words} for item, item_word, word, words in joined(places[here] - starts[d], block, tests[here])]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kinds)], ["doc_id", "text", "found"])
+                    continue
+                n_hit = []
+                for n, own in zip(sizes.tolist(), found):
+                    hit = np.zeros(n + 1 if own else 1, np.int64)
+                    for f in own:
+                        hit[f["word"]] += 1
+                        hit[f["word"] + f["words"]] -= 1
+                    n_hit.append(int((np.cumsum(hit)[:-1] > 0).sum()))
+                named = [sorted({f["item_id"] for f in own}) for own in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(found, kinds)], ["doc_id", "n_words", "n_hit", "items", "found"])
+
+        return rows.mapInArrow(run, f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, found {struct}" if last else f"doc_id bigint, text string, found {struct}")
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.array().cast(struct).alias("found"))
+    for sent, last in _blocks(items, width):
+        rows = searched(rows, sent, last)
+        if last:
+            return rows
+        rows = written(rows, "searched")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` whose text has no match, with all their columns. Decided text
     by text, so repeated rows and null doc_ids need no care."""
-    blocks = _blocks(items, width)
-
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
-            yield pd.Series(np.concatenate([np.zeros(0, bool), *(kept(part) for part in small(iter([batch]), 0))]))
-
-    def kept(part: pa.RecordBatch) -> np.ndarray:
-        own = [words_of(t) for t in utf8(part.column(0))]
-        out = np.ones(len(own), bool)
-        ends = np.cumsum([len(t) + 1 for t in own])
-        for each in blocks:
-            get = each.value.ids.get
+
+    def cleaned(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for series in texts:
+                batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
+                yield pd.Series(np.concatenate([np.zeros(0, bool), *(kept(part) for part in small(iter([batch]), 0))]))
+
+        def kept(part: pa.RecordBatch) -> np.ndarray:
+            block, own = sent.value, [words_of(t) for t in utf8(part.column(0))]
+            out = np.ones(len(own), bool)
+            ends = np.cumsum([len(t) + 1 for t in own])
+            get = block.ids.get
             ids = np.fromiter((x for t in own for x in (*(get(w, -1) for w in t), -1)), np.int64, int(ends[-1]))
-            out[np.searchsorted(ends, each.value.matches(ids)[0], side="right")] = False
-        return out
+            out[np.searchsorted(ends, block.matches(ids)[0], side="right")] = False
+            return out
+
+        return rows.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
 
-    return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
+    for sent, last in _blocks(items, width):
+        docs = cleaned(docs, sent)
+        if last:
+            return docs
+        docs = written(docs, "clean")

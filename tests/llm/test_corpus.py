@@ -266,8 +266,10 @@ def test_token_files(spark):
     assert all(token_files.token(block, i) == ids[i] for i in range(0, len(ids), 97))
 
 
-def test_decontamination(spark):
-    rows, items = documents(spark), [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+@pytest.mark.parametrize("block", [1 << 24, 5000])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rows, items = [*documents(spark), (950, "word " * 50_000), (951, None)], [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     items += [(900, "the of"), (901, None), (902, "")]
     found = decontaminate.matches(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     windows = {}
