@@ -26,6 +26,8 @@ from .shared import utf8, written
 
 #: Units that are worked on at once; longer texts are cut with an overlap of a window.
 CHUNK = 1 << 20
+#: Rows of a key that one task may get, and keys that may be broadcast.
+HOT, SENT = 20_000, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MOD = 1 << 64
 _powers: list[np.ndarray] = []
@@ -119,7 +121,11 @@ Units = Callable[[bytes], np.ndarray]
 
 
 def index(docs: DataFrame, units: Units, width: int, k: int, name: str) -> DataFrame:
-    """The runs of all whole texts: anchor, context, doc, at, n (windows)."""
+    """The runs of all whole texts: anchor, context, doc, at, n (windows). Hashes of stretches are
+    polynomials modulo 2^64, which can't tell apart certain texts of 1,024 units and more, so
+    ``width`` is at most 512."""
+    if width > 512:
+        raise ValueError("windows of at most 512 units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,16 +158,28 @@ def index(docs: DataFrame, units: Units, width: int, k: int, name: str) -> DataF
     return written(rows.mapInArrow(run, "anchor bigint, context bigint, doc bigint, at bigint, n int"), f"{name}-runs")
 
 
+def met_by(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys`` (a row for each value of ``on``; ``times``: its rows in ``rows``).
+
+    Keys of more than HOT rows, and more than one in SENT of all rows, meet them by a
+    broadcast of SENT keys at most, so that no task gets all rows of a hot key."""
+    most = max(HOT, rows.count() // SENT)
+    hot, rest = keys.where(F.col("times") > most).drop("times"), keys.where(F.col("times") <= most).drop("times")
+    if hot.isEmpty():
+        return rows.join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 def shared_contexts(all_runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """The runs whose anchor occurs more than once, and their contexts: anchor, context,
-    n, first (smallest place), again (whether there is another place), contexts (how
-    many the anchor has). Counts are summed before each shuffle."""
-    often = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    n, first (smallest place), again (whether there is another place), times (runs),
+    contexts (how many the anchor has). Counts are summed before each shuffle."""
+    often = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     often = written(often, f"{name}-often")  # a plain table: large partitions of the joins can then be split
-    met = written(all_runs.join(often, "anchor"), f"{name}-shared")
+    met = written(met_by(all_runs, often, ["anchor"]), f"{name}-shared")
     place = F.struct("doc", "at")
-    each = met.groupBy("anchor", "context").agg(F.min("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    each = written(each.select("anchor", "context", "n", "first", (F.col("first") != F.col("last")).alias("again")), f"{name}-contexts")
+    each = met.groupBy("anchor", "context").agg(F.min("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times"))
+    each = written(each.select("anchor", "context", "n", "first", (F.col("first") != F.col("last")).alias("again"), "times"), f"{name}-contexts")
     many = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
     many = written(many, f"{name}-many")
     return met, each.join(many, "anchor")
@@ -170,8 +188,9 @@ def shared_contexts(all_runs: DataFrame, name: str) -> tuple[DataFrame, DataFram
 def with_texts(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """``doc_id, doc, t, text, found`` of the documents that have rows in ``found`` (doc, at,
     ...): an array of structs of ``columns``, in which ``at`` is the bare position.
-    Documents without rows have null, those of ``found`` alone don't appear."""
+    Documents without rows have null, those of ``found`` alone don't appear; what repeated
+    rows found several times is there once."""
     position = F.col("at").bitwiseAND(0xFFFFFFFF).alias("at")
     each = found.select("doc", F.shiftright("at", 32).alias("t"), F.struct(*[position if c == "at" else F.col(c) for c in columns]).alias("x"))
-    each = each.groupBy("doc", "t").agg(F.collect_list("x").alias("found"))
+    each = each.groupBy("doc", "t").agg(F.collect_set("x").alias("found"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *key()).join(each, ["doc", "t"], "left")

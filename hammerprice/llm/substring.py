@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Rolling, index, shared_contexts, with_texts
+from .anchors import Rolling, index, met_by, shared_contexts, with_texts
 from .shared import fields, utf8, written
 
 #: Words of an anchor.
@@ -33,35 +33,36 @@ def word_values(text: bytes) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """hash, doc, at of the single windows of the runs found."""
+    """anchor, hash, doc, at of the single windows of the runs found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "t"))
             for d, (text, found) in enumerate(zip(utf8(batch.column("text")), batch.column("found"))):
-                lo, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in fields(found, "at", "n"))
+                anchor, lo, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in fields(found, "anchor", "at", "n"))
                 rolling = Rolling(word_values(text or b""))
                 start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 hashes = rolling(start, start + width)
                 at = np.int64(t[d]) << np.int64(32) | start
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), doc[d])), pa.array(at)], ["hash", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, n)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), doc[d])), pa.array(at)], ["anchor", "hash", "doc", "at"])
 
-    return rows.where("found is not null").select("doc", "t", "text", "found").mapInArrow(run, "hash bigint, doc bigint, at bigint")
+    return rows.where("found is not null").select("doc", "t", "text", "found").mapInArrow(run, "anchor bigint, hash bigint, doc bigint, at bigint")
 
 
 def repeats(docs: DataFrame, width: int) -> DataFrame:
     """Runs of windows that start earlier too: doc, at, n, source_doc, source_at (the earliest place)."""
     met, contexts = shared_contexts(index(docs, word_values, width, GRAM, "words"), "words")
     contexts = written(contexts, "contexts")
-    again = contexts.where("again").select("anchor", "context", "first")
-    inside = met.join(again, ["anchor", "context"]).where(F.struct("doc", "at") != F.col("first"))
+    again = contexts.where("again").select("anchor", "context", "first", "times")
+    inside = met_by(met, again, ["anchor", "context"]).where(F.struct("doc", "at") != F.col("first"))
     inside = inside.select("doc", "at", "n", F.col("first.doc").alias("source_doc"), F.col("first.at").alias("source_at"))
-    edges = contexts.where("contexts > 1").select("first.doc", "first.at", "n")
-    single = written(_windows(with_texts(docs, edges, "at", "n"), width), "windows")
+    edges = contexts.where("contexts > 1").select("anchor", "first.doc", "first.at", "n")
+    single = written(_windows(with_texts(docs, edges, "anchor", "at", "n"), width), "windows")
     place = F.struct("doc", "at")
-    firsts = single.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    firsts = written(firsts.select("hash", "first"), "firsts")
-    later = single.join(firsts, "hash").where(place != F.col("first"))
+    window = ["anchor", "hash"]  # the words of the anchor and all words: 128 bits
+    firsts = single.groupBy(*window).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times")).where("first != last")
+    firsts = written(firsts.select(*window, "first", "times"), "firsts")
+    later = met_by(single, firsts, window).where(place != F.col("first"))
     later = later.select("doc", "at", F.lit(1).alias("n"), F.col("first.doc").alias("source_doc"), F.col("first.at").alias("source_at"))
     return inside.union(later)
 

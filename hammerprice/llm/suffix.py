@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import CHUNK, Rolling, index, mixed, shared_contexts, with_texts
+from .anchors import Rolling, index, met_by, mixed, shared_contexts, with_texts
 from .shared import fields, utf8, written
 
 #: Bytes of an anchor.
@@ -180,24 +180,25 @@ def _by_hashes(contexts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, at, n, lone, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "at", "n", "lone", "bytes"))):
+            for anchor, doc, at, n, lone, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "at", "n", "lone", "bytes"))):
                 start = np.arange(n)
                 hashes = Rolling(byte_values(text))(start, start + width)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(n, doc)), pa.array(at + start), pa.array(np.full(n, lone))], ["hash", "doc", "at", "lone"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(hashes.view(np.int64)), pa.array(np.full(n, doc)), pa.array(at + start), pa.array(np.full(n, lone))], ["anchor", "hash", "doc", "at", "lone"])
 
-    spread = contexts.select("doc", "at", "n", "lone", "bytes").repartition("doc", "at")  # evenly, whatever their anchors
-    windows = written(spread.mapInArrow(run, "hash bigint, doc bigint, at bigint, lone boolean"), "crowd")
+    spread = contexts.select("anchor", "doc", "at", "n", "lone", "bytes").repartition("doc", "at")  # evenly, whatever their anchors
+    windows = written(spread.mapInArrow(run, "anchor bigint, hash bigint, doc bigint, at bigint, lone boolean"), "crowd")
     place = F.struct("doc", "at")
-    often = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("hash")
-    often = written(often, "crowd-often")
-    return windows.where("lone").join(often, "hash").select("doc", "at", F.lit(1).alias("n"))
+    window = ["anchor", "hash"]  # the anchor's bytes and all bytes: 128 bits
+    often = windows.groupBy(*window).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.sum(F.col("lone").cast("int")).alias("times")).where("first != last and times > 0")
+    often = written(often.select(*window, "times"), "crowd-often")
+    return met_by(windows.where("lone"), often, window).select("doc", "at", F.lit(1).alias("n"))
 
 
 def repeats(docs: DataFrame, width: int) -> DataFrame:
     """Runs of windows that occur elsewhere: doc, at, n."""
     met, contexts = shared_contexts(index(docs, byte_values, width, GRAM, "bytes"), "bytes")
     contexts = written(contexts, "contexts")
-    inside = met.join(contexts.where("again").select("anchor", "context"), ["anchor", "context"]).select("doc", "at", "n")
+    inside = met_by(met, contexts.where("again").select("anchor", "context", "times"), ["anchor", "context"]).select("doc", "at", "n")
     several = contexts.where("contexts > 1").select("anchor", "first.doc", "first.at", "n", (~F.col("again")).alias("lone"), (F.col("contexts") > CROWD).alias("crowd"))
     cut = written(_cut(with_texts(docs, several, "anchor", "at", "n", "lone", "crowd"), width), "cuts")
     return inside.union(_by_arrays(cut.where("not crowd"), width)).union(_by_hashes(cut.where("crowd"), width))

@@ -53,7 +53,9 @@ def removed_words(rows, width=20):
     return out
 
 
-def test_substring(spark):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_substring(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
     for rows in (documents(spark), odd_rows()):
         found = substring.deduplicated(frame(spark, rows)).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == removed_words(rows)
@@ -78,9 +80,10 @@ def removed_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_suffix(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,hot", [(1000, 20_000), (1, 1)])
+def test_suffix(spark, monkeypatch, crowd, hot):
     monkeypatch.setattr(suffix, "CROWD", crowd)
+    monkeypatch.setattr(anchors, "HOT", hot)
     for rows in (documents(spark), odd_rows()):
         found = suffix.deduplicated(frame(spark, rows)).collect()
         assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in found} == removed_bytes(rows, 400)
@@ -95,6 +98,25 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted(r["n_removed"] for r in substring.deduplicated(df).collect())[0] == 0
 
 
+def test_crowded_anchor(spark):
+    """One passage with 1,200 different surroundings: more contexts than one array holds."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(r.choice("xyz") for _ in range(90)) + passage + "".join(r.choice("xyz") for _ in range(90))) for i in range(1200)]
+    rows += [(2000 + i, rows[i][1][:430]) for i in range(30)]
+    found = suffix.deduplicated(frame(spark, rows)).collect()
+    want = removed_bytes(rows, 400)
+    assert sum(n > 0 for _, _, n in want.values()) == 60
+    assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in found} == want
+
+
+def test_many_repeated_rows(spark):
+    text = " ".join(map(str, range(500)))
+    df = frame(spark, [*[(1, text)] * 1000, (2, text)])
+    assert sorted(r["n_removed"] for r in substring.deduplicated(df).collect()) == [0] * 1000 + [500]
+    assert {len(bytes(r["kept"])) for r in suffix.deduplicated(df).collect()} == {0}
+
+
 def test_suffix_array():
     r = np.random.default_rng(3)
     for n, k in ((1, 1), (50, 1), (300, 2), (400, 26), (200, 300)):
