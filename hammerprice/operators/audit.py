@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import variants
 
 Rule = tuple[str, Column]
 
@@ -24,10 +25,12 @@ def removal_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def listing_rules(title: Column, wanted: dict[str, Column]) -> list[Rule]:
-    """Rules for a listing's title and numbers against what is wanted. Known fields of
-    ``wanted``: score, least_score, total_usd, metal, weight, year, tolerance, grade, mint,
-    denomination, price, spot, roll, set, proof (the last three boolean), exclusions (array).
-    Only rules whose fields are given apply."""
+    """Rules for a listing's title and numbers against what is wanted, in their order. Known
+    fields of ``wanted``: score, least_score, total_usd, metal, weight, year, tolerance, grade, mint,
+    denomination, price, spot, query (the search's text), series, label ("Type 1", "Type 2"), brand
+    (of a bar), bar_brand and bar_series with found_brand and found_series (as detected in the
+    title), exclusions (array), and the booleans roll, set, proof, pcgs_only, grade_only. Only
+    rules whose fields are given apply; without ``query`` no finish family is asked for."""
     low = F.lower(title)
     rules: list[Rule] = []
 
@@ -36,21 +39,37 @@ def listing_rules(title: Column, wanted: dict[str, Column]) -> list[Rule]:
             rules.append((name, fails()))
 
     w = wanted
+    family = variants.requested_family(w["query"]) if "query" in w else F.lit(None).cast("string")
+    proof = F.coalesce(w.get("proof", F.lit(False)), F.lit(False))
+    if "query" in w:
+        proof = proof | F.coalesce(F.lower(w["query"]).rlike(r"\bproof\b"), F.lit(False))
+    finish = variants.variant_mismatch(title, family, proof)
     add("lowRelevance", "score", lambda: w["score"] < w.get("least_score", F.lit(20)))
     rules.append(("denied", F.when(w.get("roll", F.lit(False)), text.denied(title, True)).otherwise(text.denied(title))))
-    add("notSet", "set", lambda: w["set"] & ~low.rlike(r"\bsets?\b"))
+    add("nonBullionDenom", "weight", lambda: w["weight"].isNotNull() & variants.small_change(title))
+    add("notSet", "set", lambda: w["set"] & ~low.rlike(r"\bset\b"))
     add("notRoll", "roll", lambda: w["roll"] & ~low.rlike(text.ROLLS))
-    add("notProof", "proof", lambda: w["proof"] & ~low.rlike(r"\bproof\b"))
+    add("notProof", "proof", lambda: w["proof"] & family.isNull() & ~low.rlike(r"\bproof\b"))
+    add("wrongBrand", "brand", lambda: variants.lacks_words(title, w["brand"]))
+    add("barBrandMismatch", "bar_brand bar_series found_brand", lambda: w["found_brand"] != w["bar_brand"])
+    add("barSeriesMismatch", "bar_brand bar_series found_series", lambda: w["found_series"] != w["bar_series"])
     add("excluded", "exclusions", lambda: F.exists(w["exclusions"], lambda x: low.contains(x)))
     add("nonUsd", "total_usd", lambda: w["total_usd"].isNull())
     add("metalMismatch", "metal", lambda: text.metal(title) != w["metal"])
+    add("compositionMismatch", "series year", lambda: variants.composition_mismatch(title, F.concat_ws(" ", w["series"], w["query"]) if "query" in w else w["series"], w["year"]))
     add("weightMismatch", "weight", lambda: F.abs(text.weight(title) - w["weight"]) / F.greatest(text.weight(title), w["weight"]) >= 0.05)
     add("meltSanity", "weight price spot", lambda: text.weight(title).isNull() & (w["price"] > F.greatest(w["spot"] * w["weight"] * 5, F.lit(50.0))))
     add("yearMismatch", "year", lambda: (F.size(text.years(title)) > 0) & F.forall(text.years(title), lambda y: F.abs(y - w["year"]) > w.get("tolerance", F.lit(1))))
     add("meltFloor", "weight price spot", lambda: (w["weight"] >= 1) & (w["price"] < w["spot"] * w["weight"] * 0.4))
+    rules.append(("variantMismatch", finish == "variantMismatch"))
+    rules.append(("variantWrongColor", finish == "variantWrongColor"))
+    add("typeMismatch", "label", lambda: F.when(w["label"] == "Type 1", low.rlike(r"\btype\s*2\b")).when(w["label"] == "Type 2", low.rlike(r"\btype\s*1\b")))
     add("mintMismatch", "mint", lambda: text.mint(title) != w["mint"])
     add("denomMismatch", "denomination", lambda: text.denomination(title) != w["denomination"])
+    add("seriesConflict", "series", lambda: variants.series_conflict(w["series"], title))
     add("gradeNumMismatch", "grade", lambda: text.grade(title) != w["grade"])
+    add("pcgsOnly", "pcgs_only", lambda: w["pcgs_only"] & ~low.rlike(r"\bpcgs\b"))
+    add("gradeOnly", "grade_only grade", lambda: w["grade_only"] & variants.lacks_words(title, w["grade"]))
     return rules
 
 

@@ -2,30 +2,70 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money, rarity
 
 #: The animals of twelve years from 2020 on.
-ANIMALS = "Rat Ox Tiger Rabbit Dragon Snake Horse Goat Monkey Rooster Dog Pig".split()
+ANIMALS = ["Rat", "Ox", "Tiger", "Rabbit", "Dragon", "Snake", "Horse", "Goat", "Monkey", "Rooster", "Dog", "Pig"]
 #: Pattern and pieces of a roll or tube, the first that a text has counts.
 ROLLS = [
-    (r"silver\s*eagle|gold\s*eagle|gold\s*buffalo|philharmonic|kookaburra|lunar", 20),
-    (r"maple\s*leaf|britannia|libertad|krugerrand|kangaroo|polar\s*bear", 25),
+    (r"silver\s*eagle", 20),
+    (r"gold\s*eagle", 20),
+    (r"gold\s*buffalo", 20),
+    (r"maple\s*leaf", 25),
+    (r"britannia", 25),
+    (r"libertad", 25),
+    (r"philharmonic", 20),
+    (r"krugerrand", 25),
+    (r"kangaroo", 25),
+    (r"kookaburra", 20),
     (r"panda", 30),
+    (r"lunar", 20),
+    (r"polar\s*bear", 25),
     (r"half\s*dollar|kennedy|franklin|walking\s*liberty|barber\s*half|seated.*half", 20),
     (r"quarter|standing\s*liberty", 40),
-    (r"dime|mercury|roosevelt", 50),
-    (r"nickel|jefferson", 40),
+    (r"dime|mercury|roosevelt|barber\s*dime|seated.*dime", 50),
+    (r"nickel|jefferson|buffalo\s*nickel|liberty.*nickel", 40),
     (r"cent|penny|lincoln|indian\s*head|wheat", 50),
     (r"dollar|morgan|peace|eisenhower|susan.*anthony|sacagawea", 20),
 ]
-#: Usual premium over melt value (from, to), by metal, form and weight; the first that holds counts.
+#: Usual premium over melt value (from, to) and the condition of its row, over metal,
+#: series, form and weight (ounces, 0 if unknown); the first that holds counts.
 PREMIUMS = [
-    (("gold", "bar", 0.5), (0.05, 0.20)), (("gold", "bar", None), (0.02, 0.08)), (("gold", "coin", 0.95), (0.08, 0.30)), (("gold", "coin", None), (0.03, 0.15)),
-    (("silver", "bar", 2.0), (0.08, 0.30)), (("silver", "bar", None), (0.03, 0.20)), (("silver", "coin", None), (0.10, 0.60)), (("platinum", None, None), (0.04, 0.20)), (("palladium", None, None), (0.04, 0.20)),
-]
+    ("gold-eagle-1oz", 0.04, 0.12, "series = 'American Gold Eagle' and weight = 1"),
+    ("gold-eagle-frac", 0.08, 0.25, "series = 'American Gold Eagle' and weight < 1"),
+    ("gold-buffalo-1oz", 0.04, 0.12, "series = 'American Gold Buffalo' and weight = 1"),
+    ("gold-maple-1oz", 0.03, 0.10, "series = 'Canadian Gold Maple Leaf' and weight = 1"),
+    ("gold-krugerrand-1oz", 0.03, 0.10, "series = 'Gold Krugerrand' and weight = 1"),
+    ("gold-panda-1oz", 0.05, 0.20, "series = 'Chinese Gold Panda' and weight >= 0.9"),
+    ("gold-libertad-1oz", 0.08, 0.40, "series = 'Mexican Gold Libertad' and weight = 1"),
+    ("gold-coin-frac-other", 0.08, 0.30, "metal = 'gold' and form <> 'bar' and weight > 0 and weight < 1"),
+    ("gold-coin-1oz-other", 0.03, 0.15, "metal = 'gold' and form <> 'bar' and weight = 1"),
+    ("gold-bar-1g", 0.12, 0.40, "metal = 'gold' and form = 'bar' and weight <= 0.04"),
+    ("gold-bar-small", 0.05, 0.20, "metal = 'gold' and form = 'bar' and weight < 0.5"),
+    ("gold-bar-1oz", 0.02, 0.08, "metal = 'gold' and form = 'bar' and weight >= 0.5"),
+    ("silver-eagle-1oz", 0.25, 0.80, "series = 'American Silver Eagle' and weight = 1"),
+    ("silver-maple-1oz", 0.15, 0.50, "series = 'Canadian Silver Maple Leaf' and weight = 1"),
+    ("silver-krugerrand-1oz", 0.15, 0.50, "series = 'Silver Krugerrand' and weight = 1"),
+    ("silver-britannia-1oz", 0.15, 0.50, "series = 'British Silver Britannia' and weight = 1"),
+    ("silver-philharmonic-1oz", 0.15, 0.50, "series = 'Austrian Silver Philharmonic' and weight = 1"),
+    ("silver-panda-30g", 0.20, 0.80, "series = 'Chinese Silver Panda'"),
+    ("silver-libertad-1oz", 0.30, 1.50, "series = 'Mexican Silver Libertad' and weight = 1"),
+    ("silver-kookaburra-1oz", 0.20, 0.80, "series = 'Australian Silver Kookaburra' and weight = 1"),
+    ("silver-lunar-1oz", 0.20, 1.00, "lower(series) like '%lunar%' and metal = 'silver' and weight = 1"),
+    ("silver-coin-1oz-other", 0.10, 0.60, "metal = 'silver' and form <> 'bar' and weight = 1"),
+    ("silver-round-1oz", 0.08, 0.30, "metal = 'silver' and form = 'round' and weight = 1"),
+    ("silver-bar-1oz", 0.08, 0.30, "metal = 'silver' and form = 'bar' and weight = 1"),
+    ("silver-bar-10oz", 0.05, 0.20, "metal = 'silver' and form = 'bar' and weight between 5 and 15"),
+    ("silver-bar-100oz", 0.03, 0.12, "metal = 'silver' and form = 'bar' and weight >= 90"),
+    ("platinum-eagle-1oz", 0.05, 0.20, "series = 'American Platinum Eagle' and weight = 1"),
+    ("platinum-coin-1oz-other", 0.04, 0.20, "metal = 'platinum' and weight = 1"),
+    ("palladium-1oz", 0.04, 0.20, "metal = 'palladium' and weight = 1"),
+]
 
 
 def animal(year: Column) -> Column:
@@ -44,21 +84,24 @@ def roll_quantity(text: Column) -> Column:
     return out
 
 
-def premium_range(metal: Column, form: Column, weight: Column) -> Column:
-    """Struct low, high of the first rule that holds; a rule's weight is an upper bound."""
-    out = F.when(F.lit(False), F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high")))
-    for (m, f, w), (low, high) in PREMIUMS:
-        holds = metal == m
-        holds = holds if f is None else holds & (form == f)
-        holds = holds if w is None else holds & (weight < w)
-        out = out.when(holds, F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))
-    return out
+def with_premium(df: DataFrame) -> DataFrame:
+    """``df`` (metal, series, form, weight) with ``band``: struct key, low, high of the first row that
+    holds, null for none or without a metal."""
+    plain = df.withColumn("_p", F.struct(F.lower("metal").alias("metal"), F.coalesce("series", F.lit("")).alias("series"), F.coalesce("form", F.lit("")).alias("form"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")))
+    band = F.when(F.col("metal").isNull(), F.lit(None))
+    for key, low, high, condition in PREMIUMS:
+        holds = F.expr(re.sub(r"\b(metal|series|form|weight)\b(?=[ )])", r"_p.\1", condition))
+        band = band.when(holds, F.struct(F.lit(key).alias("key"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+    return plain.withColumn("band", band).drop("_p")
 
 
 def premium_verdict(value: Column, melt: Column, band: Column) -> Column:
-    """low, normal, high or unknown."""
-    premium = F.when(melt > 0, (value - melt) / melt)
-    return F.when(premium.isNull() | band.isNull(), "unknown").when(premium < band["low"], "low").when(premium > band["high"], "high").otherwise("normal")
+    """low, normal, high or unknown; premiums are compared to six places, bounds are normal."""
+    def exact(x: Column) -> Column:
+        return x.cast("decimal(18,6)")
+
+    premium = exact(F.when(melt > 0, (value - melt) / melt))
+    return F.when(premium.isNull() | band.isNull(), "unknown").when(premium < exact(band["low"]), "low").when(premium > exact(band["high"]), "high").otherwise("normal")
 
 
 def best_type(items: DataFrame, types: DataFrame) -> DataFrame:

@@ -12,10 +12,30 @@ def first_per(df: DataFrame, keys: list[str | Column], *order: str | Column) ->
 
 
 def dedup_or(df: DataFrame, item: str, print_: str, *order: str) -> DataFrame:
-    """First rows by item id, then by fingerprint among the survivors; a null or empty id has no double."""
-    known = F.col(item).isNotNull() & (F.col(item).cast("string") != "")
-    once = first_per(df.where(known), [item], *order).unionByName(df.where(~known))
-    return first_per(once, [print_], *order)
+    """First rows by item id, then by fingerprint among the survivors; a null or empty id or
+    fingerprint has no double. The first row is an aggregate, so copies meet before the shuffle."""
+    for key in (item, print_):
+        known = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+        first = df.where(known).groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+        df = first.select("_row.*").unionByName(df.where(~known))
+    return df
+
+
+def interleaved(df: DataFrame, kind: str, at: str, name: str) -> DataFrame:
+    """``df`` with ``place``: one row of each kind in turn (kinds in order), each kind by ``at`` and
+    ``name``, until all are placed. Ranks are counted within a kind and day and added up by
+    counts, so that no kind is sorted in one task; kinds and days are few."""
+    day = df.withColumn("_day", F.to_date(at))
+    counts = day.groupBy(kind, "_day").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(kind)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(kind, "_day").orderBy(at, name))
+    ranked = day.join(counts.select(kind, F.col("_day").alias("_d"), "_before").withColumnRenamed(kind, "_k"), F.col(kind).eqNullSafe(F.col("_k")) & F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_r", rank + F.col("_before"))
+    sizes = counts.groupBy(kind).agg(F.sum("_c").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("k"), "n"))).alias("_sizes"))  # a row per kind
+    ranked = ranked.crossJoin(F.broadcast(sizes))
+    earlier = F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda s, x: s + F.least(x["n"], F.col("_r") - 1))
+    turn = F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda s, x: s + ((x["k"] < F.col(kind)) & (x["n"] >= F.col("_r"))).cast("bigint"))
+    return ranked.select(*df.columns, (earlier + turn + 1).alias("place"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

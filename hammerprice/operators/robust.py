@@ -1,5 +1,5 @@
-"""Robust grouped statistics. Groups are aggregated first and joined back, so a large
-group is never gathered by a window."""
+"""Robust grouped statistics, from counts by distinct value: rows are read once and summed
+before the shuffle; windows and ranks only see distinct values."""
 
 from __future__ import annotations
 
@@ -12,19 +12,40 @@ from ..functions.numbers import money
 FENCE, MAD_TO_SIGMA = 3.5, 1.4826
 
 
-def with_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``df`` with its group's median, MAD and size (med, mad, n). Null values don't count."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("n"))
-    out = df.join(med, keys)
-    mad = out.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return out.join(mad, keys)
+def value_counts(df: DataFrame, keys: list[str], value: str, **sums: Column) -> DataFrame:
+    """A row per group and distinct value: ``c`` (rows) and the named sums. Null values don't count.
 
+    Everything else is told from this table, which grows with the distinct values, not the rows."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), *[F.sum(x).alias(name) for name, x in sums.items()])
 
-def mad_flag(df: DataFrame, keys: list[str], value: str, k: float = FENCE) -> DataFrame:
-    """``df`` with ``kept``: within ``k`` robust standard deviations of the median; groups below four keep all."""
+
+def _quantile(value: str, upto: str, share: float, group: Window) -> Column:
+    """The interpolated quantile of a group from counts summed up to each value (n: rows)."""
+    at = (F.col("n") - 1) * F.lit(share)
+    below, above = F.floor(at), F.ceil(at)
+    low, high = (F.min(F.when(F.col(upto) > x, F.col(value))).over(group) for x in (below, above))
+    return F.when(below == above, low).otherwise((above - at) * low + (at - below) * high)
+
+
+def with_spread(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` (of ``value_counts``) with n, upto (rows up to the value), med and mad of their group."""
+    w = Window.partitionBy(*keys)
+    out = counts.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value)))
+    out = out.withColumn("med", _quantile(value, "upto", 0.5, w)).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
+    out = out.withColumn("_near", F.sum("c").over(w.orderBy("_dev")))  # equal deviations are peers
+    return out.withColumn("mad", _quantile("_dev", "_near", 0.5, w)).drop("_dev", "_near")
+
+
+def inside_fence(value: str, k: float = FENCE) -> Column:
+    """Within ``k`` robust standard deviations of the median; groups below four keep all."""
     spread = F.col("mad") * MAD_TO_SIGMA * k
-    inside = F.col(value).between(F.col("med") - spread, F.col("med") + spread)
-    return with_median(df, keys, value).withColumn("kept", (F.col("n") < 4) | inside)
+    return (F.col("n") < 4) | F.col(value).between(F.col("med") - spread, F.col("med") + spread)
+
+
+def mad_flag(df: DataFrame, keys: list[str], value: str, k: float = FENCE) -> DataFrame:
+    """``df`` with med, mad, n of its group, and ``kept``: whether the value is inside the fence."""
+    groups = with_spread(value_counts(df, keys, value), keys, value).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("med", "mad", "n")])
+    return df.join(groups, keys).withColumn("kept", inside_fence(value, k))
 
 
 def iqr_flag(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
@@ -59,12 +80,25 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, median, p25, p75, min, max, stddev (0 for one row) and mad, as money."""
-    out = with_median(df, keys, value).groupBy(*keys)
-    stats = {
-        "mean": F.avg(value), "median": F.median(value), "p25": F.percentile(value, F.lit(0.25)), "p75": F.percentile(value, F.lit(0.75)),
-        "min": F.min(value), "max": F.max(value), "stddev": F.coalesce(F.stddev_samp(value), F.lit(0.0)), "mad": F.max("mad"),
-    }
-    return out.agg(F.count(value).alias("count"), *[money(c).alias(n) for n, c in stats.items()])
+    w, v, c = Window.partitionBy(*keys), F.col(value), F.col("c")
+    out = with_spread(value_counts(df, keys, value), keys, value).withColumn("_mean", F.sum(v * c).over(w) / F.col("n"))
+    out = out.withColumn("_p25", _quantile(value, "upto", 0.25, w)).withColumn("_p75", _quantile(value, "upto", 0.75, w))
+    spread = F.when(F.max("n") > 1, F.sqrt(F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))) / (F.max("n") - 1))).otherwise(0.0)
+    stats = {"mean": F.max("_mean"), "median": F.max("med"), "p25": F.max("_p25"), "p75": F.max("_p75"), "min": F.min(v), "max": F.max(v), "stddev": spread, "mad": F.max("mad")}
+    return out.groupBy(*keys).agg(F.max("n").alias("count"), *[money(x).alias(name) for name, x in stats.items()])
+
+
+def fair_values(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+    """``keys``, fair_value (weighted median inside the fence), n, low, high and removed (rows
+    outside): one pass over ``df``, the rest from counts by value. Weights are decimals above zero."""
+    w, v = Window.partitionBy(*keys), F.col(value)
+    out = with_spread(value_counts(df, keys, value, w=weight), keys, value).withColumn("kept", inside_fence(value))
+    own = F.when(F.col("kept"), F.col("w"))
+    out = out.withColumn("_running", F.sum(own).over(w.orderBy(value))).withColumn("_total", F.sum(own).over(w))
+    fair = F.min(F.when(F.col("kept") & (F.col("_running") * 2 >= F.col("_total")), v))
+    rows = F.coalesce(F.sum(F.when(F.col("kept"), F.col("c"))), F.lit(0))
+    inside = F.when(F.col("kept"), v)
+    return out.groupBy(*keys).agg(fair.alias("fair_value"), rows.alias("n"), F.min(inside).alias("low"), F.max(inside).alias("high"), (F.sum("c") - rows).alias("removed"))
 
 
 def recency_weight(sold: Column, as_of: Column, half_life: Column | float, score: Column | None = None) -> Column:

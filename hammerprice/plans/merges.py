@@ -10,15 +10,15 @@ from ..functions.text import fingerprint
 from ..operators import merge
 from ..registry import query, table
 
-_PRINT = "substr(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]', '', 'g'), 1, 80)"
+_PRINT = "substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80)"
 
 
 @query(f"""WITH d AS (SELECT doc_id, doc_id // 3 AS item, {_PRINT} AS print FROM documents),
 a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item ORDER BY doc_id) = 1)
-SELECT doc_id, item FROM a QUALIFY row_number() OVER (PARTITION BY print ORDER BY doc_id) = 1""")
+SELECT doc_id, item FROM a QUALIFY coalesce(print, '') = '' OR row_number() OVER (PARTITION BY print ORDER BY doc_id) = 1""")
 def dedup_id_then_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    plain = F.substring(F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^a-z0-9]", ""), 1, 80)
+    plain = F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 80)
     d = d.select("doc_id", F.floor(F.col("doc_id") / 3).alias("item"), plain.alias("print"))
     return merge.dedup_or(d, "item", "print", "doc_id").select("doc_id", "item")
 
@@ -94,12 +94,11 @@ def carry_forward_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", own.alias("own"), F.last(own, True).over(w).alias("carried"))
 
 
-@query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY r, o_orderpriority) AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 20 ORDER BY place LIMIT 100""")
+@query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY r, o_orderpriority) AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders)""")
 def round_robin_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred orders, one of each priority in turn, oldest first."""
-    nth = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey"))
-    first = table(spark, sf_dir, "orders").withColumn("r", nth).where("r <= 20").orderBy("r", "o_orderpriority").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("r", "o_orderpriority")).cast("bigint")).select("o_orderkey", "place")
+    """The place of every order if one of each priority comes in turn, oldest first."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("at"))
+    return merge.interleaved(orders, "kind", "at", "o_orderkey").select("o_orderkey", "place")
 
 
 @query("SELECT o_orderpriority, date_trunc('day', o_orderdate)::DATE AS day, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, date_trunc('day', o_orderdate) ORDER BY o_orderkey) = 1")
@@ -120,7 +119,7 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(table(spark, sf_dir, "customer").select("c_nationkey").where("false")).distinct().subtract(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).subtract(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")

@@ -16,12 +16,7 @@ _WEIGHT = f"CAST(1.0::DOUBLE / (1 + greatest(1.0::DOUBLE, (epoch_ms(TIMESTAMP '{
 
 
 def fair_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = robust.mad_flag(sales(spark, sf_dir), ["brand"], "price")
-    removed = rows.groupBy("brand").agg(F.sum((~F.col("kept")).cast("bigint")).alias("removed"))
-    kept = rows.where("kept").withColumn("w", robust.recency_weight(F.col("sold"), as_of(), 90))
-    value = robust.weighted_median(kept, ["brand"], "price", "w").withColumnRenamed("weighted_median", "fair_value")
-    spread = kept.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
-    return value.join(spread, "brand").join(removed, "brand")
+    return robust.fair_values(sales(spark, sf_dir), ["brand"], "price", robust.recency_weight(F.col("sold"), as_of(), 90))
 
 
 _VALUE = f"""{SALES}, {_FLAG}, kept AS (SELECT *, {_WEIGHT} AS w FROM flagged WHERE kept),
@@ -52,8 +47,9 @@ def percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SALES}, {_FLAG} SELECT brand, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS removed, {m('any_value(med)')} AS med, {m('any_value(mad)')} AS mad FROM flagged GROUP BY brand")
 def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = robust.mad_flag(sales(spark, sf_dir), ["brand"], "price")
-    return rows.groupBy("brand").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"), money(F.max("med")).alias("med"), money(F.max("mad")).alias("mad"))
+    each = robust.with_spread(robust.value_counts(sales(spark, sf_dir), ["brand"], "price"), ["brand"], "price").withColumn("kept", robust.inside_fence("price"))
+    rows = F.sum(F.when(F.col("kept"), F.col("c")).otherwise(0))
+    return each.groupBy("brand").agg(rows.alias("kept"), (F.sum("c") - rows).alias("removed"), money(F.max("med")).alias("med"), money(F.max("mad")).alias("mad"))
 
 
 @query(f"""WITH {SALES}, l AS (SELECT kind, list(price ORDER BY price) AS p FROM sales GROUP BY kind),

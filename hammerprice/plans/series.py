@@ -26,24 +26,24 @@ def daily_price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = """q AS (SELECT user_id, event_type AS metal, CAST(max(ts) AS DATE) + CAST((user_id % 25) - 40 AS INT) AS day FROM events GROUP BY 1, 2),
-s AS (SELECT * FROM spot WHERE extract(day FROM day) % 5 = 1)"""
+s AS (SELECT * FROM spot)"""
 
 
 @query(f"""WITH {_SPOT}, {_ASKED}, c AS (SELECT q.*, coalesce((SELECT max(s.day) FROM s WHERE s.metal = q.metal AND s.day <= q.day), (SELECT min(s.day) FROM s WHERE s.metal = q.metal)) AS at FROM q)
 SELECT c.user_id, c.metal, c.day, CASE WHEN abs(c.day - c.at) <= 7 THEN s.price END AS price, CASE WHEN abs(c.day - c.at) <= 7 THEN c.at END AS matched_day FROM c LEFT JOIN s ON s.metal = c.metal AND s.day = c.at""")
 def asof_prior_then_next_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The price of a metal on a day, as a gappy series knows it."""
+    """The price of a metal on a day, as a series that may have gaps knows it."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("metal")).agg(F.to_date(F.max("ts")).alias("day"))
     e = e.withColumn("day", F.date_add("day", (F.col("user_id") % 25 - 40).cast("int")))
-    s = spot(spark, sf_dir).where(F.dayofmonth("day") % 5 == 1).withColumnRenamed("day", "d")
+    s = spot(spark, sf_dir).withColumnRenamed("day", "d")
     return as_of_join(e, s, ["metal"], "day", "d", "price").select("user_id", "metal", "day", "price", "matched_day")
 
 
-@query(f"""WITH {_SPOT}, d AS (SELECT event_type AS metal, CAST(ts AS DATE) AS day, median(value) AS median FROM events WHERE user_id < 40 GROUP BY 1, 2)
+@query(f"""WITH {_SPOT}, d AS (SELECT event_type AS metal, CAST(ts AS DATE) AS day, median(value) AS median FROM events GROUP BY 1, 2)
 SELECT metal, day, d.median, spot.price FROM spot LEFT JOIN d USING (metal, day)""")
 def metal_overlay_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference series with the market's median laid over it."""
-    d = table(spark, sf_dir, "events").where("user_id < 40").groupBy(F.col("event_type").alias("metal"), F.to_date("ts").alias("day")).agg(F.median("value").alias("median"))
+    d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metal"), F.to_date("ts").alias("day")).agg(F.median("value").alias("median"))
     return spot(spark, sf_dir).join(d, ["metal", "day"], "left").select("metal", "day", "median", "price")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import rarity
-from ..operators import audit, resolve
+from ..operators import audit, holdings, resolve, variants
 from ..operators.lookup import first_rule_join, token_matches
 from ..registry import query, table
 from .common import SALES, sales
@@ -82,8 +82,8 @@ def metal_and_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, sha256(concat_ws('|', lower(trim(c_name)), c_nationkey::VARCHAR, lower(c_mktsegment), '', '', '')) AS hash FROM customer")
 def item_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of six normalised fields."""
-    fields = [F.lower(F.trim("c_name")), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"), F.lit(""), F.lit(""), F.lit("")]
-    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat_ws("|", *fields), 256).alias("hash"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", holdings.item_hash(F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), none, none, none).alias("hash"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS host, nullif(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '') AS title, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g'))::BIGINT AS text_length FROM pages")
@@ -145,14 +145,13 @@ def token_overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_T}, r AS (SELECT p_brand, CASE WHEN p_size < 3 THEN 'lowRelevance' WHEN regexp_matches(lower(title), '{_DENY}') OR regexp_matches(lower(title), '{text.ROLLS}') THEN 'denied'
 WHEN p_partkey % 17 = 0 THEN 'nonUsd' WHEN {_METAL} <> 'silver' THEN 'metalMismatch' WHEN abs({_WEIGHT} - 1.0::DOUBLE) / greatest({_WEIGHT}, 1.0::DOUBLE) >= 0.05::DOUBLE THEN 'weightMismatch'
-WHEN {_WEIGHT} IS NULL AND p_retailprice > 250 * 5 THEN 'meltSanity' WHEN abs(1900 + p_partkey % 120 - 1960) > 40 THEN 'yearMismatch' WHEN {_grade("title")} <> 'MS65' THEN 'gradeNumMismatch' ELSE 'kept' END AS rule FROM t)
+WHEN {_WEIGHT} IS NULL AND p_retailprice > 250 * 5 THEN 'meltSanity' WHEN abs(1900 + p_partkey % 120 - 1960) > 40 THEN 'yearMismatch' WHEN p_retailprice < 100 THEN 'meltFloor' WHEN title LIKE '%Reverse Proof%' THEN 'variantMismatch' WHEN {_grade("title")} <> 'MS65' THEN 'gradeNumMismatch' ELSE 'kept' END AS rule FROM t)
 SELECT p_brand, rule, count(*) AS rows FROM r GROUP BY 1, 2""")
 def filter_removal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many titles each rule removes, in the order of the rules, by brand."""
     t = titles(spark, sf_dir)
     wanted = {"score": F.col("p_size"), "least_score": F.lit(3), "total_usd": F.when(F.col("p_partkey") % 17 != 0, F.col("p_retailprice")), "metal": F.lit("silver"), "weight": F.lit(1.0), "price": F.col("p_retailprice"), "spot": F.lit(250.0), "year": F.lit(1960), "tolerance": F.lit(40), "grade": F.lit("MS65")}
-    rules = [r for r in audit.listing_rules(F.col("title"), wanted) if r[0] != "meltFloor"]
-    return audit.removal_counts(audit.removed_by(t, rules), ["p_brand"])
+    return audit.removal_counts(audit.removed_by(t, audit.listing_rules(F.col("title"), wanted)), ["p_brand"])
 
 
 @query(f"""WITH {_T}, s AS (SELECT p_partkey, least(100, 50 + CASE WHEN 1900 + p_partkey % 120 = 1960 THEN 15 ELSE -30 END + CASE WHEN {_METAL} = 'silver' THEN 10 WHEN {_METAL} <> 'silver' THEN -30 ELSE 0 END
@@ -178,3 +177,40 @@ def pair_collision_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = p.select("brand", F.col("part_key").alias("a"), F.col("v").alias("va"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     right = p.select("brand", F.col("part_key").alias("b"), F.col("v").alias("vb"), band.alias("band"))
     return left.join(right, ["brand", "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= F.col("va") * 0.01)).select("brand", "a", "b")
+
+
+#: A made-up listing and what is wanted of it, from a part.
+_COIN = """CASE p_partkey % 13 WHEN 0 THEN '1964 Washington quarter 90% silver' WHEN 1 THEN '1976 Kennedy half dollar clad' WHEN 2 THEN 'Franklin half dollar 1963' WHEN 3 THEN '2 pesos Libertad 1983' WHEN 4 THEN 'Libertad 1 oz silver colorized'
+WHEN 5 THEN 'Silver Eagle Type 2 proof PCGS PR70' WHEN 6 THEN 'Perth Mint silver bar 10 oz' WHEN 7 THEN 'Geiger silver bar 10 oz' WHEN 8 THEN '1943 Jefferson war nickel silver' WHEN 9 THEN 'Buffalo nickel 1936 proof-like privy'
+WHEN 10 THEN 'Elite Libertad proof gilded' WHEN 11 THEN 'Antiqued high relief Morgan 1 oz' ELSE concat_ws(' ', 'Peace dollar', p_name) END"""
+_WISH = """CASE p_partkey % 7 WHEN 0 THEN 'Washington quarter' WHEN 1 THEN 'Kennedy half dollar' WHEN 2 THEN 'Jefferson nickel' WHEN 3 THEN 'colorized Libertad' WHEN 4 THEN 'Morgan dollar proof' WHEN 5 THEN 'antiqued gilded round' ELSE 'Peace dollar clad' END"""
+_WISHED = f"w AS (SELECT p_partkey, {_COIN} AS title, lower({_COIN}) AS low, {_WISH} AS wish, lower({_WISH}) AS asked, 1930 + p_size AS year FROM part)"
+_FAMILY = r"""list_filter([CASE WHEN regexp_matches({0}, '\breverse[\s-]+proof\b') THEN 'reverseProof' END, CASE WHEN regexp_matches(regexp_replace({0}, '\bproof[\s-]*like', '', 'g'), '\bproof\b') AND NOT regexp_matches({0}, '\breverse[\s-]+proof\b') THEN 'proof' END,
+CASE WHEN {0} LIKE '%colorized%' THEN 'colorized' END, CASE WHEN {0} LIKE '%gilded%' THEN 'gilded' END, CASE WHEN {0} LIKE '%privy%' THEN 'privy' END, CASE WHEN {0} LIKE '%high relief%' THEN 'highRelief' END,
+CASE WHEN {0} LIKE '%antiqued%' THEN 'antiqued' END, CASE WHEN {0} LIKE '%elite libertad%' THEN 'specialtyEdition' END], lambda x: x IS NOT NULL)"""
+
+
+def wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_COIN).alias("title"), F.expr(_WISH).alias("wish"), (F.col("p_size") + 1930).alias("year"))
+
+
+@query(f"""WITH {_WISHED}, f AS (SELECT *, {_FAMILY.format("low")} AS own, list_filter({_FAMILY.format("asked")}, lambda x: x IN ('colorized', 'antiqued', 'gilded', 'burnished', 'highRelief')) AS wanted FROM w),
+g AS (SELECT *, CASE WHEN len(wanted) > 1 THEN 'ambiguous' ELSE wanted[1] END AS family FROM f)
+SELECT p_partkey, array_to_string(list_sort(own), ',') AS families, family, CASE WHEN family IS NULL AND len(own) > 0 AND own <> ['privy'] AND (list_contains(own, 'specialtyEdition') OR NOT (asked LIKE '%proof%' AND list_has_any(own, ['proof', 'reverseProof']))) THEN 'variantMismatch'
+WHEN family IS NOT NULL AND NOT (list_contains(own, family) AND len(list_filter(own, lambda x: x IN ('colorized', 'antiqued', 'gilded', 'burnished', 'highRelief'))) = 1 AND NOT list_contains(own, 'specialtyEdition') AND NOT regexp_matches(low, 'pcgs|proof')) THEN 'variantWrongColor' END AS verdict FROM g""")
+def variant_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finish families of titles, the one that is asked for, and whether it keeps the title out."""
+    t, wish = F.col("title"), F.col("wish")
+    family = variants.requested_family(wish)
+    verdict = variants.variant_mismatch(t, family, F.lower(wish).rlike(r"\bproof\b"))
+    return wishes(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(variants.families(t)), ",").alias("families"), family.alias("family"), verdict.alias("verdict"))
+
+
+@query(f"""WITH {_WISHED} SELECT p_partkey,
+CASE WHEN asked LIKE '%washington%' THEN false WHEN asked LIKE '%kennedy%' THEN low LIKE '%franklin%' WHEN asked LIKE '%jefferson%' THEN low LIKE '%buffalo%' WHEN asked LIKE '%morgan%' THEN low LIKE '%peace%' WHEN asked LIKE '%peace%' THEN low LIKE '%morgan%' ELSE false END AS series_conflict,
+CASE WHEN asked LIKE '%quarter%' AND year > 1964 OR asked LIKE '%half dollar%' AND year > 1970 THEN low LIKE '%silver%' WHEN asked LIKE '%quarter%' OR asked LIKE '%half dollar%' THEN low LIKE '%clad%' WHEN asked LIKE '%nickel%' THEN year NOT BETWEEN 1942 AND 1945 AND (low LIKE '%silver%' OR low LIKE '%war%') ELSE false END AS composition,
+low LIKE '%pesos%' AS small_change, NOT (low LIKE '%perth mint%') AS wrong_brand FROM w""")
+def exclusive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series and metal contents that exclude each other, small change, and bars of another maker."""
+    t, wish = F.col("title"), F.col("wish")
+    return wishes(spark, sf_dir).select("p_partkey", variants.series_conflict(wish, t).alias("series_conflict"), variants.composition_mismatch(t, wish, F.col("year")).alias("composition"), variants.small_change(t).alias("small_change"), variants.lacks_words(t, F.lit("Perth Mint")).alias("wrong_brand"))
