@@ -68,13 +68,13 @@ def weighted_median_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.weighted_median(rows, ["part_key"], "price", "w")
 
 
-_SOURCES = "SELECT p_partkey AS part_key, p_retailprice AS guide, sold, CASE WHEN p_size > 25 THEN p_retailprice * 0.9 END AS wholesale FROM part LEFT JOIN (SELECT l_partkey, median(l_extendedprice / l_quantity) AS sold FROM lineitem WHERE l_quantity > 20 GROUP BY 1) ON l_partkey = p_partkey"
+_SOURCES = "SELECT p_partkey AS part_key, p_retailprice AS guide, sold, CASE WHEN p_size > 25 THEN p_retailprice * 0.9 END AS wholesale FROM part LEFT JOIN (SELECT l_partkey, median(l_extendedprice / l_quantity) AS sold FROM lineitem WHERE l_quantity > 0 GROUP BY 1) ON l_partkey = p_partkey"
 
 
 @query(f"""WITH s AS ({_SOURCES}) SELECT part_key, {m("(coalesce(sold * 0.5, 0) + coalesce(guide * 0.3, 0) + coalesce(wholesale * 0.2, 0)) / ((CASE WHEN sold IS NULL THEN 0.0 ELSE 0.5 END) + (CASE WHEN guide IS NULL THEN 0.0 ELSE 0.3 END) + (CASE WHEN wholesale IS NULL THEN 0.0 ELSE 0.2 END))")} AS value FROM s""")
 def source_blend_renormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), F.col("p_retailprice").alias("guide"), F.when(F.col("p_size") > 25, F.col("p_retailprice") * 0.9).alias("wholesale"))
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 20").groupBy(F.col("l_partkey").alias("part_key")).agg(F.median(F.col("l_extendedprice") / F.col("l_quantity")).alias("sold"))
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy(F.col("l_partkey").alias("part_key")).agg(F.median(F.col("l_extendedprice") / F.col("l_quantity")).alias("sold"))
     return part.join(sold, "part_key", "left").select("part_key", money(blend([(F.col("sold"), 0.5), (F.col("guide"), 0.3), (F.col("wholesale"), 0.2)])).alias("value"))
 
 

@@ -13,7 +13,7 @@ from .prices import _WEIGHT
 _BLEND = "(coalesce(sold_median * {0}::DOUBLE, 0) + coalesce(guide * {1}::DOUBLE, 0) + coalesce(auction * {2}::DOUBLE, 0) + coalesce(wholesale * {3}::DOUBLE, 0)) / ((CASE WHEN sold_median IS NULL THEN 0::DOUBLE ELSE {0}::DOUBLE END) + (CASE WHEN guide IS NULL THEN 0::DOUBLE ELSE {1}::DOUBLE END) + (CASE WHEN auction IS NULL THEN 0::DOUBLE ELSE {2}::DOUBLE END) + (CASE WHEN wholesale IS NULL THEN 0::DOUBLE ELSE {3}::DOUBLE END))"
 
 
-@query(f"""WITH {SALES}, c AS (SELECT part_key, price, {_WEIGHT} AS w FROM sales WHERE quantity > 20),
+@query(f"""WITH {SALES}, c AS (SELECT part_key, price, {_WEIGHT} AS w FROM sales),
 each_ AS (SELECT part_key, price, sum(w) AS w FROM c GROUP BY 1, 2), run AS (SELECT part_key, price, sum(w) OVER (PARTITION BY part_key ORDER BY price ROWS UNBOUNDED PRECEDING) AS running, sum(w) OVER (PARTITION BY part_key) AS total FROM each_),
 s AS (SELECT part_key, min(price) FILTER (running * 2 >= total) AS sold_median FROM run GROUP BY 1), g AS (SELECT part_key, count(*) AS n FROM c GROUP BY 1),
 q AS (SELECT p_partkey AS part_key, s.sold_median, coalesce(g.n, 0) AS n, p_retailprice * 1.5::DOUBLE AS spot, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 1.4::DOUBLE END AS wholesale, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice * 2::DOUBLE END AS guide, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 1.8::DOUBLE END AS auction,
@@ -27,7 +27,7 @@ SELECT part_key, {m(m("CASE WHEN isnan(x) THEN NULL ELSE x END"))} AS fmv, CASE
 def valuation_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fair value and method of each part from its larger sales, spot and guides."""
     part, k, p = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_retailprice")
-    comps = sales(spark, sf_dir).where("quantity > 20").select(F.col("part_key").alias("query_id"), F.col("price").alias("total_usd"), F.col("sold").alias("sold_date"), F.lit(None).cast("int").alias("match_score"), F.lit(True).alias("sold"))
+    comps = sales(spark, sf_dir).select(F.col("part_key").alias("query_id"), F.col("price").alias("total_usd"), F.col("sold").alias("sold_date"), F.lit(None).cast("int").alias("match_score"), F.lit(True).alias("sold"))
     # A score of 100 per cent for all: weights are by recency alone.
     s = value.sold_prices(comps.withColumn("match_score", F.lit(100)), as_of(), 90)
     tier = F.when(F.col("p_size") <= 15, "low").when(F.col("p_size") <= 35, "mid").otherwise("high")
