@@ -18,16 +18,41 @@ ROUNDS = 8
 #: Dates from 1900-01-01 on, as many days as the product; others stay.
 DAYS = (340, 215)
 _OPEN, _CLOSE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_APART, _ALONE = r"(?<![A-Za-z0-9_-])", r"(?![A-Za-z0-9_-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Characters of a bank account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_SIZES = sorted(set(IBAN_LENGTHS.values()))
+_IBAN = "|".join(rf"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == size)})\d{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size in _SIZES)
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _CLOSE
+_SSN = r"\d{3}-\d{2}-\d{4}" + _ALONE
+_IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![A-Za-z0-9_]|\.\d)"
+_LOCAL = r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})" + _ALONE
+#: A card in a usual grouping that begins as card networks do, perhaps with three digits behind it.
+_CARD = (
+    r"(?=[3-6]|2(?:2(?:2[1-9]|[3-9])|[3-6]|7(?:[01]|20)))(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{3}"
+    + _ALONE + r")?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})" + _ALONE
+)
+#: Longer runs of digit groups end before a blank and one of these.
+_STOP = rf"(?! (?:{'|'.join((_CARD, _DATE, _SSN, _IP, _LOCAL))}))"
 #: Kind: pattern, tried in this order. Validation by value follows.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": _OPEN + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _CLOSE,
-    "date": _OPEN + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _CLOSE,
-    "ssn": r"(?<![A-Za-z0-9_-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9_-])",
-    "ip": r"(?<![A-Za-z0-9_.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![A-Za-z0-9_]|\.\d)",
-    "phone": r"(?:(?<![A-Za-z0-9_+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|(?<![A-Za-z0-9_])\(\d{3}\) ?\d{3}-\d{4}|(?<![A-Za-z0-9_-])\d{3}-\d{3}-\d{4})(?![A-Za-z0-9_-])",
-    "card": r"(?<![A-Za-z0-9_-])(?:\d[ -]?){12,18}\d(?![A-Za-z0-9_-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "iban": rf"{_OPEN}(?:{_IBAN}){_CLOSE}",
+    "date": _OPEN + _DATE,
+    "ssn": _APART + _SSN,
+    "ip": r"(?<![A-Za-z0-9_.])" + _IP,
+    "phone": rf"(?:(?<![A-Za-z0-9_+])\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:{_STOP}[ .-]?\d{{2,4}}){{2,4}}|(?<![A-Za-z0-9_])(?=\(){_LOCAL}|{_APART}{_LOCAL}){_ALONE}",
+    "card": rf"{_APART}(?:{_CARD}|(?:\d{_STOP}[ -]?){{12,18}}\d{_ALONE})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -65,12 +90,13 @@ def _tens(n: Column) -> Column:
     return F.pow(F.lit(10), n).cast("bigint")
 
 
-def permuted_digits(digits: Column, key: str, kind: str, reveal: bool) -> Column:
+def permuted_digits(digits: Column, key: str, kind: Column | str, reveal: bool) -> Column:
     """A string of 2 to 36 digits to another of the same length."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
     left, right = F.substring(digits, F.lit(1), a).cast("bigint"), F.substring(digits, a + 1, n - a).cast("bigint")
-    tweak = F.concat(F.lit(kind), n.cast("string"))
+    tweak = F.concat(kind, n.cast("string"))
     out = feistel(left, right, _tens(a), _tens(n - a), key, tweak, reveal)
     return _let(out, lambda s: F.concat(F.lpad(s["l"].cast("string"), a, "0"), F.lpad(s["r"].cast("string"), n - a, "0")))
 
@@ -104,12 +130,18 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn(digits, False) % 10 == 0)
+
+
 def _card(m: Column, key: str, reveal: bool) -> Column:
+    """The first four digits stay: they name the network, by which cards are told from what stands beside them."""
+
     def valid(d: Column) -> Column:
-        n = F.length(d)
-        body = permuted_digits(F.substring(d, F.lit(1), n - 1), key, "card", reveal)
-        whole = _let(body, lambda b: F.concat(b, F.pmod(-luhn(b, True), F.lit(10)).cast("string")))
-        return F.when(n.between(13, 19) & (luhn(d, False) % 10 == 0), _let(whole, lambda w: refilled(m, w))).otherwise(m)
+        n, network = F.length(d), F.substring(d, 1, 4)
+        body = permuted_digits(F.substring(d, F.lit(5), n - 5), key, F.concat(F.lit("card"), network), reveal)
+        whole = _let(F.concat(network, body), lambda b: F.concat(b, F.pmod(-luhn(b, True), F.lit(10)).cast("string")))
+        return F.when(_is_card(d), _let(whole, lambda w: refilled(m, w))).otherwise(m)
 
     return _let(_digits(m), valid)
 
@@ -193,14 +225,37 @@ def _email(m: Column, key: str, reveal: bool) -> Column:
     return F.concat(F.lit("user-"), code("name", name, 12), F.lit("@host-"), code("host", host, 8), F.lit(".example"))
 
 
-_HOW = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
+_HOW = {"date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone}
+
+
+def _hit(kind: str, value: Column, pseudonym: Column, head: Column | str = "", tail: Column | str = "") -> Column:
+    head, tail = (F.lit(x) if isinstance(x, str) else x for x in (head, tail))
+    names = {"kind": F.lit(kind), "value": value, "pseudonym": F.coalesce(pseudonym, value), "head": head, "tail": tail}
+    return F.struct(*[x.alias(name) for name, x in names.items()])
+
+
+def _card_hit(m: Column, key: str, reveal: bool, head: Column | str = "") -> Column:
+    """Sixteen digits with three behind them are one card of 16 if that is valid, else one of 19."""
+    short = F.substring(m, 1, 19)
+    beside = m.rlike(r"^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{3}$") & _is_card(_digits(short))
+    return F.when(beside, _hit("card", short, _card(short, key, reveal), head, F.substring(m, 20, 4))).otherwise(_hit("card", m, _card(m, key, reveal), head))
+
+
+def _iban_hit(m: Column, key: str, reveal: bool) -> Column:
+    """What is no account may still be a word like AT20 before a card."""
+
+    def checked(new: Column) -> Column:
+        rest = F.substring(m, F.lit(6), F.length(m))
+        return F.when((new == m) & rest.rlike(f"^{_CARD}$"), _card_hit(rest, key, reveal, F.substring(m, 1, 5))).otherwise(_hit("iban", m, new))
+
+    return _let(_iban(m, key, reveal), checked)
 
 
 def _pseudonym(m: Column, key: str, reveal: bool) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for kind, pattern in PATTERNS.items():
-        out = out.when(m.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), m.alias("value"), F.coalesce(_HOW[kind](m, key, reveal), m).alias("pseudonym"))) if kind != "email" else F.when(m.contains("@"), F.struct(F.lit(kind).alias("kind"), m.alias("value"), _email(m, key, reveal).alias("pseudonym")))
-    return out
+    out = F.when(m.contains("@"), _hit("email", m, _email(m, key, reveal)))
+    for kind, how in _HOW.items():
+        out = out.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _hit(kind, m, how(m, key, reveal)))
+    return out.when(m.rlike("^[A-Z]"), _iban_hit(m, key, reveal)).otherwise(_card_hit(m, key, reveal))
 
 
 def pseudonymised(docs: DataFrame, key: str, reveal: bool = False, found: str | None = None) -> DataFrame:
@@ -209,14 +264,17 @@ def pseudonymised(docs: DataFrame, key: str, reveal: bool = False, found: str |
     With ``found`` a column of that name is added: an array of (kind, value, pseudonym)
     in the order of the text; it replaces a column of that name. Null texts stay null
     (found: empty), texts without personal data stay as they are, rows are treated one
-    by one. ``reveal`` turns pseudonyms of numbers and ISO or dotted dates back."""
+    by one. ``reveal`` turns pseudonyms of numbers and ISO or dotted dates back; of cards of
+    19 digits in groups one in ten comes back wrong, as it reads as a card of 16 and a number."""
     text = F.col("text").cast("string")
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _pseudonym(m, key, reveal))
-    kind = "array<struct<kind:string,value:string,pseudonym:string>>"
+    kind = "array<struct<kind:string,value:string,pseudonym:string,head:string,tail:string>>"
     hits = F.when(text.rlike("[0-9@]"), hits).otherwise(F.array()).cast(kind)
     name = found or "hammerprice_found"
     columns = [c for c in docs.columns if c != name]
     rows = docs.select(*columns).withColumn(name, F.coalesce(hits, F.array().cast(kind)))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col(name), lambda gap, hit: F.concat(gap, F.coalesce(hit["pseudonym"], F.lit(""))))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.col(name), lambda gap, hit: F.concat(gap, F.coalesce(F.concat(hit["head"], hit["pseudonym"], hit["tail"]), F.lit(""))))
     rows = rows.withColumn("text", F.when(F.size(name) > 0, F.array_join(pieces, "")).otherwise(text))
-    return rows.withColumn(name, F.filter(name, lambda x: x["value"] != x["pseudonym"])) if found else rows.select(*columns)
+    changed = F.filter(name, lambda x: x["value"] != x["pseudonym"])
+    plain = F.transform(changed, lambda x: F.struct(x["kind"], x["value"], x["pseudonym"]))
+    return rows.withColumn(name, plain) if found else rows.select(*columns)
