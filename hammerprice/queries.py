@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import dimensions, market, merges, operations, prices, series, streams, texts, valuations  # noqa: F401  they register their queries
+from .plans import dimensions, intents, market, merges, operations, prices, series, streams, texts, valuations  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hammerprice.operators import audit, dims, market, score, variants
+from hammerprice.operators import audit, dims, intent, market, score, variants
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -62,6 +62,22 @@ def test_market_rules(spark):
     assert sorted(one.collect()) == sorted(again.collect()) and 5 <= one.count() <= 200 and one.where("golden").count() == 5
 
 
+def test_bulk_items(spark):
+    got = values(spark, lambda t: intent.bulk_items(t, 3), '["a \\"b\\"", {"coin": "c", "qty": "3"}, {"x": 1, "quantity": 0}]', "no", None, "[]")
+    assert [x and [tuple(i) for i in x] for x in got] == [[('a "', True, 1), ("c", False, 3), ("", False, 1)], None, None, []]
+
+
+def test_profiles_of_nothing(spark):
+    assert [tuple(x) for x in values(spark, intent.metal_profile, None, "", "coin -gold", "Gold coin")] == [(False, None), (False, None), (False, None), (True, "gold")]
+    assert values(spark, intent.composition, None, "1943 war nickel", "indian cent eagle") == ["unknown", "silver-numismatic", "unknown"]
+
+
+def test_ghosts_by_turned_words(spark):
+    rows = [("2011 mexico 1oz silver libertad", 4, 0), ("2011 mexican silver libertad 1oz bu", 1, 9), ("x", None, None), ("2011 eagle", 7, 0), ("2011 eagle 1oz", None, 2)]
+    df = spark.createDataFrame([(k, d, None, None, None, None, n) for k, d, n in rows], "key string, deep_at int, page1_at int, last_refresh int, newest int, oldest int, n int")
+    assert {r["key"]: r["deep_at"] for r in intent.pruned(df, F.lower).collect()} == {"2011 mexican silver libertad 1oz bu": 1, "2011 eagle 1oz": 7}
+
+
 def test_empty_titles_are_no_copies(spark):
     from hammerprice.operators import merge
 
