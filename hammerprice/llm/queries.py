@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
+from . import decontaminate, exact, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
 from .shared import importable
 
 #: Of the registered query; a real corpus has its own.
@@ -80,6 +80,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document, by bytes: the largest doc_id of a group stays."""
+    found = exact.duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -92,4 +98,5 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_exact_dedup": op11_exact_dedup,
     }

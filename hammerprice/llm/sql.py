@@ -48,6 +48,11 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_hit, 0) AS n_hit, coa
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 
+EXACT = """
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING,
@@ -55,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_near_dedup": VECTORS,
         "op6_license_scan": licenses.sql(),
         "op8_decontamination": DECONTAMINATION,
+        "op11_exact_dedup": EXACT,
     }
