@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
+from . import decontaminate, dialogue, exact, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
 from .shared import importable
 
 #: Of the registered query; a real corpus has its own.
@@ -86,6 +86,17 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and the cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    report, turns = dialogue.repaired(dialogue.damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    found = every.join(report.withColumnRenamed("conv_id", "_r"), F.col("conv_id").eqNullSafe(F.col("_r")), "left")
+    found = found.join(dialogue.digests(turns).withColumnRenamed("conv_id", "_d"), F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -99,4 +110,5 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_exact_dedup": op11_exact_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
     }

@@ -53,6 +53,35 @@ SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))"""
 
 
+#: The recursion goes through all conversations at once, a turn at a time, with the audit strings as they are. `moves` has every macro from every state.
+REPAIR = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS z FROM raw, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN z = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE z <> 0),
+told AS (SELECT *, row_number() OVER o AS i, lag(left(role, 1)) OVER o AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open
+  FROM hurt WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT again AND NOT blank) AS truncated,
+  count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM told GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (3, 2, 'I', 3, ['user:']), (2, 3, 'I', 3, ['assistant:']),
+  (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:']), (2, 2, 'II', 6, ['assistant:', 'user:']), (3, 3, 'II', 6, ['user:', 'assistant:'])) AS v(x, z, code, cost, put)),
+edits AS (SELECT * FROM (VALUES (0, 0, 'D', 4, NULL, ''), (1, 1, 'D', 4, NULL, ''), (2, 2, 'D', 4, NULL, ''), (3, 3, 'D', 4, NULL, ''), (0, 2, 'R', 3, NULL, 'user'), (1, 2, 'R', 3, NULL, 'user'), (3, 2, 'R', 3, NULL, 'user'), (2, 3, 'R', 3, NULL, 'assistant'),
+  (0, 1, 'K', 0, 's', ''), (0, 2, 'K', 0, 'u', ''), (1, 2, 'K', 0, 'u', ''), (3, 2, 'K', 0, 'u', ''), (2, 3, 'K', 0, 'a', '')) AS v(z, y, edit, cost, initial, role)),
+moves AS (SELECT x, y, ins.code || edit AS code, ins.cost + edits.cost AS cost, edit, initial, put, edits.role AS new FROM ins JOIN edits ON ins.z = edits.z),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0 AS cost, '' AS audit, []::VARCHAR[] AS put FROM counts
+  UNION ALL
+  SELECT conv_id, i, s, b.cost, b.audit, b.put FROM (
+    SELECT d.conv_id, t.i, m.y AS s, min({'cost': d.cost + m.cost + CASE WHEN m.edit <> 'D' AND t.open THEN 3 ELSE 0 END, 'audit': d.audit || m.code,
+      'put': list_concat(d.put, m.put, CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [m.new || ':' || t.text] END)}) AS b
+    FROM dp d JOIN told t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.i = d.i + 1 JOIN moves m ON m.x = d.s AND (m.edit = 'D' OR NOT (t.blank OR t.again)) AND (m.edit <> 'K' OR m.initial = left(t.role, 1))
+    GROUP BY d.conv_id, t.i, m.y)),
+ends AS (SELECT c.conv_id, min({'cost': d.cost + e.cost, 'audit': d.audit || e.code, 'put': list_concat(d.put, e.put)}) AS b
+  FROM counts c JOIN dp d ON d.conv_id IS NOT DISTINCT FROM c.conv_id AND d.i = c.n JOIN ins e ON e.x = d.s AND e.z IN (0, 3) GROUP BY c.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.put, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING,
@@ -61,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": licenses.sql(),
         "op8_decontamination": DECONTAMINATION,
         "op11_exact_dedup": EXACT,
+        "op12_conversation_repair": REPAIR,
     }
