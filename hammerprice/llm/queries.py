@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, exact, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
+from . import decontaminate, dialogue, divergence, exact, licenses, packing, pii, simhash, substring, suffix, token_files, toxicity, vectors
 from .shared import importable
 
 #: Of the registered query; a real corpus has its own.
@@ -97,6 +97,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's divergence from the other sources of its language, and its own terms."""
+    return divergence.divergences(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -111,4 +116,5 @@ def queries() -> dict[str, Query]:
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_exact_dedup": op11_exact_dedup,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_source_divergence": op13_source_divergence,
     }
