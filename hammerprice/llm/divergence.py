@@ -26,7 +26,7 @@ from .shared import small, written
 #: Bytes of text that are cut at once.
 BYTES = 1 << 23
 #: Cells of a block of terms, on average at most; entries that a task works on at once.
-CELLS, ENTRIES = 1 << 18, 1 << 20
+CELLS, ENTRIES = 1 << 14, 1 << 20
 #: Tasks that share the sources of one language.
 SHARES = 16
 #: The five primes of XXH64.
