@@ -33,11 +33,44 @@ KEY_STEPS = [
 ]
 
 #: Words of titles that are no single item.
-DENIED = (
-    "lots? collection estate replica copy cleaned polished fake token plated album folder whitman dansco littleton map "
-    "push.?pin rings? necklace pendant bracelet cufflinks? buckle keychain earrings? magnet poster ornament button shirt "
-    "patch book encyclopedia catalog(ue)? medal coin\\s*roll\\s*hunt(ing)?"
-).split(" ")
+DENIED = [
+    "lots?",
+    "collection",
+    "estate",
+    "replica",
+    "copy",
+    "cleaned",
+    "polished",
+    "fake",
+    "token",
+    "plated",
+    "album",
+    "folder",
+    "whitman",
+    "dansco",
+    "littleton",
+    "map",
+    "push.?pin",
+    "rings?",
+    "necklace",
+    "pendant",
+    "bracelet",
+    "cufflinks?",
+    "buckle",
+    "keychain",
+    "earrings?",
+    "magnet",
+    "poster",
+    "ornament",
+    "button",
+    "shirt",
+    "patch",
+    "book",
+    "encyclopedia",
+    "catalog(ue)?",
+    "medal",
+    r"coin\s*roll\s*hunt(ing)?",
+]
 ROLLS = r"\b(rolls?|tubes?)\b"
 
 #: Denominations, the first that a text has counts.

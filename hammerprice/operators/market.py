@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ladders
 
 #: Makers of bars, the first that a title has counts.
 BRANDS = [
@@ -141,14 +142,8 @@ def with_proof(term: Column, proof: Column) -> Column:
 
 
 def normalised_series(items: DataFrame, series: DataFrame) -> DataFrame:
-    """item_id and the ``series`` it means, by the first step that finds one: equal name, equal
-    alias, alias inside the name, name or series inside the other. Ties go to the longest, then
-    the first in the alphabet. ``series`` (series, aliases) is a small dimension."""
-    name = F.lower(F.trim("name"))
-    each = F.broadcast(series.select("series", F.lower("series").alias("_s"), F.transform("aliases", lambda a: F.lower(a)).alias("_a")))
-    step = F.when(name == F.col("_s"), 0).when(F.array_contains("_a", name), 1).when(F.exists("_a", lambda a: name.contains(a)), 2).when(name.contains(F.col("_s")) | F.col("_s").contains(name), 3)
-    found = items.join(each, step.isNotNull()).select("item_id", "series", step.alias("step"))
-    return found.groupBy("item_id").agg(F.min_by("series", F.struct("step", -F.length("series"), "series")).alias("series"), F.min("step").alias("step"))
+    """item_id and the ``series`` it means, with the ``step`` that found it (see ``ladders.series_names``)."""
+    return items.join(ladders.series_names(items, series), "name").select("item_id", "series", "step")
 
 
 def contamination(rows: DataFrame, keys: list[str], title: str, value: str, groups: dict[str, str]) -> DataFrame:
