@@ -102,14 +102,16 @@ def canonical_maker(name: Column) -> Column:
 def _line(own: Column, holds) -> Column:
     out = F.when(F.lit(False), "")
     for name, lines in LINES.items():
+        first = F.when(F.lit(False), "")
         for line, pattern, others in lines:
-            out = out.when((own == name) & holds(line, pattern, others), line)
+            first = first.when(holds(line, pattern, others), line)
+        out = out.when(own == name, first)
     return out
 
 
 def line_in_title(own: Column, title: Column) -> Column:
-    """The first product line of the maker ``own`` whose pattern the title holds."""
-    return _line(canonical_maker(own), lambda line, pattern, others: _low(title).rlike(pattern))
+    """The first product line of the maker ``own`` (a canonical name) whose pattern the title holds."""
+    return _line(own, lambda line, pattern, others: _low(title).rlike(pattern))
 
 
 def line_in_search(own: Column, search: Column) -> Column:
@@ -119,19 +121,20 @@ def line_in_search(own: Column, search: Column) -> Column:
         words = [r"\b" + o.replace(" ", r"\s+") + r"\b" for o in others]
         return _low(search).rlike("|".join([pattern, *words]))
 
-    return _line(canonical_maker(own), holds)
+    return _line(own, holds)
 
 
 def line_by_hint(own: Column, hint: Column) -> Column:
     """The line that a field of a form names: by its name, another name, or its pattern."""
     low = F.trim(_low(hint))
-    return _line(canonical_maker(own), lambda line, pattern, others: low.isin(line.lower(), *others) | low.rlike(pattern))
+    return _line(own, lambda line, pattern, others: low.isin(line.lower(), *others) | low.rlike(pattern))
 
 
 def mismatch(title: Column, own: Column, line: Column) -> Column:
-    """The rule by which a title of another bar goes: another maker in it, or another line of this
-    maker; null if it stays. Titles without a line stay, and all do where maker or line is not given."""
-    wanted = canonical_maker(own).isNotNull() & line.isNotNull()
-    other = F.exists(makers(title), lambda m: m != canonical_maker(own))
+    """The rule by which a title of another bar than the line ``line`` of ``own`` (a canonical name) goes:
+    another maker in it, or another line of this maker; null if it stays. Titles without a line stay,
+    and all do where maker or line is not given."""
+    wanted = own.isNotNull() & line.isNotNull()
+    other = F.exists(makers(title), lambda m: m != own)
     found = line_in_title(own, title)
     return F.when(~F.coalesce(wanted, F.lit(False)), F.lit(None)).when(other, "barBrandMismatch").when(found != line, "barSeriesMismatch")

@@ -147,11 +147,10 @@ def _weight(low: Column) -> Column:
     return F.coalesce(F.nullif(whole, F.lit(0.0)), words, *grams, whole)
 
 
-def parts(title: Column) -> list[Column]:
-    """What a title says, but for its series: plain, exclusions, year, mint, grade, grade_number, grade_source,
-    designation, finish, is_roll, set_type, set_series, label, weight, metal, bar_maker, bar_line. Null where it says nothing."""
-    plain = without_exclusions(title)
-    low = F.lower(plain)
+def parts(low: Column) -> list[Column]:
+    """What a title in lower case, without exclusions, says but for its series: year, mint, grade,
+    grade_number, grade_source, designation, finish, is_roll, set_type, set_series, label, weight,
+    metal, bar_maker. Null where it says nothing."""
     year = _found(low, YEAR).cast("int")
     mint = F.coalesce(_upper(low, MINT_BY_YEAR), *[_upper(low, p) for p in MINT_ALONE])
     grade, source = _grades(low)
@@ -170,10 +169,7 @@ def parts(title: Column) -> list[Column]:
     proof = F.coalesce(~is_set & struck & finish.isNull() & (grade.isNull() | F.coalesce(source == "bu-term", F.lit(False))), F.lit(False))
     number = F.when(~proof, F.regexp_extract(grade, "([0-9]+)", 1).try_cast("int"))
     metal = text.first_rule(low, [(m, rf"\b{m}\b") for m in METALS])
-    bar = F.when(low.rlike(r"\bbars?\b"), bars.maker(plain))
     columns = {
-        "plain": plain,
-        "exclusions": exclusions(title),
         "year": year,
         "mint": mint,
         "grade": F.when(proof, "Proof").otherwise(grade),
@@ -187,8 +183,7 @@ def parts(title: Column) -> list[Column]:
         "label": F.concat(F.lit("Type "), _found(low, r"\btype\s*([12])\b")),
         "weight": _weight(low),
         "metal": metal,
-        "bar_maker": bar,
-        "bar_line": bars.line_in_search(bar, plain),
+        "bar_maker": F.when(low.rlike(r"\bbars?\b"), bars.maker(low)),
     }
     return [c.alias(name) for name, c in columns.items()]
 
@@ -200,16 +195,18 @@ def series_table(df: DataFrame) -> DataFrame:
 
 
 def parsed(titles: DataFrame, title: str, names: DataFrame | None = None) -> DataFrame:
-    """``titles`` with the columns of ``parts`` (set_series apart) and ``series``: the first name of ``names``
-    (nth, name, shown) that the title holds, else the set's. A year of an animal keeps what the title says
-    of mint, programme and metal.
+    """``titles`` with ``plain`` (the title without exclusions), ``exclusions``, the columns of ``parts``
+    (set_series apart), ``bar_line`` and ``series``: the first name of ``names`` (nth, name, shown) that the
+    title holds, else the set's. A year of an animal keeps what the title says of mint, programme and metal.
 
     Each distinct title is parsed and looked up once, so frequent ones cost as much as rare
     ones. A null title says nothing; columns of ``titles`` with the name of a part are
     replaced."""
     known = series_table(titles) if names is None else names
-    own = titles.select(F.col(title).alias("_title")).distinct().select("_title", *parts(F.col("_title")))
+    own = titles.select(F.col(title).alias("_title")).distinct()
+    own = own.select("_title", without_exclusions(F.col("_title")).alias("plain"), exclusions(F.col("_title")).alias("exclusions"))
     own = own.withColumn("_low", F.lower("plain"))
+    own = own.select("*", *parts(F.col("_low"))).withColumn("bar_line", bars.line_in_search(F.col("bar_maker"), F.col("_low")))
     found = dictionary.first_held(own, known, "_low", "name", "nth")
     whole = own.join(found, "_low", "left")
     before = F.concat_ws(" ", *[text.first_rule(F.col("_low"), rules) for rules in ZODIAC])

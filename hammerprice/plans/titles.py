@@ -178,7 +178,7 @@ CASE WHEN line IS NULL THEN NULL WHEN len(list_filter(found, lambda x: x <> own)
 def bar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Makers and lines that titles of bars name, and the rule by which they are not the bar that is wanted."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_BAR).alias("title"), F.expr(_MAKER).alias("own"), F.expr(_LINE).alias("hint"))
-    line = bars.line_by_hint(F.col("own"), F.col("hint"))
-    found = title.parsed(rows.withColumn("line", line), "title")
-    columns = [bars.makers(F.col("title")).alias("makers"), bars.canonical_maker(F.col("own")).alias("wanted"), "line", "bar_maker", "bar_line", bars.mismatch(F.col("title"), F.col("own"), F.col("line")).alias("removed_by")]
+    rows = rows.withColumn("wanted", bars.canonical_maker(F.col("own"))).withColumn("line", bars.line_by_hint(F.col("wanted"), F.col("hint")))
+    found = title.parsed(rows, "title")
+    columns = [bars.makers(F.col("title")).alias("makers"), "wanted", "line", "bar_maker", "bar_line", bars.mismatch(F.col("title"), F.col("wanted"), F.col("line")).alias("removed_by")]
     return found.select("p_partkey", *columns)

@@ -61,8 +61,8 @@ def test_keywords(spark):
 
 
 def test_bars(spark):
-    df = spark.createDataFrame([("PAMP Suisse Lady Fortuna and Geiger bar", "pamp suisse", "Fortuna"), ("pamp bull", "PAMP", "Zodiac - Taurus"), ("perth mint dragon ball", "Perth Mint", "Cast"), ("perth mint dragon", "Perth Mint", "Cast"), (None, None, None)], "title string, own string, line string")
-    t, own = F.col("title"), F.col("own")
+    df = spark.createDataFrame([("PAMP Suisse Lady Fortuna and Geiger bar", " pamp  suisse", "Fortuna"), ("pamp bull", "PAMP", "Zodiac - Taurus"), ("perth mint dragon ball", "Perth Mint", "Cast"), ("perth mint dragon", "Perth Mint", "Cast"), (None, None, None)], "title string, own string, line string")
+    t, own = F.col("title"), bars.canonical_maker(F.col("own"))
     rows = df.select(bars.makers(t), bars.line_in_title(own, t), bars.line_in_search(own, t), bars.mismatch(t, own, F.col("line"))).collect()
     assert [tuple(r) for r in rows] == [(["PAMP", "Geiger"], "Fortuna", "Fortuna", "barBrandMismatch"), (["PAMP"], None, "Zodiac - Taurus", None), (["Perth Mint"], None, None, None), (["Perth Mint"], "Dragon", "Dragon", "barSeriesMismatch"), ([], None, None, None)]
 
