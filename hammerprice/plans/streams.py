@@ -30,3 +30,14 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sliding_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = streaming.sliding(_events(spark, sf_dir), ["event_type"], "ts", "value")
     return s.select("event_type", F.to_date("window.start").alias("start_day"), "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' AND value > 40 THEN 1 ELSE 0 END AS hard, CAST(floor(value) AS INT) % 5 AS soft FROM events),
+g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER o >= 3600000000, false) AS rested FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, hard, soft)),
+r AS (SELECT *, sum(rested::INT) OVER (PARTITION BY user_id ORDER BY ts, hard, soft) AS run, CASE WHEN hard > 0 THEN 2 WHEN soft >= 3 THEN 1 END AS sign FROM g),
+l AS (SELECT *, last_value(sign IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, hard, soft ROWS UNBOUNDED PRECEDING) AS last, lag(sign) OVER (PARTITION BY user_id, run ORDER BY ts, hard, soft) AS before FROM r)
+SELECT event_id, CASE WHEN last = 2 THEN 'Cooldown' WHEN sign = 1 THEN 'Elevated' ELSE 'Normal' END AS state, CASE sign WHEN 2 THEN 'hard_challenge_signal' WHEN 1 THEN 'soft_risk_cluster' ELSE CASE WHEN before = 1 THEN 'clean_pass_after_elevated' END END AS reason FROM l""")
+def risk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk state of each user after each of their events; an hour without one starts anew."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", ((F.col("event_type") == "error") & (F.col("value") > 40)).cast("int").alias("hard"), (F.floor("value").cast("int") % 5).alias("soft"))
+    return streaming.risk_states(e, "user_id", "ts", "hard", "soft", "1 hour").select("event_id", "state", "reason")

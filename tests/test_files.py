@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from hammerprice import streaming
 from hammerprice.sources import listings, sinks
@@ -74,5 +73,3 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("metal string, ts timestamp, price double, ok boolean").parquet(str(src))
     first = streaming.collected(streaming.first_per_day(stream, ["metal"], "ts"), "firsts", "append", str(tmp_path / "c1"))
     assert first.count() == 3
-    states = streaming.collected(streaming.risk_states(stream.withColumn("_at", F.col("ts")), "metal", "ok"), "states", "update", str(tmp_path / "c2"))
-    assert {(r["metal"], r["failures"], r["state"]) for r in states.collect()} == {("gold", 2, "Elevated"), ("silver", 1, "Elevated")}
