@@ -87,3 +87,43 @@ def with_cohort(direct: DataFrame, comps: DataFrame, least_direct: int = 3, leas
     count = met.groupBy("query_id").agg(F.count_if(~F.col("composite")).alias("_direct"), F.count(F.lit(1)).alias("_all"))
     wide = (F.col("_direct") < least_direct) & (F.col("_all") >= least)
     return met.join(count, "query_id").where(~F.col("composite") | wide).drop("_own", "_direct", "_all")
+
+
+#: Points for a full sample, spread and match of bars, of coins that no guide knows and of others; comps of a full sample.
+POINTS = {"bar": (35, 25, 25, 12), "uncovered": (40, 20, 25, 15), "covered": (30, 20, 15, 15)}
+
+
+def confidence(
+    kind: Column, n: Column, spread: Column, score: Column, *, fallback: Column | bool = False, verified: Column | bool = False, guide: Column | bool = False, auction: Column | bool = False, wholesale: Column | bool = False,
+    asking_only: Column | bool = False, sold_share: Column | None = None, population: Column | None = None, margin: Column | None = None, pool_fallback: Column | bool = False, attrition: Column | None = None,
+) -> Column:
+    """0 to 100 for how far a value is to be trusted, whole.
+
+    ``kind`` is ``bar``, ``uncovered`` (no guide knows the coin) or ``covered``; ``spread`` the standard deviation
+    over the mean, ``score`` the mean match in per cent, ``margin`` the wholesale price's distance in per
+    cent, ``attrition`` the per cent of comps that rules removed. Null flags are false, null numbers say
+    nothing."""
+
+    def points(flag: Column | bool, value: int | Column) -> Column:
+        return F.when(F.coalesce(flag if isinstance(flag, Column) else F.lit(flag), F.lit(False)), value).otherwise(0)
+
+    def base(name: str) -> Column:
+        sample, close, match, full = POINTS[name]
+        return F.least(n / full, F.lit(1.0)) * sample + F.greatest(F.lit(0.0), 1 - F.least(spread, F.lit(1.0))) * close + score / 100 * match
+
+    thin = points(n < 5, -10)
+    weak = points(fallback, F.when(n >= 30, 0).when(n >= 15, -7).otherwise(-15))
+    bar = base("bar") + points(n >= 20, 15) + points(fallback, -5) + thin
+    uncovered = base("uncovered") + points(n >= 20, 10) + points(auction, 5) + weak + thin
+    covered = base("covered") + points(verified, 10) + points(guide, 10) + points(auction, 5) + points(wholesale, 5) + weak + thin
+    c = F.when(kind == "bar", bar).when(kind == "uncovered", uncovered).otherwise(covered)
+    asking = asking_only if isinstance(asking_only, Column) else F.lit(asking_only)
+    c = c + F.when(F.coalesce(asking, F.lit(False)), -30).when(F.lit(False) if sold_share is None else sold_share < 0.3, -20).when(F.lit(False) if sold_share is None else sold_share < 0.6, -10).otherwise(0)
+    if population is not None:
+        c = c - F.when(kind == "bar", 0).when(population < 50, 15).when(population < 100, 10).when(population < 200, 5).otherwise(0)
+    if margin is not None:
+        c = c + F.when(margin <= 15, 5).when(margin >= 40, -5).otherwise(0)
+    c = c + points(pool_fallback, -10)
+    if attrition is not None:
+        c = c - F.when(attrition > 90, 20).when(attrition > 70, 10).when(attrition > 50, 5).otherwise(0)
+    return clamp(F.floor(c + 0.5).cast("double"), 0.0, 100.0)
