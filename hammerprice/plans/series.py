@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money
+from ..operators import ranks
 from ..operators.lookup import as_of_join
 from ..registry import query, table
+from ..stages import staged
 from .common import AS_OF, SALES, as_of, m, sales
 
 
@@ -74,20 +76,37 @@ def trend_12m_vs_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELL = f"""WITH {SALES}, c AS (SELECT brand, year(sold) AS year, median(price) FILTER (quantity >= 10) AS median, count(*) FILTER (quantity >= 10) AS sold, list(price ORDER BY price) FILTER (quantity < 10) AS asks FROM sales GROUP BY 1, 2)"""
 
 
-def matrix(rows: DataFrame, axes: list, sold, price: str) -> DataFrame:
-    """A row per cell: median and number of sold rows, the two lowest prices of the others."""
-    return rows.groupBy(*axes).agg(
-        F.median(F.when(sold, F.col(price))).alias("median"),
-        F.count_if(sold).alias("sold"),
-        F.min(F.when(~sold, F.col(price))).alias("cheapest"),
-        F.get(F.array_sort(F.collect_set(F.when(~sold, F.col(price)))), F.lit(1)).alias("next_price"),
-    )
+def matrix(rows: DataFrame, axes: list[str], sold, price: str) -> DataFrame:
+    """A row per cell: median and number of sold rows, the lowest and the next different price of the others."""
+    cells = rows.groupBy(*axes).agg(F.median(F.when(sold, F.col(price))).alias("median"), F.count_if(sold).alias("sold"), F.min(F.when(~sold, F.col(price))).alias("cheapest"))
+    asked = rows.where(~sold).select(*axes, F.col(price).alias("_price")).distinct()
+    second = asked.withColumn("_nth", F.row_number().over(Window.partitionBy(*axes).orderBy("_price"))).where("_nth <= 2")
+    return cells.join(second.where("_nth = 2").select(*axes, F.col("_price").alias("next_price")), axes, "left")
+
+
+def completed(cells: DataFrame, down: str, across: str) -> DataFrame:
+    """``cells`` and an empty one for each pair of values on the two axes that has none: a dense matrix."""
+    return cells.select(down).distinct().crossJoin(cells.select(across).distinct()).join(cells, [down, across], "left")
+
+
+def summaries(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Each matrix (``keys``; cells with year, median, sold) in a row: cells, priced ones, sales, first and last year, upper median and
+    mean of the cells' medians, coverage in per cent."""
+    counts = cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cells"), F.count("median").alias("priced"), F.sum("sold").alias("sales"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        money(F.avg(F.col("median").cast("decimal(18,4)")).cast("double")).alias("mean"), (F.floor(F.count("median") * 1000.0 / F.count(F.lit(1)) + 0.5) / 10).alias("coverage"),
+    )
+    return counts.join(ranks.upper_medians(cells, keys, "median"), keys, "left")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix(sales(spark, sf_dir).withColumn("year", F.year("sold").cast("bigint")), ["brand", "year"], F.col("quantity") >= 10, "price")
 
 
 @query(_CELL + " SELECT brand, year, median, sold, asks[1] AS cheapest FROM c")
 def year_attr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year by brand: median and count of sold rows (ten pieces or more), lowest price asked."""
-    return matrix(sales(spark, sf_dir), ["brand", F.year("sold").cast("bigint").alias("year")], F.col("quantity") >= 10, "price").drop("next_price")
+    return _cells(spark, sf_dir).drop("next_price")
 
 
 @query(f"WITH {SALES} SELECT kind, count(*) AS n, median(price) AS median FROM sales GROUP BY kind ORDER BY n DESC")
@@ -109,8 +128,19 @@ SELECT cells, filled, floor(filled * 1000.0::DOUBLE / possible + 0.5) / 10 AS co
 def matrix_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, coverage in per cent and the upper median of the cells' medians."""
     c = year_attr_matrix(spark, sf_dir)
-    cells = c.agg(F.count(F.lit(1)).alias("cells"), F.count("median").alias("filled"), (F.countDistinct("brand") * F.countDistinct("year")).alias("possible"), F.array_sort(F.collect_list("median")).alias("l"))
-    return cells.select("cells", "filled", (F.floor(F.col("filled") * 1000.0 / F.col("possible") + 0.5) / 10).alias("coverage"), F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("upper_median"))
+    c = staged(c, "cells")
+    cells = c.agg(F.count(F.lit(1)).alias("cells"), F.count("median").alias("filled"), (F.countDistinct("brand") * F.countDistinct("year")).alias("possible"))
+    upper = ranks.upper_medians(c, [], "median").first()[0]
+    return cells.select("cells", "filled", (F.floor(F.col("filled") * 1000.0 / F.col("possible") + 0.5) / 10).alias("coverage"), F.lit(upper).cast("double").alias("upper_median"))
+
+
+@query(_CELL + """, g AS (SELECT b.brand, y.year, c.median, coalesce(c.sold, 0) AS sold FROM (SELECT DISTINCT brand FROM c) b CROSS JOIN (SELECT DISTINCT year FROM c) y LEFT JOIN c ON c.brand = b.brand AND c.year = y.year),
+l AS (SELECT brand, count(*) AS cells, count(median) AS priced, CAST(sum(sold) AS BIGINT) AS sales, min(year) AS first_year, max(year) AS last_year, avg(median::DECIMAL(18,4)) AS a, list(median ORDER BY median) FILTER (median IS NOT NULL) AS l FROM g GROUP BY brand)
+SELECT brand, cells, priced, sales, first_year, last_year, floor(a::DECIMAL(22,8)::DOUBLE * 100 + 0.5) / 100 AS mean, floor(priced * 1000.0::DOUBLE / cells + 0.5) / 10 AS coverage, l[len(l) // 2 + 1] AS upper_median FROM l""")
+def matrix_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand's dense matrix of years in a row, for comparisons."""
+    cells = staged(completed(_cells(spark, sf_dir), "brand", "year").na.fill(0, ["sold"]), "cells")
+    return summaries(cells, ["brand"])
 
 
 @query(f"""WITH {SALES}, r AS (SELECT brand, kind, price, row_number() OVER (PARTITION BY brand, kind ORDER BY price) AS nth FROM (SELECT DISTINCT brand, kind, price FROM sales)) SELECT brand, kind, max(price) FILTER (nth = 1) AS cheapest, max(price) FILTER (nth = 2) AS next_price FROM r WHERE nth <= 2 GROUP BY 1, 2""")
