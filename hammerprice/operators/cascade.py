@@ -40,7 +40,7 @@ def windowed(queries: DataFrame, comps: DataFrame, as_of: Column, ladder: list[i
         met = met.where(F.col("_place") < F.size("_steps"))
     count = met.groupBy("query_id", "_place").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("_steps", "least", "held")])
     first = count.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("_place", "n"))).alias("_n"), *[F.any_value(c).alias(c) for c in ("_steps", "least", "held")])  # as many entries as windows
-    so_far = F.transform("_steps", lambda d, i: F.aggregate(F.sequence(F.lit(0), i), F.col("held"), lambda s, k: s + F.coalesce(F.col("_n")[k], F.lit(0))))
+    so_far = F.transform("_steps", lambda d, i: F.aggregate(F.sequence(F.lit(0), i), F.col("held").cast("bigint"), lambda s, k: s + F.coalesce(F.col("_n")[k], F.lit(0))))
     enough = F.array_position(F.transform(so_far, lambda n: n >= F.col("least")), F.lit(True)).cast("int") - 1
     last = F.size("_steps") if open_end else F.size("_steps") - 1
     chosen = first.select("query_id", "_steps", F.when(enough >= 0, enough).otherwise(last).alias("_tier"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money, rarity
@@ -87,12 +85,12 @@ def roll_quantity(text: Column) -> Column:
 def with_premium(df: DataFrame) -> DataFrame:
     """``df`` (metal, series, form, weight) with ``band``: struct key, low, high of the first row that
     holds, null for none or without a metal."""
-    plain = df.withColumn("_p", F.struct(F.lower("metal").alias("metal"), F.coalesce("series", F.lit("")).alias("series"), F.coalesce("form", F.lit("")).alias("form"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")))
+    plain = {"metal": F.lower("metal"), "series": F.coalesce("series", F.lit("")), "form": F.coalesce("form", F.lit("")), "weight": F.coalesce(F.col("weight").cast("double"), F.lit(0.0))}
+    rows = df.select(F.struct(*df.columns).alias("_row"), *[c.alias(n) for n, c in plain.items()])  # the conditions read the plain values under these names
     band = F.when(F.col("metal").isNull(), F.lit(None))
     for key, low, high, condition in PREMIUMS:
-        holds = F.expr(re.sub(r"\b(metal|series|form|weight)\b(?=[ )])", r"_p.\1", condition))
-        band = band.when(holds, F.struct(F.lit(key).alias("key"), F.lit(low).alias("low"), F.lit(high).alias("high")))
-    return plain.withColumn("band", band).drop("_p")
+        band = band.when(F.expr(condition), F.struct(F.lit(key).alias("key"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+    return rows.select("_row", band.alias("_band")).select("_row.*", F.col("_band").alias("band"))
 
 
 def premium_verdict(value: Column, melt: Column, band: Column) -> Column:
@@ -110,16 +108,20 @@ def best_type(items: DataFrame, types: DataFrame) -> DataFrame:
     ``items``: item_id, words (array), year, metal. ``types``: type_id, title, first, last,
     metal. Points: 20 for the year, 5 for each word of three letters or more in the title, 10
     for the metal. Only types that share a word with the item are scored (an inverted index
-    over words); ties go to the smallest type_id."""
-    long = F.filter(F.array_distinct("words"), lambda w: F.length(w) > 2)
+    over words); ties go to the smallest type_id, a number. Shared words are counted once for
+    each set of words, scores once for each such set, year and metal, and the best is an
+    aggregate, so pairs are summed where they arise and never shuffled."""
+    long = F.array_sort(F.filter(F.array_distinct("words"), lambda w: F.length(w) > 2))
     q = items.withColumn("words", long)
-    t = types.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower("title"), r"\s+"))))
-    pairs = q.select("item_id", F.explode("words").alias("_word")).join(t.select("type_id", "_word"), "_word").select("item_id", "type_id").distinct()
-    both = pairs.join(q.alias("q"), "item_id").join(types.alias("t"), "type_id")
-    hits = F.size(F.filter(F.col("q.words"), lambda w: F.array_contains(F.split(F.lower("t.title"), r"\s+"), w)))
-    score = F.when(F.col("q.year").between(F.col("t.first"), F.col("t.last")), 20).otherwise(0) + hits * 5 + F.when(F.col("q.metal") == F.col("t.metal"), 10).otherwise(0)
-    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "type_id"))
-    return both.select("item_id", "type_id", score.alias("score")).withColumn("_n", nth).where("_n = 1").drop("_n")
+    word = types.select("type_id", F.explode(F.array_distinct(F.split(F.lower("title"), r"\s+"))).alias("_word"))
+    asked = q.select("words").distinct()
+    hits = asked.select("words", F.explode("words").alias("_word")).join(word, "_word").groupBy("words", "type_id").agg(F.count(F.lit(1)).alias("_hits"))
+    rated = hits.join(types.select("type_id", "first", "last", F.col("metal").alias("_metal")), "type_id")
+    score = F.when(F.col("year").between(F.col("first"), F.col("last")), 20).otherwise(0) + F.col("_hits") * 5 + F.when(F.col("metal") == F.col("_metal"), 10).otherwise(0)
+    profiles = q.select("words", "year", "metal").distinct()
+    best = profiles.join(rated, "words").groupBy("words", "year", "metal").agg(F.max(F.struct(score.cast("int").alias("score"), (-F.col("type_id")).alias("_id"))).alias("_best"))
+    same = q.words.eqNullSafe(best.words) & q.year.eqNullSafe(best.year) & q.metal.eqNullSafe(best.metal)
+    return q.join(best.select(best.words, best.year, best.metal, "_best"), same).select("item_id", (-F.col("_best._id")).alias("type_id"), F.col("_best.score").alias("score"))
 
 
 def cell_rarity(cells: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,8 +121,8 @@ def chosen(first: DataFrame, second: DataFrame, keys: list[str], score: str) ->
 
 
 def missing_cells(keys: DataFrame, grades: DataFrame, existing: DataFrame) -> DataFrame:
-    """The cross product of two small dimensions without what exists: data sets to create."""
-    return keys.crossJoin(F.broadcast(grades)).join(existing, [*keys.columns, *grades.columns], "left_anti")
+    """The cross product of two dimensions without what exists: data sets to create."""
+    return keys.crossJoin(grades).join(existing, [*keys.columns, *grades.columns], "left_anti")
 
 
 def stamped(df: DataFrame, **versions: str) -> DataFrame:

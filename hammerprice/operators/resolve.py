@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -18,20 +18,26 @@ ORIGINS = [("perth", r"\b(perth|australian?)\b"), ("royalmint", r"\broyal\s*mint
 def described(df: DataFrame, term: str) -> DataFrame:
     """``df`` with what the vetoes look at."""
     t = F.lower(term)
-    return df.select("*", text.year(t).alias("year"), text.weight(t).alias("weight"), text.metal(t).alias("metal"), text.first_rule(t, ORIGINS).alias("origin"), text.grade(t).alias("grade"), t.rlike(SPECIAL).alias("special"), t.rlike("generic").alias("generic"))
+    return df.select("*", text.year(t).alias("year"), text.weight(t).alias("weight"), text.metal(t).alias("metal"), text.first_rule(t, ORIGINS).alias("origin"), text.grade(t).alias("grade"), mark(t).alias("mark"), t.rlike(SPECIAL).alias("special"), t.rlike("generic").alias("generic"))
 
 
 def _differ(name: str) -> Column:
     return F.coalesce(F.col(f"q.{name}") != F.col(f"k.{name}"), F.lit(False))
 
 
-def resolve(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """The best dataset for each query: query_id, key_id, score.
+def mark(term: Column) -> Column:
+    """The mint mark beside the year of a term: CC, S, D, O or W; null for none."""
+    return F.upper(F.nullif(F.regexp_extract(F.lower(term), r"\b[0-9]{4}[-\s]?(cc|[sdow])\b", 1), F.lit("")))
 
-    ``queries`` (query_id, term) and ``keys`` (key_id, term). Pairs share enough words;
-    different years, weights (over 5 %), metals, origins or grades forbid a pair, so do a
-    key's grade or specialty that the query lacks. Ties: generic keys last if the query
-    has a year, else first; then the smallest key_id."""
+
+def candidates(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """All datasets that a query may mean: query_id, key_id, score, dated (whether the query has a year), late (0 goes first in ties).
+
+    ``queries`` (query_id, term) and ``keys`` (key_id, term; empty data sets left out). Pairs
+    share enough words; different years, weights (over 5 %), metals, origins or grades forbid a
+    pair, so do a key's grade or specialty that the query lacks. The score is the mean of both
+    shares of words, more for the same metal, weight, mint mark, grade and year, less for a gold,
+    platinum or palladium set that isn't asked for and for another mint mark."""
     q = described(queries.withColumn("words", text.tokens(text.search_key(F.col("term")))), "term")
     k = described(keys.withColumn("words", text.tokens(text.search_key(F.col("term")))), "term")
     pairs = token_matches(q.select("query_id", "words"), k.select("key_id", "words"))
@@ -39,12 +45,37 @@ def resolve(queries: DataFrame, keys: DataFrame) -> DataFrame:
     far = F.abs(F.col("q.weight") - F.col("k.weight")) / F.greatest("q.weight", "k.weight") > 0.05
     veto = _differ("year") | _differ("metal") | _differ("origin") | _differ("grade") | F.coalesce(far, F.lit(False))
     veto |= F.col("q.grade").isNull() & F.col("k.grade").isNotNull() | (F.col("k.special") & ~F.col("q.special"))
-    same = F.coalesce(F.col("q.metal") == F.col("k.metal"), F.lit(False))
+
+    def same(name: str) -> Column:
+        return F.coalesce(F.col(f"q.{name}") == F.col(f"k.{name}"), F.lit(False))
+
     bonus = F.when(F.col("q.year").isNull() & F.col("k.generic"), 0.1).otherwise(0.0)
-    bonus += F.when(same, 0.1).when(F.col("q.metal").isNull() & F.col("k.metal").isin("gold", "platinum", "palladium"), -0.05).otherwise(0.0)
-    bonus += F.when(same & ~F.coalesce(far, F.lit(True)), 0.15).otherwise(0.0)
-    bonus += F.when(F.coalesce(F.col("q.grade") == F.col("k.grade"), F.lit(False)), 0.15).otherwise(0.0)
-    bonus += F.when(F.coalesce(F.col("q.year") == F.col("k.year"), F.lit(False)), 0.2).otherwise(0.0)
-    late = F.when(F.col("q.year").isNotNull(), F.col("k.generic").cast("int")).otherwise((~F.col("k.generic")).cast("int"))
-    scored = both.where(~veto).select("query_id", "key_id", (F.col("combined") + bonus).alias("score"), late.alias("late"))
-    return first_per(scored, ["query_id"], F.desc("score"), "late", "key_id").drop("late")
+    bonus += F.when(same("metal"), 0.1).when(F.col("q.metal").isNull() & F.col("k.metal").isin("gold", "platinum", "palladium"), -0.05).otherwise(0.0)
+    bonus += F.when(same("metal") & ~F.coalesce(far, F.lit(True)), 0.15).otherwise(0.0)
+    bonus += F.when(same("mark"), 0.2).when(_differ("mark"), -0.15).otherwise(0.0)
+    bonus += F.when(same("grade"), 0.15).otherwise(0.0)
+    bonus += F.when(same("year"), 0.2).otherwise(0.0)
+    dated = F.col("q.year").isNotNull()
+    late = F.when(dated, F.col("k.generic").cast("int")).otherwise((~F.col("k.generic")).cast("int"))
+    return both.where(~veto).select("query_id", "key_id", F.round(F.col("combined") + bonus, 9).alias("score"), dated.alias("dated"), late.alias("late"))
+
+
+def resolve(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """The best dataset for each query: query_id, key_id, score. Ties: generic keys last if the query
+    has a year, else first; then the smallest key_id."""
+    return first_per(candidates(queries, keys), ["query_id"], F.desc("score"), "late", "key_id").drop("late", "dated")
+
+
+def resolve_all(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """query_id, key_id, score, place: the best dataset of a query with a year, all candidates of one without, best first."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "late", "key_id"))
+    return candidates(queries, keys).withColumn("place", nth).where(~F.col("dated") | (F.col("place") == 1)).drop("late", "dated")
+
+
+def merged_comps(resolved: DataFrame, comps: DataFrame, same: list[str]) -> DataFrame:
+    """query_id and the comps (key_id and others) of all its datasets, of those with equal ``same`` (title, day and
+    price, say) one: the better dataset's. Nulls are equal."""
+    others = [c for c in comps.columns if c not in ("key_id", *same)]
+    met = resolved.select("query_id", "key_id", "place").join(comps, "key_id")
+    best = met.groupBy("query_id", *same).agg(F.min(F.struct("place", "key_id", *others)).alias("_best"))
+    return best.select("query_id", *same, "_best.key_id", *[f"_best.{c}" for c in others])

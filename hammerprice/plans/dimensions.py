@@ -40,8 +40,7 @@ h AS (SELECT p_partkey, min(nth) AS nth FROM ({_HELD}) GROUP BY 1), r(nth, key,
 SELECT q.p_partkey, r.key, CASE WHEN r.key IS NULL THEN 'unknown' WHEN points < CAST(low * 10000 AS BIGINT) THEN 'low' WHEN points > CAST(high * 10000 AS BIGINT) THEN 'high' ELSE 'normal' END AS verdict FROM q LEFT JOIN h ON h.p_partkey = q.p_partkey LEFT JOIN r ON r.nth = h.nth""")
 def premium_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a premium over melt value is usual."""
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    q = dims.with_premium(spark.sql(_ITEM))
+    q = dims.with_premium(spark.sql(_ITEM.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")))
     return q.select("p_partkey", F.col("band.key").alias("key"), dims.premium_verdict(F.col("points") / 10000 + 1, F.lit(1.0), F.col("band")).alias("verdict"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money
 from ..functions.text import fingerprint
 from ..operators import merge
 from ..registry import query, table
+from ..sources.listings import filled_down
 
 _PRINT = "substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80)"
 
@@ -90,8 +91,7 @@ def rekey_collision_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carry_forward_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value missing in a row is that of the row before it."""
     own = F.when(F.col("role") == "user", F.length("text").cast("bigint"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", own.alias("own"), F.last(own, True).over(w).alias("carried"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", own.alias("own"), filled_down(own, "conv_id", "turn").alias("carried"))
 
 
 @query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY r, o_orderpriority) AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders)""")

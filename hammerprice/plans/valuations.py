@@ -99,3 +99,31 @@ def parallel_key_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = k.join(best.withColumnRenamed("key_id", "found"), F.col("key_id") == F.col("query_id"), "left")
     status = F.when(F.col("found") == F.col("key_id"), "ok").when(F.col("found").isNull(), "drift-empty").otherwise("drift-different")
     return out.select("key_id", "found", status.alias("status"), "rows")
+
+
+#: Searches of all parts and the data sets of all their kinds: words that the canonical key leaves as they are.
+_ASKED = """concat_ws(' ', CASE p_partkey % 5 WHEN 0 THEN '1964-d' WHEN 1 THEN '1964' WHEN 2 THEN '1881-cc' END, p_name, CASE p_partkey % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' END, CASE p_partkey % 7 WHEN 0 THEN 'ms65' WHEN 1 THEN 'proof' END, lower(p_type))"""
+_SETS = """concat_ws(' ', CASE p_size % 6 WHEN 0 THEN '1964-d' WHEN 1 THEN '1964-s' WHEN 2 THEN '1964' WHEN 3 THEN '1881-cc' WHEN 4 THEN 'generic' END, p_name, CASE p_size % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' END, CASE p_size % 7 WHEN 0 THEN 'ms65' WHEN 1 THEN 'proof' END, CASE WHEN p_size % 5 = 0 THEN lower(p_type) END)"""
+_WORDS = "list_filter(list_distinct(string_split(replace({0}, '-', ' '), ' ')), lambda x: length(x) > 1)"
+
+
+def _what(term: str) -> str:
+    return f"""regexp_extract({term}, '^(1964|1881)', 1) AS y, regexp_extract({term}, '^[0-9]+-([a-z]+) ', 1) AS mk, CASE WHEN regexp_matches({term}, '\\bgold\\b') THEN 'gold' WHEN regexp_matches({term}, '\\bsilver\\b') THEN 'silver' ELSE '' END AS metal,
+CASE WHEN {term} LIKE '% ms65%' THEN 'ms65' ELSE '' END AS grade, {term} LIKE '%proof%' AS special, {term} LIKE '%generic%' AS generic, {_WORDS.format(term)} AS w"""
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS query_id, {_what(_ASKED)} FROM part), k AS (SELECT min(p_partkey) AS key_id, any_value(t) AS t FROM (SELECT p_partkey, {_SETS} AS t FROM part) GROUP BY t), d AS (SELECT key_id, {_what("t")} FROM k),
+p AS (SELECT query_id, key_id, q.y <> '' AS dated, d.generic AS generic, len(list_intersect(q.w, d.w)) / len(d.w) AS f, len(list_intersect(q.w, d.w)) / len(q.w) AS r, q.y AS qy, d.y AS dy, q.mk AS qm, d.mk AS dm, q.metal AS qe, d.metal AS de, q.grade AS qg, d.grade AS dg FROM q, d
+ WHERE NOT (q.y <> '' AND d.y <> '' AND q.y <> d.y) AND NOT (q.metal <> '' AND d.metal <> '' AND q.metal <> d.metal) AND NOT (d.grade <> '' AND d.grade <> q.grade) AND NOT (d.special AND NOT q.special)),
+s AS (SELECT *, (f + r) / 2 + CASE WHEN qy = '' AND generic THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN qe <> '' AND qe = de THEN 0.1::DOUBLE WHEN qe = '' AND de = 'gold' THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN qm <> '' AND qm = dm THEN 0.2::DOUBLE WHEN qm <> '' AND dm <> '' THEN -0.15::DOUBLE ELSE 0 END
+ + CASE WHEN qg <> '' AND qg = dg THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN qy <> '' AND qy = dy THEN 0.2::DOUBLE ELSE 0 END AS score FROM p WHERE greatest(f, r) >= 0.65::DOUBLE AND (f + r) / 2 > 0.55::DOUBLE),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, CASE WHEN dated THEN generic::INT ELSE (NOT generic)::INT END, key_id) AS place FROM s)
+SELECT query_id, key_id, place, round(score, 6) AS score FROM n WHERE NOT dated OR place = 1""")
+def resolve_all_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data set that each dated search means, and all those that an undated one may mean, by score."""
+    from ..operators import resolve
+
+    part = table(spark, sf_dir, "part")
+    keys = part.select("p_partkey", F.expr(_SETS).alias("term")).groupBy("term").agg(F.min("p_partkey").alias("key_id"))
+    found = resolve.resolve_all(part.select(F.col("p_partkey").alias("query_id"), F.expr(_ASKED).alias("term")), keys)
+    return found.select("query_id", "key_id", "place", F.round("score", 6).alias("score"))
