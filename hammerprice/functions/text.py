@@ -131,6 +131,56 @@ def metal(text: Column) -> Column:
     return F.when(count > 1, F.coalesce(fine, F.when(low.rlike(r"\bgold\s+(plated|gilded)\b"), F.lit("silver")))).otherwise(F.coalesce(one, fine))
 
 
+_OZ = r"[0-9][0-9./]*\s*(?:troy\s*)?oz"
+#: What makes the gold of a title that names silver too a decoration, in the order in which it is looked for.
+DECORATIONS = [
+    r"\bgold[\s-]*(gild|plat|finish|color|dust|marble|rutil|rhodium|ton(e[ds]?|ing))",
+    r"\bgold[\s-]*(spartan|back|creek|hill)\b",
+    r"\bmulti[\s-]*metal\b",
+    r"\b(ruthenium|rhodium|black)\b",
+    r"[.]?999[+]?\s*(fine\s+)?silver\b",
+    r"\bfine\s+silver\b",
+]
+#: Phrases that tell silver in a title taken for gold, and gold in one taken for silver.
+OPPOSITES = {"gold": r"[.]999\s*silver|\bsilver\s+(coin|panda|eagle|bullion)\b|\b[0-9]+\s*yuan\b.*silver", "silver": r"[.]999\s*gold|\bgold\s+(coin|panda|eagle|bullion)\b|\b[0-9]+\s*yuan\b.*\bgold\b"}
+
+
+def title_metal(title: Column) -> Column:
+    """The metal that a listing is made of: of gold and silver the one beside its weight, silver where gold
+    is a decoration, else the first of ``METALS`` that the title names; null for none."""
+    low = F.lower(title)
+
+    def weighed(metal: str) -> Column:
+        return low.rlike(rf"\b{_OZ}\s+{metal}\b|\b{metal}\s+{_OZ}\b")
+
+    both = low.rlike(r"\bgold\b") & low.rlike(r"\bsilver\b")
+    gold, silver = weighed("gold"), weighed("silver")
+    decorated = reduce(lambda a, b: a | b, [low.rlike(p) for p in DECORATIONS])
+    first = first_rule(low, [(m, rf"\b{m}\b") for m in METALS])
+    return F.when(both & silver & ~gold, "silver").when(both & gold & ~silver, "gold").when(both & decorated, "silver").otherwise(first)
+
+
+#: Cities and their mint marks, the first that a title names counts.
+CITIES = [("CC", "carson city"), ("D", "denver"), ("P", "philadelphia"), ("S", "san francisco"), ("W", "west point")]
+
+
+def stated_mints(title: Column) -> Column:
+    """All mint marks that a title states, as an array: beside a year, both of an over-mintmark, else its city, else CC."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    year, over = r"\b[0-9]{4}\s*-?\s*(cc|[sdpwo])\b", r"\b[0-9]{4}\s*-?\s*([sdpwo])\s*(?:/|over)\s*([sdpwo])\b"
+    near = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(g)) for p, g in ((year, 1), (over, 1), (over, 2))])
+    city = first_rule(low, CITIES)
+    cc = F.coalesce(title, F.lit("")).rlike(r"\bCC\b")
+    other = F.when(city.isNotNull(), F.array(city)).when(cc, F.array(F.lit("CC"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(near) > 0, F.array_distinct(F.transform(near, lambda m: F.upper(m)))).otherwise(other)
+
+
+def grade_numbers(title: Column) -> Column:
+    """The numbers of all grades that a title states, as an array."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"\b(ms|pr|pf|sp|au|xf|ef|vf|vg|ag|fr|po)\s*-?\s*([0-9]{1,2})\b"), F.lit(2))
+    return F.transform(found, lambda n: n.cast("int"))
+
+
 #: Fractions of an ounce by word.
 OUNCES = [("twentieth", 0.05), ("tenth", 0.1), ("quarter", 0.25), ("half", 0.5)]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def listing_rules(title: Column, wanted: dict[str, Column]) -> list[Rule]:
     add("barSeriesMismatch", "bar_brand bar_series found_series", lambda: w["found_series"] != w["bar_series"])
     add("excluded", "exclusions", lambda: F.exists(w["exclusions"], lambda x: low.contains(x)))
     add("nonUsd", "total_usd", lambda: w["total_usd"].isNull())
-    add("metalMismatch", "metal", lambda: text.metal(title) != w["metal"])
+    opposite = reduce(lambda rest, item: F.when(w["metal"] == item[0], low.rlike(item[1])).otherwise(rest), text.OPPOSITES.items(), F.lit(False)) if "metal" in w else F.lit(False)
+    add("metalMismatch", "metal", lambda: (text.title_metal(title) != w["metal"]) | (text.title_metal(title).isNotNull() & opposite))
     add("compositionMismatch", "series year", lambda: variants.composition_mismatch(title, F.concat_ws(" ", w["series"], w["query"]) if "query" in w else w["series"], w["year"]))
     add("weightMismatch", "weight", lambda: F.abs(text.weight(title) - w["weight"]) / F.greatest(text.weight(title), w["weight"]) >= 0.05)
     add("meltSanity", "weight price spot", lambda: text.weight(title).isNull() & (w["price"] > F.greatest(w["spot"] * w["weight"] * 5, F.lit(50.0))))
@@ -64,10 +67,11 @@ def listing_rules(title: Column, wanted: dict[str, Column]) -> list[Rule]:
     rules.append(("variantMismatch", finish == "variantMismatch"))
     rules.append(("variantWrongColor", finish == "variantWrongColor"))
     add("typeMismatch", "label", lambda: F.when(w["label"] == "Type 1", low.rlike(r"\btype\s*2\b")).when(w["label"] == "Type 2", low.rlike(r"\btype\s*1\b")))
-    add("mintMismatch", "mint", lambda: text.mint(title) != w["mint"])
+    add("mintMismatch", "mint", lambda: (F.size(text.stated_mints(title)) > 0) & ~F.array_contains(text.stated_mints(title), F.upper(w["mint"])))
     add("denomMismatch", "denomination", lambda: text.denomination(title) != w["denomination"])
     add("seriesConflict", "series", lambda: variants.series_conflict(w["series"], title))
-    add("gradeNumMismatch", "grade", lambda: text.grade(title) != w["grade"])
+    number = F.nullif(F.regexp_extract(w["grade"], "([0-9]+)", 1).try_cast("int"), F.lit(0)) if "grade" in w else F.lit(None)
+    add("gradeNumMismatch", "grade", lambda: (F.size(text.grade_numbers(title)) > 0) & ~F.array_contains(text.grade_numbers(title), number))
     add("pcgsOnly", "pcgs_only", lambda: w["pcgs_only"] & ~low.rlike(r"\bpcgs\b"))
     add("gradeOnly", "grade_only grade", lambda: w["grade_only"] & variants.lacks_words(title, w["grade"]))
     return rules

@@ -100,3 +100,39 @@ def catalogue_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("nth"), F.expr(_STORE).alias("text"))
     leaves = stores.walked(rows, "text", ["category", "kind", "year", "mint"], "number")
     return stores.catalogue(leaves, least=50)
+
+
+_KEY = """concat_ws(' ', CASE p_partkey % 5 WHEN 0 THEN 'Canadian' WHEN 1 THEN 'silver' WHEN 2 THEN 'Gold' END, CASE p_partkey % 13 WHEN 0 THEN 'maple leaf' WHEN 1 THEN 'krugerrand' WHEN 2 THEN 'Libertad' WHEN 3 THEN 'panda' WHEN 4 THEN 'eagle' WHEN 5 THEN 'lunar' WHEN 6 THEN 'bar' WHEN 7 THEN 'buffalo' ELSE p_name END, CASE p_partkey % 7 WHEN 0 THEN 'generic' WHEN 1 THEN 'generic x' END)"""
+_DEPTH = "CASE p_size % 3 WHEN 0 THEN 'thin' ELSE 'viable' END"
+
+
+@query(rf"""WITH k AS (SELECT p_partkey, p_partkey % 5 AS a, p_partkey % 13 AS b, {_KEY} AS key, 1960 + p_size AS year, {_DEPTH} AS depth, CASE WHEN p_size % 2 = 0 THEN 'bullion-proof' ELSE 'bar' END AS made, CASE WHEN p_partkey % 3 = 0 THEN 'gold' ELSE 'silver' END AS metal, CASE p_partkey % 4 WHEN 0 THEN ' Semiquincentennial Dime ' WHEN 1 THEN 'semiquincentennial clad half' ELSE 'dime' END AS coin FROM part)
+SELECT p_partkey, b IN (0, 1, 2, 3, 5) OR b = 4 AND a IN (1, 2) OR b = 6 AND a IN (1, 2) OR b = 7 AND a IN (1, 2) AS bullion, b = 6 AND a IN (1, 2) AS bar,
+coalesce(year < CASE WHEN b = 0 THEN 1979 WHEN b = 1 THEN 1967 WHEN b IN (2, 3) THEN 1982 WHEN b = 4 AND a IN (1, 2) THEN 1986 WHEN b = 7 AND a = 2 THEN 2006 END, false) AS too_early,
+CASE WHEN b = 1 THEN CASE WHEN a = 1 THEN 'Silver Krugerrand' ELSE 'Gold Krugerrand' END WHEN b = 4 THEN CASE a WHEN 1 THEN 'American Silver Eagle' WHEN 2 THEN 'American Gold Eagle' END WHEN b = 7 AND a = 2 THEN 'American Gold Buffalo' WHEN b = 0 THEN CASE a WHEN 1 THEN 'Canadian Silver Maple Leaf' WHEN 2 THEN 'Canadian Gold Maple Leaf' END
+ WHEN b = 3 THEN CASE a WHEN 1 THEN 'Chinese Silver Panda' WHEN 2 THEN 'Chinese Gold Panda' END WHEN b = 2 THEN CASE a WHEN 1 THEN 'Mexican Silver Libertad' WHEN 2 THEN 'Mexican Gold Libertad' END WHEN b = 5 THEN CASE a WHEN 2 THEN 'Gold Lunar' ELSE 'Silver Lunar' END END AS series,
+CASE p_partkey % 4 WHEN 0 THEN 'Roosevelt Dime' WHEN 1 THEN 'Kennedy Half Dollar' END AS anniversary, p_partkey % 7 = 0 AS generic, depth = 'viable' AND metal = 'silver' AND made = 'bullion-proof' AND (b IN (0, 2, 3) OR b = 4 AND a = 1) AS fast FROM k""")
+def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of key each is: bullion, a bar, older than its series, of which series, generic, in the fast lane."""
+    from ..operators import classes
+
+    key, coin = F.col("key"), F.expr("CASE p_partkey % 4 WHEN 0 THEN ' Semiquincentennial Dime ' WHEN 1 THEN 'semiquincentennial clad half' ELSE 'dime' END")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_KEY).alias("key"), (F.col("p_size") + 1960).alias("year"), F.expr(_DEPTH).alias("depth"), F.when(F.col("p_size") % 2 == 0, "bullion-proof").otherwise("bar").alias("made"), F.when(F.col("p_partkey") % 3 == 0, "gold").otherwise("silver").alias("metal"), coin.alias("coin"))
+    columns = {
+        "bullion": classes.bullion_series(key), "bar": classes.bar_series(key), "too_early": classes.too_early(key, F.col("year")), "series": classes.premium_series(key), "anniversary": classes.anniversary_series(F.col("coin")),
+        "generic": classes.generic_key(key), "fast": classes.fast_lane(key, F.col("made"), F.col("metal"), F.col("depth")),
+    }
+    return rows.select("p_partkey", *[c.alias(n) for n, c in columns.items()])
+
+
+@query("""WITH k AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN lower(p_type) || '_mexican_' || p_name ELSE p_brand || ' ' || p_name END AS key FROM part),
+f AS (SELECT DISTINCT array_to_string(list_sort(string_split(CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || lower(p_type) ELSE 'mexico ' || p_name || ' ' || lower(p_type) END, ' ')), ' ') AS words FROM part WHERE length(p_name) > 7)
+SELECT p_partkey, EXISTS (SELECT 1 FROM f WHERE f.words = array_to_string(list_sort(string_split(replace(replace(lower(key), '_', ' '), 'mexican', 'mexico'), ' ')), ' ')) AS has_file FROM k""")
+def keys_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each key has a file: under its canonical form or the same words."""
+    from ..operators import classes
+
+    part = table(spark, sf_dir, "part")
+    keys = part.select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN lower(p_type) || '_mexican_' || p_name ELSE p_brand || ' ' || p_name END").alias("key"))
+    files = part.where(F.length("p_name") > 7).select(F.concat(F.translate(F.expr("CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || lower(p_type) ELSE 'mexico ' || p_name || ' ' || lower(p_type) END"), " ", "_"), F.lit(".csv")).alias("file")).distinct()
+    return classes.with_file(keys, files).drop("key")

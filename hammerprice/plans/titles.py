@@ -182,3 +182,30 @@ def bar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = title.parsed(rows, "title")
     columns = [bars.makers(F.col("title")).alias("makers"), "wanted", "line", "bar_maker", "bar_line", bars.mismatch(F.col("title"), F.col("wanted"), F.col("line")).alias("removed_by")]
     return found.select("p_partkey", *columns)
+
+
+#: A listing and what is wanted, for each part.
+_SOLD = """concat_ws(' ', CASE p_partkey % 7 WHEN 0 THEN '1881-CC' WHEN 1 THEN '1900 O/S' WHEN 2 THEN '1921 D' WHEN 3 THEN 'Denver 1964' WHEN 4 THEN '1893 S and 1893 D' WHEN 5 THEN 'CC hoard' END,
+CASE p_partkey % 11 WHEN 0 THEN 'Morgan dollar' WHEN 1 THEN 'Washington quarter' WHEN 2 THEN 'half dollar' WHEN 3 THEN 'silver 1 oz gold gilded' WHEN 4 THEN '1 oz gold and silver coin' WHEN 5 THEN 'gold black ruthenium silver' WHEN 6 THEN 'gold silver 10 yuan' WHEN 7 THEN 'gold coin' WHEN 8 THEN 'Mercury dime' ELSE p_name END,
+CASE p_partkey % 13 WHEN 0 THEN 'MS65' WHEN 1 THEN 'PCGS MS-64' WHEN 2 THEN 'ngc PF 70 and MS65' WHEN 3 THEN 'Type 1' WHEN 4 THEN 'type  2 proof' WHEN 5 THEN 'roll' WHEN 6 THEN 'tube of' WHEN 7 THEN 'mint set' WHEN 8 THEN 'Proof' WHEN 9 THEN 'AU58' END)"""
+_WISHED = {"mint": "CASE p_partkey % 5 WHEN 0 THEN 'cc' WHEN 1 THEN 'S' WHEN 2 THEN 'D' ELSE 'O' END", "denomination": "CASE p_partkey % 3 WHEN 0 THEN 'quarter' WHEN 1 THEN 'dollar' END", "grade": "CASE p_partkey % 4 WHEN 0 THEN 'MS65' WHEN 1 THEN 'PR70' WHEN 2 THEN 'Proof' END", "label": "CASE p_partkey % 2 WHEN 0 THEN 'Type 1' ELSE 'Type 2' END", "metal": "CASE p_partkey % 17 WHEN 0 THEN 'gold' WHEN 1 THEN NULL ELSE 'silver' END"}
+_RULES_SHOWN = ["notSet", "notRoll", "notProof", "excluded", "metalMismatch", "typeMismatch", "mintMismatch", "denomMismatch", "gradeNumMismatch", "pcgsOnly", "gradeOnly"]
+
+
+@query(rf"""WITH t AS (SELECT p_partkey AS k, {_SOLD} AS title, {", ".join(f"{v} AS {n}" for n, v in _WISHED.items())} FROM part), l AS (SELECT *, lower(title) AS low FROM t),
+m AS (SELECT *, regexp_matches(low, '\bgold\b') AS au, regexp_matches(low, '\bsilver\b') AS ag, CASE k % 7 WHEN 0 THEN ['CC'] WHEN 1 THEN ['O', 'S'] WHEN 2 THEN ['D'] WHEN 3 THEN ['D'] WHEN 4 THEN ['S', 'D'] WHEN 5 THEN ['CC'] END AS mints, CASE k % 13 WHEN 0 THEN [65] WHEN 1 THEN [64] WHEN 2 THEN [70, 65] WHEN 9 THEN [58] END AS nums,
+  CASE grade WHEN 'MS65' THEN 65 WHEN 'PR70' THEN 70 END AS want, CASE k % 11 WHEN 0 THEN 'dollar' WHEN 1 THEN 'quarter' WHEN 2 THEN 'half dollar' WHEN 8 THEN 'dime' END AS denom FROM l),
+e AS (SELECT *, CASE WHEN k % 11 = 3 THEN 'silver' WHEN k % 11 = 4 THEN 'gold' WHEN k % 11 = 5 THEN 'silver' WHEN au THEN 'gold' WHEN ag THEN 'silver' END AS made FROM m)
+SELECT k AS p_partkey, NOT regexp_matches(low, '\bset\b') AS "notSet", k % 13 NOT IN (5, 6) AS "notRoll", NOT regexp_matches(low, '\bproof\b') AS "notProof", low LIKE '%ms%' OR low LIKE '%gold%' AS excluded,
+CASE WHEN metal IS NOT NULL AND made IS NOT NULL THEN made <> metal OR metal = 'gold' AND (low LIKE '%silver coin%' OR low LIKE '%yuan%silver%') OR metal = 'silver' AND (low LIKE '%gold coin%') ELSE false END AS "metalMismatch",
+CASE label WHEN 'Type 1' THEN k % 13 = 4 ELSE k % 13 = 3 END AS "typeMismatch", coalesce(NOT list_contains(mints, upper(mint)), false) AS "mintMismatch", coalesce(denom <> denomination, false) AS "denomMismatch", CASE WHEN nums IS NULL OR want IS NULL THEN false ELSE NOT list_contains(nums, want) END AS "gradeNumMismatch",
+k % 13 <> 1 AS "pcgsOnly", CASE grade WHEN 'MS65' THEN k % 13 NOT IN (0, 2) WHEN 'PR70' THEN true WHEN 'Proof' THEN NOT regexp_matches(low, '\bproof\b') ELSE false END AS "gradeOnly" FROM e""")
+def filter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of the chain by itself, over all listings: which ones would remove them."""
+    from ..operators import audit
+
+    t = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SOLD).alias("title"), *[F.expr(v).alias(n) for n, v in _WISHED.items()])
+    yes = F.lit(True)
+    wanted = {n: F.col(n) for n in _WISHED} | {"set": yes, "roll": yes, "proof": yes, "pcgs_only": yes, "grade_only": yes, "exclusions": F.array(F.lit("ms"), F.lit("gold"))}
+    rules = dict(audit.listing_rules(F.col("title"), wanted))
+    return t.select("p_partkey", *[F.coalesce(rules[n], F.lit(False)).alias(n) for n in _RULES_SHOWN])
