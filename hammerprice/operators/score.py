@@ -96,7 +96,7 @@ def coin(title: Column, wanted: dict[str, Column]) -> Column:
     if "bar_series" in w and "found_series" in w:
         terms.append(points(w["found_series"] == w["bar_series"], 10))
     if "metal" in w:
-        found = text.metal(low)
+        found = text.title_metal(low)
         terms.append(F.when(found == w["metal"], 10).when(found != w["metal"], -30).otherwise(0))
     if "designation" in w:
         there = ~variants.lacks_words(low, w["designation"])

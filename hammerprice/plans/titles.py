@@ -209,3 +209,28 @@ def filter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {n: F.col(n) for n in _WISHED} | {"set": yes, "roll": yes, "proof": yes, "pcgs_only": yes, "grade_only": yes, "exclusions": F.array(F.lit("ms"), F.lit("gold"))}
     rules = dict(audit.listing_rules(F.col("title"), wanted))
     return t.select("p_partkey", *[F.coalesce(rules[n], F.lit(False)).alias(n) for n in _RULES_SHOWN])
+
+
+_SCORED = """concat_ws(' ', CASE p_partkey % 5 WHEN 0 THEN '1881-CC' WHEN 1 THEN '1900 S' WHEN 2 THEN 'Denver' WHEN 4 THEN '1921' END, CASE p_partkey % 7 WHEN 0 THEN 'MS65' WHEN 1 THEN 'PCGS MS63' WHEN 2 THEN 'NGC PF70 proof' WHEN 3 THEN 'BU' WHEN 4 THEN 'proof' END,
+CASE p_partkey % 4 WHEN 0 THEN 'roll' WHEN 1 THEN 'proof set' WHEN 2 THEN 'mint set' END, CASE WHEN p_partkey % 3 = 0 THEN 'DCAM' END, CASE p_partkey % 11 WHEN 0 THEN 'lunar dragon' WHEN 1 THEN 'Dragon' WHEN 2 THEN '1 oz' WHEN 3 THEN '1/2 oz' WHEN 4 THEN 'quarter' END)"""
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_retailprice AS price, p_partkey % 7 IN (2, 4) OR p_partkey % 4 = 1 AS proof, p_partkey % 10 < 4 OR p_partkey % 6 = 1 AS wants, p_partkey % 8 < 2 AS want_set, p_partkey % 4 IN (1, 2) AS has_set, p_partkey % 6 AS g, p_partkey % 7 AS b, p_partkey % 11 AS e FROM part),
+p AS (SELECT *, CASE WHEN proof THEN 'proof' WHEN b < 3 THEN 'graded' ELSE 'raw' END AS pool FROM t)
+SELECT k AS p_partkey, least(100, 50 + CASE WHEN b = 1 THEN 5 ELSE 0 END
++ CASE g WHEN 0 THEN CASE b WHEN 0 THEN 15 WHEN 1 THEN 5 - 30 WHEN 2 THEN 5 - 40 ELSE 0 END WHEN 1 THEN CASE b WHEN 1 THEN 5 - 40 WHEN 2 THEN 5 ELSE 0 END WHEN 2 THEN CASE b WHEN 3 THEN 15 + 10 WHEN 1 THEN 5 WHEN 2 THEN 5 ELSE 0 END ELSE 0 END
++ CASE WHEN wants AND NOT proof OR NOT wants AND proof AND NOT want_set THEN -25 ELSE 0 END + CASE WHEN g < 3 THEN CASE WHEN pool <> 'graded' THEN -20 ELSE 0 END WHEN pool <> 'raw' THEN -25 ELSE 0 END + CASE WHEN proof AND NOT wants THEN -20 ELSE 0 END
++ CASE WHEN k % 9 < 3 THEN CASE WHEN k % 4 = 0 THEN 15 ELSE -30 END ELSE 0 END + CASE k % 5 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 10 ELSE -30 END WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 10 ELSE -30 END WHEN 2 THEN -30 ELSE 0 END + CASE WHEN wants THEN CASE WHEN k % 3 = 0 THEN 10 ELSE -15 END ELSE 0 END
++ CASE WHEN want_set THEN CASE WHEN has_set THEN 15 WHEN e = 4 THEN -60 ELSE -35 END + CASE WHEN k % 16 < 8 AND proof AND k % 4 <> 2 OR k % 16 >= 8 AND k % 4 = 2 AND NOT proof THEN -20 ELSE 0 END ELSE 0 END
++ CASE WHEN e < 2 THEN 5 ELSE 0 END + CASE WHEN e = 0 THEN 3 ELSE 0 END + CASE e WHEN 2 THEN -35 WHEN 3 THEN 25 ELSE -15 END + CASE WHEN e NOT IN (2, 3) AND price > 400 * 0.5 * 5 THEN -20 ELSE 0 END) AS score FROM p""")
+def score_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that rest on grade, slab, mint, roll, set, designation, animal, weight and spot price."""
+    from ..operators import score
+
+    k = F.col("p_partkey")
+    wanted = {
+        "grade": F.when(k % 6 == 0, "MS65").when(k % 6 == 1, "PR70").when(k % 6 == 2, "BU"), "mint": F.when(k % 2 == 0, "cc").otherwise("S"), "roll": k % 9 < 3, "set": k % 8 < 2, "set_type": F.when(k % 16 < 8, "mint-uncirculated").otherwise("silver-proof"),
+        "proof": k % 10 < 4, "designation": F.lit("DCAM"), "animal": F.lit("Dragon"), "lunar": F.lit(True), "weight": F.lit(0.5), "price": F.col("p_retailprice"), "spot": F.lit(400.0),
+    }
+    t = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.expr(_SCORED).alias("title"))
+    return t.select("p_partkey", score.coin(F.col("title"), wanted).alias("score"))
