@@ -44,6 +44,8 @@ _CARD = (
 )
 #: Longer runs of digit groups end before a blank and one of these.
 _STOP = rf"(?! (?:{'|'.join((_CARD, _DATE, _SSN, _IP, _LOCAL))}))"
+#: Country calling codes of one digit and of two; all others have three.
+_CODE_1, _CODE_2 = "^[17]", "^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Kind: pattern, tried in this order. Validation by value follows.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -180,13 +182,12 @@ def _ip(m: Column, key: str, reveal: bool) -> Column:
 
 
 def _phone(m: Column, key: str, reveal: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3})[^0-9]", 1)
-    code = F.when(m.startswith("+") & (code == ""), F.substring(m, 2, 1)).otherwise(code)
+    """The country's code stays, as the digits tell it, so that a number is the same in all its shapes."""
 
     def shown(d: Column) -> Column:
-        own = F.substring(d, F.length(code) + 1, F.length(d))
-        new = permuted_digits(own, key, "phone", reveal)
-        return F.when(F.length(d).between(7, 15), _let(new, lambda x: refilled(m, F.concat(code, x)))).otherwise(m)
+        size = F.when(~m.startswith("+"), 0).when(d.rlike(_CODE_1), 1).when(d.rlike(_CODE_2), 2).otherwise(3)
+        new = permuted_digits(F.substring(d, size + 1, F.length(d)), key, "phone", reveal)
+        return F.when(F.length(d).between(7, 15), _let(new, lambda x: refilled(m, F.concat(F.substring(d, F.lit(1), size), x)))).otherwise(m)
 
     return _let(_digits(m), shown)
 
@@ -270,7 +271,8 @@ def pseudonymised(docs: DataFrame, key: str, reveal: bool = False, found: str |
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _pseudonym(m, key, reveal))
     kind = "array<struct<kind:string,value:string,pseudonym:string,head:string,tail:string>>"
     hits = F.when(text.rlike("[0-9@]"), hits).otherwise(F.array()).cast(kind)
-    name = found or "hammerprice_found"
+    taken = {c.lower() for c in docs.columns}
+    name = found or next(n for n in (f"found_{i}" for i in range(len(taken) + 1)) if n not in taken)
     columns = [c for c in docs.columns if c != name]
     rows = docs.select(*columns).withColumn(name, F.coalesce(hits, F.array().cast(kind)))
     pieces = F.zip_with(F.split(text, ANY, -1), F.col(name), lambda gap, hit: F.concat(gap, F.coalesce(F.concat(hit["head"], hit["pseudonym"], hit["tail"]), F.lit(""))))
