@@ -5,18 +5,19 @@ that no test item has can't be part of a match, so only runs of known words that
 long enough for the shortest window enter it. Every test suffix is then located by
 binary search, all of a shard's searches side by side. Equal neighbours in the array
 are the verbatim occurrences; occurrences that continue each other along an item are
-joined into longest matches.
+joined into longest matches. Before the search a bitmap of the shard's neighbouring words
+leaves out the suffixes that can't occur in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small, utf8, written
@@ -24,6 +25,10 @@ from .shared import small, utf8, written
 #: Test items are met in blocks of about so many bytes. A block is broadcast for a pass over the
 #: documents and dropped after it, so that no more than one is held anywhere.
 BLOCK_BYTES = 1 << 24
+#: Slots of the bitmap of word pairs of a shard (bytes; a shard has some 400,000 words).
+PAIR_BITS = 1 << 23
+#: So many suffixes are searched side by side.
+SEARCHED = 1 << 16
 #: A-Z to a-z; everything else below 0x80 that isn't a digit or letter to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,26 +49,28 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
 
 
 class TestBlock:
-    """The searched suffixes of some test items: ``width`` consecutive words each, or a whole shorter item."""
+    """The searched suffixes of some test items: ``width`` consecutive words each, or a whole shorter item.
+
+    Items are one array of word ids, a suffix is its place there: twelve bytes a word
+    besides the dictionary of distinct words."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
-        self.names = [name for name, _ in items]
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], width: int):
+        self.names: list[str] = []
         self.ids: dict[bytes, int] = {}
-        rows, self.item, self.at, self.length = [], [], [], []
-        for k, (_, words) in enumerate(items):
-            own = [self.ids.setdefault(w, len(self.ids)) for w in words]
-            for i in range(max(1, len(own) - width + 1) if own else 0):
-                part = own[i : i + width]
-                rows.append(part + [-1] * (width - len(part)))
-                self.item.append(k)
-                self.at.append(i)
-                self.length.append(len(part))
-        self.rows = np.array(rows, np.int64).reshape(-1, width)
-        self.item, self.at, self.length = (np.array(x, np.int64) for x in (self.item, self.at, self.length))
-        self.width, self.least = width, int(min(self.length, default=width))
-        self.used = np.arange(width) < self.length[:, None]
+        own: list[np.ndarray] = []
+        for name, words in items:
+            self.names.append(name)
+            own.append(np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in words), np.int32, len(words)))
+        sizes = np.array([len(x) for x in own], np.int64)
+        self.width, self.base = width, np.cumsum(sizes) - sizes
+        self.words = np.concatenate([*own, np.full(width, -1, np.int32)])
+        many = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        self.item = np.repeat(np.arange(len(own), dtype=np.int32), many)
+        self.start = (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - self.base, many)).astype(np.int32)
+        self.size = np.minimum(sizes, width).astype(np.int32)
+        self.least = int(min(self.size[self.size > 0], default=width))
 
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``ids``, searched suffix) of every verbatim occurrence; -1 separates."""
@@ -73,32 +80,54 @@ class TestBlock:
         long = ends - starts >= self.least
         starts, ends = starts[long], ends[long]
         none = np.empty(0, np.int64)
-        if not len(starts) or not len(self.rows):
+        if not len(starts) or not len(self.start):
             return none, none
         sizes = ends - starts + self.width  # runs are padded, so that no comparison leaves its run
         base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         place = np.repeat(starts - base, sizes) + np.arange(int(sizes.sum()))
         real = place < np.repeat(ends, sizes)
         s = np.where(real, ids[np.minimum(place, len(ids) - 1)], -1)
+        likely = self._likely(s)
+        if not len(likely):
+            return none, none
         order = suffix_array(s, self.width)
         order = order[s[order] >= 0]
-        low, high = self._bound(s, order, False), self._bound(s, order, True)
-        count = high - low
-        test = np.repeat(np.arange(len(count)), count)
-        nth = np.arange(len(test)) - np.repeat(np.cumsum(count) - count, count)
-        return place[order[low[test] + nth]], test
-
-    def _bound(self, s: np.ndarray, order: np.ndarray, after: bool) -> np.ndarray:
-        low, high = np.zeros(len(self.rows), np.int64), np.full(len(self.rows), len(order), np.int64)
+        found = [(none, none)]
+        for i in range(0, len(likely), SEARCHED):
+            tests = likely[i : i + SEARCHED]
+            low, high = self._bound(s, order, tests, False), self._bound(s, order, tests, True)
+            count = high - low
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            found.append((place[order[np.repeat(low, count) + nth]], np.repeat(tests, count)))
+        places, tests = zip(*found)
+        return np.concatenate(places), np.concatenate(tests)
+
+    def _likely(self, s: np.ndarray) -> np.ndarray:
+        """The suffixes whose first word and whose pairs of neighbouring words all occur in ``s``, by a
+        bitmap of hashed pairs. The others can't match, so only these are searched: a shard costs
+        a few array passes over the items and a binary search for each suffix that may occur."""
+        first, pair = np.zeros(len(self.ids) + 1, bool), np.zeros(PAIR_BITS, bool)
+        first[s] = True
+        first[-1] = False
+        pair[_pairs(s)] = True
+        gaps = np.zeros(len(self.words), np.int32)
+        gaps[1:] = np.cumsum(~pair[_pairs(self.words)], dtype=np.int32)
+        there = gaps[self.start + self.size[self.item] - 1] == gaps[self.start]
+        return np.flatnonzero(there & first[self.words[self.start]])
+
+    def _bound(self, s: np.ndarray, order: np.ndarray, tests: np.ndarray, after: bool) -> np.ndarray:
         step = np.arange(self.width)
+        start, used = self.start[tests], step < self.size[self.item[tests], None]
+        rows = self.words[start[:, None] + step]
+        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(order), np.int64)
         for _ in range(int(len(order)).bit_length() + 1):
             open_ = low < high
             mid = np.where(open_, (low + high) // 2, 0)
             there = s[np.minimum(order[mid][:, None] + step, len(s) - 1)]
-            differ = (there != self.rows) & self.used
+            differ = (there != rows) & used
             first = differ.argmax(axis=1)
             row = np.arange(len(mid))
-            less = differ[row, first] & (there[row, first] < self.rows[row, first])
+            less = differ[row, first] & (there[row, first] < rows[row, first])
             if after:
                 less |= ~differ.any(axis=1)
             low = np.where(open_ & less, mid + 1, low)
@@ -106,24 +135,31 @@ class TestBlock:
         return low
 
 
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    """The slot of each two neighbours in a bitmap of PAIR_BITS."""
+    return (ids[:-1].astype(np.int64) * 0x9E3779B1 + ids[1:]) & (PAIR_BITS - 1)
+
+
 def _blocks(items: DataFrame, width: int) -> Iterator[tuple[Broadcast, bool]]:
     """The test items block by block, broadcast, and whether it is the last block. A block is
-    destroyed when the next one is asked for, so all but the last must have been used by then."""
+    destroyed when the next one is asked for, so all but the last must have been used by then.
+    Items reach the driver one partition at a time and become word ids as they come."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     many = max(1, -(-size // BLOCK_BYTES))
     for k in range(many):
         own = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(many)) == k)
-        sent = items.sparkSession.sparkContext.broadcast(TestBlock([(name, words_of(text.encode())) for name, text in own.toLocalIterator()], width))
+        sent = items.sparkSession.sparkContext.broadcast(TestBlock(((name, words_of(text.encode())) for name, text in own.toLocalIterator()), width))
         yield sent, k == many - 1
         sent.destroy()
 
 
 def joined(places: np.ndarray, block: TestBlock, tests: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Longest matches (item, first word in the item, first word in the text, words) from window matches."""
-    item, at = block.item[tests], block.at[tests]
+    item = block.item[tests]
+    at = block.start[tests] - block.base[item]
     order = np.lexsort((places, places - at, item))
-    p, a, i, n = places[order], at[order], item[order], block.length[tests][order]
+    p, a, i, n = places[order], at[order], item[order], block.size[item][order]
     new = np.ones(len(p), bool)
     new[1:] = (np.diff(i) != 0) | (np.diff(p - a) != 0) | (np.diff(p) > n[:-1])
     first = np.flatnonzero(new)
@@ -144,14 +180,15 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     struct = "array<struct<item_id:string,item_word:bigint,word:bigint,words:bigint>>"
 
     def searched(rows: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
-        """doc_id, text, found after a pass, or the result after the last one."""
+        """Of ``rows`` (key, text, found so far): the result, or before the last block the key and
+        matches of those only that have some."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = sent.value
             get = block.ids.get
             for batch in small(batches, 1):
                 texts = [words_of(t) for t in utf8(batch.column(1))]
-                found: list[list[dict]] = batch.column(2).to_pylist()
+                found: list[list[dict]] = [own or [] for own in batch.column(2).to_pylist()]
                 sizes = np.array([len(t) for t in texts], np.int64)
                 starts = np.cumsum(sizes + 1) - sizes - 1
                 ids = np.full(int((sizes + 1).sum()), -1, np.int64)
@@ -163,7 +200,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
                     here = doc == d
                     found[d] += [{"item_id": block.names[item], "item_word": item_word, "word": word, "words": words} for item, item_word, word, words in joined(places[here] - starts[d], block, tests[here])]
                 if not last:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kinds)], ["doc_id", "text", "found"])
+                    some = pa.array([bool(own) for own in found], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array([own for own in found if own], kinds)], ["key", "found"])
                     continue
                 n_hit = []
                 for n, own in zip(sizes.tolist(), found):
@@ -175,22 +213,30 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
                 named = [sorted({f["item_id"] for f in own}) for own in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(found, kinds)], ["doc_id", "n_words", "n_hit", "items", "found"])
 
-        return rows.mapInArrow(run, f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, found {struct}" if last else f"doc_id bigint, text string, found {struct}")
+        return rows.mapInArrow(run, f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, found {struct}" if last else f"key string, found {struct}")
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.array().cast(struct).alias("found"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    none, before = F.array().cast(struct), None
     for sent, last in _blocks(items, width):
-        rows = searched(rows, sent, last)
-        if last:
-            return rows
-        rows = written(rows, "searched")
+        if not last:
+            # Equal texts have equal matches, so a text is known by its digest and handed on once.
+            found = searched(own.select(F.md5("text").alias("key"), "text", none.alias("found")), sent, False)
+            found = written(found.groupBy("key").agg(F.first("found").alias("found")), "searched")
+            before = found if before is None else before.union(found)
+        elif before is None:
+            return searched(own.select("doc_id", "text", none.alias("found")), sent, True)
+        else:
+            before = written(before.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found")), "searched")
+            rows = own.join(before, F.md5("text") == F.col("key"), "left")
+            return searched(rows.select("doc_id", "text", "found"), sent, True)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` whose text has no match, with all their columns. Decided text
     by text, so repeated rows and null doc_ids need no care."""
 
-    def cleaned(rows: DataFrame, sent: Broadcast) -> DataFrame:
-        def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(sent: Broadcast) -> Column:
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for series in texts:
                 batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
                 yield pd.Series(np.concatenate([np.zeros(0, bool), *(kept(part) for part in small(iter([batch]), 0))]))
@@ -204,10 +250,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFr
             out[np.searchsorted(ends, block.matches(ids)[0], side="right")] = False
             return out
 
-        return rows.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
+        return F.pandas_udf(run, "boolean")(F.col("text").cast("string"))
 
+    gone = None
     for sent, last in _blocks(items, width):
-        docs = cleaned(docs, sent)
-        if last:
-            return docs
-        docs = written(docs, "clean")
+        if not last:
+            # Before the last block only the digests of the texts that go are handed on.
+            hit = written(docs.where(~clean(sent)).select(F.md5(F.col("text").cast("string")).alias("key")).distinct(), "hit")
+            gone = hit if gone is None else gone.union(hit)
+        elif gone is None:
+            return docs.where(clean(sent))
+        else:
+            gone = written(gone.distinct(), "hit")
+            return docs.where(clean(sent)).join(gone, F.md5(docs["text"].cast("string")) == gone["key"], "left_anti")
