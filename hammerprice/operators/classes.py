@@ -64,12 +64,17 @@ def bar_series(series: Column) -> Column:
     return _is(series, BAR)
 
 
-def too_early(series: Column, year: Column) -> Column:
-    """Whether a coin is older than its bullion series: circulating money of that name."""
+def first_year(series: Column) -> Column:
+    """The first year of a bullion series; null for others."""
     first = F.when(F.lit(False), 0)
     for name, began in FIRST_YEARS.items():
         first = first.when(F.contains(F.lower(series), F.lit(name)), began)
-    return F.coalesce(year < first, F.lit(False))
+    return first
+
+
+def too_early(series: Column, year: Column) -> Column:
+    """Whether a coin is older than its bullion series: circulating money of that name."""
+    return F.coalesce(year < first_year(series), F.lit(False))
 
 
 def premium_series(query: Column) -> Column:

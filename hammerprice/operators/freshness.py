@@ -57,3 +57,22 @@ def classified(df: DataFrame, as_of: Column) -> DataFrame:
 def refresh_queue(df: DataFrame, name: str, n: int) -> DataFrame:
     """The ``n`` most urgent datasets: by priority, then the stalest, unknown ages first."""
     return df.where("priority is not null").orderBy("priority", F.desc_nulls_first("stale_days"), name).limit(n)
+
+
+def _old(days: int) -> Column:
+    return F.col("newest_sale").isNull() | (F.col("stale_days") >= days)
+
+
+def skip_counts(df: DataFrame, days: int = STALE) -> DataFrame:
+    """reason (``actionable`` for none), n and stale (older than ``days`` or without sales) of ``classified`` data sets."""
+    return df.groupBy(F.coalesce("skip_reason", F.lit("actionable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_if(_old(days)).alias("stale"))
+
+
+def stale_pattern(df: DataFrame, term: str, name: str, days: int = VERY_STALE, limit: int = 50) -> DataFrame:
+    """n and pattern: the ``limit`` stalest of the ``classified`` data sets that nothing speaks against, their terms as
+    one regular expression of whole names, stalest first; an empty one for none. Only those few rows are gathered."""
+    top = df.where(F.col("skip_reason").isNull() & _old(days)).orderBy(F.desc_nulls_first("stale_days"), name).limit(limit)
+    quoted = F.concat(F.lit("^"), F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit("$"))
+    order = F.struct(F.col("stale_days").isNotNull(), -F.col("stale_days"), F.col(name), quoted.alias("quoted"))
+    found = top.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(order)).alias("all"))
+    return found.select("n", F.array_join(F.transform("all", lambda x: x["quoted"]), "|").alias("pattern"))

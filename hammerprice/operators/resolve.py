@@ -79,3 +79,31 @@ def merged_comps(resolved: DataFrame, comps: DataFrame, same: list[str]) -> Data
     met = resolved.select("query_id", "key_id", "place").join(comps, "key_id")
     best = met.groupBy("query_id", *same).agg(F.min(F.struct("place", "key_id", *others)).alias("_best"))
     return best.select("query_id", *same, "_best.key_id", *[f"_best.{c}" for c in others])
+
+
+def ways_to_ask(term: Column) -> Column:
+    """The searches that people write for a data set: its term; for dated ones the full name of halves and of Morgan and
+    Peace dollars, and other mints where none is named. An array without repeats."""
+    low = F.lower(term)
+    head = r"^([0-9]{4})(-(cc|[dsow]))?\s+(.+)$"
+    year, mint, rest = (F.regexp_extract(low, head, n) for n in (1, 3, 4))
+    dated, full = year != "", low.contains("dollar")
+    named = [F.when(dated & low.contains(w) & ~full, F.regexp_replace(low, w, f"{w} dollar")) for w in ("morgan", "peace")]
+    longer = F.when(dated & ~full & (low.contains("half") | low.contains("morgan") | low.contains("peace")), F.concat(low, F.lit(" dollar")))
+    other = [F.when(dated & (mint == ""), F.concat(year, F.lit(f"-{m} "), rest)) for m in ("d", "s")]
+    return F.array_distinct(F.array_compact(F.array(low, longer, *named, *other)))
+
+
+def self_test(keys: DataFrame) -> DataFrame:
+    """``keys`` (key_id, term) looked up by all ``ways_to_ask`` for them: key_id, asked, found (null for none) and outcome.
+
+    Outcomes: same, other (another data set of no other year, which is no failure), wrong year, no match. One resolution
+    of all searches; a search that several keys share is looked up once for each."""
+    asked = keys.select("key_id", F.explode(ways_to_ask(F.col("term"))).alias("asked"), text.year(F.col("term")).alias("_year"))
+    asked = asked.withColumn("query_id", F.struct("key_id", "asked"))
+    best = resolve(asked.select("query_id", F.col("asked").alias("term")), keys).select("query_id", F.col("key_id").alias("found"))
+    met = keys.select(F.col("key_id").alias("found"), text.year(F.col("term")).alias("_got"))
+    out = asked.join(best, "query_id", "left").join(met, "found", "left")
+    wrong = F.coalesce(F.col("_year") != F.col("_got"), F.lit(False))
+    outcome = F.when(F.col("found").isNull(), "no match").when(wrong, "wrong year").when(F.col("found") == F.col("key_id"), "same").otherwise("other")
+    return out.select("key_id", "asked", "found", outcome.alias("outcome"))

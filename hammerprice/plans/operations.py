@@ -75,7 +75,7 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", "c_mktsegment", "comp_count", "newest_sale", F.when(k % 3 != 0, as_of() - shift).alias("last_refresh"), F.when(k % 7 == 0, as_of() - shift).alias("no_data_at"), F.when(k % 7 == 0, k % 4).alias("no_data_count"), (k % 5).alias("refresh_count"), (k % 4).alias("last_new"), (k % 6).alias("dry"), (k % 2 == 0).alias("file_exists"))
 
 
-_SETS = f"""o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS newest FROM orders GROUP BY 1),
+FRESHNESS = f"""o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS newest FROM orders GROUP BY 1),
 s AS (SELECT c_custkey, c_mktsegment, coalesce(n, 0) AS n, newest, CAST(floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(newest)) / 86400000) AS BIGINT) AS age, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 100 END AS wait,
  CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 100 END AS nd, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 4 ELSE 0 END AS ndc, c_custkey % 5 AS rc, c_custkey % 4 AS ln, c_custkey % 6 AS dry, c_custkey % 2 = 0 AS fe FROM customer LEFT JOIN o ON c_custkey = o_custkey),
 a AS (SELECT *, CASE WHEN n = 0 AND newest IS NULL THEN CASE WHEN fe THEN 'stale' ELSE 'missing' END WHEN age >= 30 THEN 'very-stale' WHEN age >= 15 THEN 'stale' WHEN age IS NOT NULL THEN 'fresh' ELSE 'stale' END AS freshness,
@@ -87,18 +87,18 @@ c AS (SELECT *, CASE WHEN dormant OR depth = 'empty' THEN 'dormant' WHEN freshne
 f AS (SELECT *, CASE WHEN action = 'initial-fetch' THEN 'P2' WHEN action = 'monitor-refresh' THEN 'P3' WHEN action = 'refresh' AND freshness = 'very-stale' THEN 'P0' WHEN action = 'refresh' THEN 'P1' END AS priority FROM c)"""
 
 
-@query(f"WITH {_SETS} SELECT c_custkey, freshness, depth, skip_reason, action, priority FROM f")
+@query(f"WITH {FRESHNESS} SELECT c_custkey, freshness, depth, skip_reason, action, priority FROM f")
 def freshness_two_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness.classified(datasets(spark, sf_dir), as_of()).select("c_custkey", "freshness", "depth", "skip_reason", "action", "priority")
 
 
-@query(f"WITH {_SETS} SELECT c_custkey, priority, age AS stale_days FROM f WHERE priority IS NOT NULL ORDER BY priority, age DESC NULLS FIRST, c_custkey LIMIT 50")
+@query(f"WITH {FRESHNESS} SELECT c_custkey, priority, age AS stale_days FROM f WHERE priority IS NOT NULL ORDER BY priority, age DESC NULLS FIRST, c_custkey LIMIT 50")
 def refresh_priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = freshness.classified(datasets(spark, sf_dir), as_of())
     return freshness.refresh_queue(q, "c_custkey", 50).select("c_custkey", "priority", "stale_days")
 
 
-@query(f"WITH {_SETS} SELECT c_mktsegment, freshness, depth, count(*) AS n FROM f GROUP BY CUBE (c_mktsegment, freshness, depth)")
+@query(f"WITH {FRESHNESS} SELECT c_mktsegment, freshness, depth, count(*) AS n FROM f GROUP BY CUBE (c_mktsegment, freshness, depth)")
 def freshness_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All roll-ups in one pass."""
     return freshness.classified(datasets(spark, sf_dir), as_of()).cube("c_mktsegment", "freshness", "depth").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import backlog, batches, dimensions, intents, market, merges, operations, prices, series, streams, texts, titles, valuations  # noqa: F401  they register their queries
+from .plans import backlog, batches, dimensions, intents, market, merges, operations, panels, prices, series, streams, texts, titles, valuations  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
