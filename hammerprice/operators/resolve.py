@@ -40,7 +40,7 @@ def candidates(queries: DataFrame, keys: DataFrame) -> DataFrame:
     platinum or palladium set that isn't asked for and for another mint mark."""
     q = described(queries.withColumn("words", text.tokens(text.search_key(F.col("term")))), "term")
     k = described(keys.withColumn("words", text.tokens(text.search_key(F.col("term")))), "term")
-    pairs = token_matches(q.select("query_id", "words"), k.select("key_id", "words"))
+    pairs = token_matches(q.select("query_id", "words", "year"), k.select("key_id", "words", "year"), block="year")
     both = pairs.join(q.drop("words", "term").alias("q"), "query_id").join(k.drop("words", "term").alias("k"), "key_id")
     far = F.abs(F.col("q.weight") - F.col("k.weight")) / F.greatest("q.weight", "k.weight") > 0.05
     veto = _differ("year") | _differ("metal") | _differ("origin") | _differ("grade") | F.coalesce(far, F.lit(False))

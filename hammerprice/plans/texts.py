@@ -22,7 +22,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", F.expr(_TITLE).alias("title"))
 
 
-_T = f"t AS (SELECT p_partkey, p_size, p_retailprice, p_brand, {_TITLE} AS title FROM part)"
+TITLES = _T = f"t AS (SELECT p_partkey, p_size, p_retailprice, p_brand, {_TITLE} AS title FROM part)"
 
 
 def _steps(x: str) -> str:
@@ -119,7 +119,7 @@ def rule_table_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: length(w) > 1))"
-_PAIRS = f"""q AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS query_id FROM part WHERE p_partkey % 2 = 0), k AS (SELECT DISTINCT p_brand || ' ' || p_name AS key_id FROM part WHERE p_partkey % 2 = 1),
+_PAIRS = f"""q AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS query_id FROM part), k AS (SELECT DISTINCT p_brand || ' ' || p_name AS key_id FROM part),
 qk AS (SELECT query_id, key_id, {_WORDS.format("query_id")} AS qw, {_WORDS.format("key_id")} AS kw FROM q, k),
 h AS (SELECT query_id, key_id, len(list_intersect(qw, kw)) AS hits, len(list_intersect(qw, kw))::DOUBLE / len(kw) AS forward, len(list_intersect(qw, kw))::DOUBLE / len(qw) AS reverse FROM qk)"""
 
@@ -128,19 +128,31 @@ h AS (SELECT query_id, key_id, len(list_intersect(qw, kw)) AS hits, len(list_int
 def token_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of terms that share enough words, by an inverted index."""
     part = table(spark, sf_dir, "part")
-    q = part.where("p_partkey % 2 = 0").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("query_id")).distinct()
-    k = part.where("p_partkey % 2 = 1").select(F.concat_ws(" ", "p_brand", "p_name").alias("key_id")).distinct()
+    q = part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("query_id")).distinct()
+    k = part.select(F.concat_ws(" ", "p_brand", "p_name").alias("key_id")).distinct()
     q, k = q.withColumn("words", F.split(F.lower("query_id"), " ")), k.withColumn("words", F.split(F.lower("key_id"), " "))
     return token_matches(q, k).select("query_id", "key_id", F.col("hits").cast("bigint").alias("hits"))
 
 
-@query()
+#: What the look-up sees in a title, and the best data set (k) of each search (q), both with title and what it says.
+SAYS = f"""TRY_CAST(nullif(regexp_extract(title, '{text.YEAR}', 1), '') AS INT) AS year, {_METAL} AS metal, {_WEIGHT} AS weight, {_grade("title")} AS grade, upper(nullif(regexp_extract(lower(title), '\\b[0-9]{{4}}[-\\s]?(cc|[sdow])\\b', 1), '')) AS mark,
+regexp_matches(lower(title), '{resolve.SPECIAL}') AS special, list_filter(string_split({_KEY}, ' '), lambda x: length(x) > 1) AS w"""
+RESOLVED = """p AS (SELECT query_id, key_id, len(list_intersect(q.w, k.w)) / len(k.w) AS f, len(list_intersect(q.w, k.w)) / len(q.w) AS r, q.year AS qy, k.year AS ky, q.metal AS qm, k.metal AS km, q.grade AS qg, k.grade AS kg, q.mark AS qk, k.mark AS kk, abs(q.weight - k.weight) / greatest(q.weight, k.weight) AS far FROM q, k
+ WHERE NOT coalesce(q.year <> k.year, false) AND NOT coalesce(q.metal <> k.metal, false) AND NOT coalesce(q.grade <> k.grade, false) AND NOT (q.grade IS NULL AND k.grade IS NOT NULL) AND NOT (k.special AND NOT q.special)),
+s AS (SELECT query_id, key_id, round((f + r) / 2 + CASE WHEN qm = km THEN 0.1::DOUBLE WHEN qm IS NULL AND km IN ('gold', 'platinum', 'palladium') THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN qm = km AND far <= 0.05::DOUBLE THEN 0.15::DOUBLE ELSE 0 END
+ + CASE WHEN qk = kk THEN 0.2::DOUBLE WHEN qk <> kk THEN -0.15::DOUBLE ELSE 0 END + CASE WHEN qg = kg THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN qy = ky THEN 0.2::DOUBLE ELSE 0 END, 9) AS score FROM p WHERE NOT coalesce(far > 0.05::DOUBLE, false) AND greatest(f, r) >= 0.65::DOUBLE AND (f + r) / 2 > 0.55::DOUBLE),
+best AS (SELECT query_id, arg_min(key_id, (-score, key_id)) AS key_id, max(score) AS score FROM s GROUP BY query_id)"""
+#: A search for each part: its title without the grade.
+_SEARCH = f"""concat_ws(' ', 1900 + p_partkey % 120, p_name, p_type, {_METALS}, CASE p_partkey % 4 WHEN 0 THEN '1 oz' WHEN 1 THEN '1/2 oz' WHEN 2 THEN '31.1 g' ELSE '' END, CASE p_partkey % 6 WHEN 1 THEN 'PF69' WHEN 2 THEN 'proof' END)"""
+
+
+@query(f"""WITH {_T}, q0 AS (SELECT p_partkey AS query_id, {_SEARCH} AS title FROM part), q AS (SELECT query_id, {SAYS} FROM q0), k0 AS (SELECT min(p_partkey) AS key_id, title FROM t GROUP BY title), k AS (SELECT key_id, {SAYS} FROM k0), {RESOLVED}
+SELECT query_id, key_id, round(score, 6) AS score FROM best""")
 def token_overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best dataset for each title, with vetoes and bonuses (tested against brute force)."""
-    t = titles(spark, sf_dir)
-    q = t.where("floor(p_partkey / 120) % 2 = 0").select(F.col("p_partkey").alias("query_id"), F.col("title").alias("term"))
-    k = t.where("floor(p_partkey / 120) % 2 = 1").groupBy("title").agg(F.min("p_partkey").alias("key_id")).select("key_id", F.col("title").alias("term"))
-    return resolve.resolve(q, k)
+    """The best dataset for each search, with vetoes and bonuses."""
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr(_SEARCH).alias("term"))
+    k = titles(spark, sf_dir).groupBy("title").agg(F.min("p_partkey").alias("key_id")).select("key_id", F.col("title").alias("term"))
+    return resolve.resolve(q, k).select("query_id", "key_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_T}, r AS (SELECT p_brand, CASE WHEN p_size < 3 THEN 'lowRelevance' WHEN regexp_matches(lower(title), '{_DENY}') OR regexp_matches(lower(title), '{text.ROLLS}') THEN 'denied'

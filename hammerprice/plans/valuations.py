@@ -9,6 +9,7 @@ from ..operators import holdings, value
 from ..registry import query, table
 from .common import AS_OF, SALES, as_of, m, sales
 from .prices import _WEIGHT
+from .texts import RESOLVED, SAYS, TITLES, titles
 
 _BLEND = "(coalesce(sold_median * {0}::DOUBLE, 0) + coalesce(guide * {1}::DOUBLE, 0) + coalesce(auction * {2}::DOUBLE, 0) + coalesce(wholesale * {3}::DOUBLE, 0)) / ((CASE WHEN sold_median IS NULL THEN 0::DOUBLE ELSE {0}::DOUBLE END) + (CASE WHEN guide IS NULL THEN 0::DOUBLE ELSE {1}::DOUBLE END) + (CASE WHEN auction IS NULL THEN 0::DOUBLE ELSE {2}::DOUBLE END) + (CASE WHEN wholesale IS NULL THEN 0::DOUBLE ELSE {3}::DOUBLE END))"
 
@@ -35,12 +36,12 @@ def valuation_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value.fair_value(q.join(s, "query_id", "left")).select(F.col("query_id").alias("part_key"), "fmv", "method")
 
 
-@query(f"""WITH {SALES}, k AS (SELECT brand || '|' || kind AS key, median(price) AS v FROM sales WHERE part_key % 2 = 0 GROUP BY 1 HAVING count(*) > 40 UNION ALL SELECT brand, median(price) FROM sales GROUP BY 1)
+@query(f"""WITH {SALES}, k AS (SELECT brand || '|' || kind AS key, median(price) AS v FROM sales GROUP BY 1 HAVING count(*) > 40 UNION ALL SELECT brand, median(price) FROM sales GROUP BY 1)
 SELECT p_partkey, coalesce(a.v, b.v) AS v FROM part LEFT JOIN k a ON a.key = p_brand || '|' || p_type LEFT JOIN k b ON b.key = p_brand""")
 def key_candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price by the most specific key that is known: brand and kind, else brand."""
     s = sales(spark, sf_dir)
-    fine = s.where("part_key % 2 = 0").groupBy(F.concat_ws("|", "brand", "kind").alias("key")).agg(F.median("price").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 40").drop("n")
+    fine = s.groupBy(F.concat_ws("|", "brand", "kind").alias("key")).agg(F.median("price").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 40").drop("n")
     dim = fine.union(s.groupBy(F.col("brand").alias("key")).agg(F.median("price").alias("v")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return holdings.priority_lookup(part, ["p_partkey"], dim, "key", [F.concat_ws("|", "p_brand", "p_type"), F.col("p_brand")], ["v"]).select("p_partkey", "v")
@@ -87,11 +88,11 @@ def dataset_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("advice", F.when(F.col("n") > 400, "refresh").when(F.col("n") > 100, "watch").otherwise("leave"))
 
 
-@query()
+@query(f"""WITH {TITLES}, k0 AS (SELECT title, min(p_partkey) AS key_id, CAST(sum(p_size) AS BIGINT) AS rows FROM t GROUP BY title), k AS (SELECT key_id, {SAYS} FROM k0), q AS (SELECT key_id AS query_id, * EXCLUDE (key_id) FROM k), {RESOLVED}
+SELECT k0.key_id, best.key_id AS found, CASE WHEN best.key_id = k0.key_id THEN 'ok' WHEN best.key_id IS NULL THEN 'drift-empty' ELSE 'drift-different' END AS status, rows FROM k0 LEFT JOIN best ON query_id = k0.key_id""")
 def parallel_key_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that resolve to another key although their own dataset exists."""
     from ..operators.resolve import resolve
-    from .texts import titles
 
     k = titles(spark, sf_dir).groupBy("title").agg(F.min("p_partkey").alias("key_id"), F.sum("p_size").alias("rows"))
     terms = k.select("key_id", F.col("title").alias("term"))
