@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import blend, clamp, money
@@ -15,6 +15,8 @@ CERTIFIED = {"low": (0.65, 0.10, 0.05, 0.20), "mid": (0.55, 0.15, 0.10, 0.20), "
 RAW = (0.70, 0.10, 0.20)
 #: Comps at least, weight of the wholesale price beside spot and premium.
 WHOLESALE = [(20, 0.05), (10, 0.10), (5, 0.15), (0, 0.20)]
+#: Fixed value: years on either side of a thin year that stand in for it.
+YEARS = 3
 
 
 def pool_comps(comps: DataFrame, wanted: Column, guide: Column) -> DataFrame:
@@ -76,17 +78,29 @@ def fair_value(df: DataFrame) -> DataFrame:
     return out.withColumn("label", label).withColumn("range_low", money(F.greatest(F.lit(0.0), F.col("fmv") - margin))).withColumn("range_high", money(F.col("fmv") + margin))
 
 
-def with_cohort(direct: DataFrame, comps: DataFrame, least_direct: int = 3, least: int = 5, years: int = 3) -> DataFrame:
+def cohort_counts(asked: DataFrame, counts: DataFrame, least_direct: int = 3, least: int = 5, years: int = YEARS) -> DataFrame:
+    """cohort, year, direct (rows of the year), around (rows of the ``years`` around it too) and ``wide`` (under ``least_direct``
+    of the year, at least ``least`` around it) for each cohort and year of ``asked``.
+
+    ``counts``: cohort, year, n; an asked year may have none. A window sees as many rows as a cohort has years."""
+    both = counts.select("cohort", "year", "n", F.lit(False).alias("_asked")).union(asked.select("cohort", "year", F.lit(0).cast("bigint"), F.lit(True)).distinct())
+    each = both.where("cohort IS NOT NULL AND year IS NOT NULL").groupBy("cohort", "year").agg(F.sum("n").alias("direct"), F.bool_or("_asked").alias("_asked"))
+    near = F.sum("direct").over(Window.partitionBy("cohort").orderBy("year").rangeBetween(-years, years))
+    out = each.withColumn("around", near).where("_asked").drop("_asked")
+    return out.withColumn("wide", (F.col("direct") < least_direct) & (F.col("around") >= least))
+
+
+def with_cohort(direct: DataFrame, comps: DataFrame, least_direct: int = 3, least: int = 5, years: int = YEARS) -> DataFrame:
     """Comps of a query's own year, and where there are under ``least_direct`` of them those of
     the ``years`` around it too, if that makes ``least``; ``composite`` marks them.
 
-    ``direct``: query_id, cohort, year. ``comps``: cohort, year and others. Neighbour years
-    are spread over the small side, so the join is by equality."""
-    near = direct.select("query_id", "cohort", F.col("year").alias("_own"), F.explode(F.sequence(F.col("year") - years, F.col("year") + years)).alias("year"))
-    met = near.join(comps, ["cohort", "year"]).withColumn("composite", F.col("year") != F.col("_own"))
-    count = met.groupBy("query_id").agg(F.count_if(~F.col("composite")).alias("_direct"), F.count(F.lit(1)).alias("_all"))
-    wide = (F.col("_direct") < least_direct) & (F.col("_all") >= least)
-    return met.join(count, "query_id").where(~F.col("composite") | wide).drop("_own", "_direct", "_all")
+    ``direct``: query_id, cohort, year. ``comps``: cohort, year and others. Which years a query
+    takes is told from counts by cohort and year, so only comps that are kept meet their queries."""
+    counts = comps.groupBy("cohort", "year").agg(F.count(F.lit(1)).alias("n"))
+    taken = direct.select("query_id", "cohort", "year").join(cohort_counts(direct, counts, least_direct, least, years), ["cohort", "year"])
+    reach = F.when(F.col("wide"), F.sequence(F.col("year") - years, F.col("year") + years)).otherwise(F.array("year"))
+    near = taken.select("query_id", "cohort", F.col("year").alias("_own"), F.explode(reach).alias("year"))
+    return near.join(comps, ["cohort", "year"]).withColumn("composite", F.col("year") != F.col("_own")).drop("_own")
 
 
 #: Points for a full sample, spread and match of bars, of coins that no guide knows and of others; comps of a full sample.

@@ -134,3 +134,21 @@ def test_mint_marks_and_merged_sets(spark):
     comps = spark.createDataFrame([(20, "t", 5.0, "a"), (21, "t", 5.0, "b"), (20, None, 6.0, "c"), (22, "u", 1.0, "d")], "key_id int, title string, price double, note string")
     got = sorted((r["query_id"], r["title"] or "", r["price"], r["key_id"], r["note"]) for r in resolve.merged_comps(found, comps, ["title", "price"]).collect())
     assert got == [(3, "", 6.0, 20, "c"), (3, "t", 5.0, 21, "b")]
+
+
+def test_full_cohorts_stay_apart(spark, monkeypatch):
+    """Queries of a cohort whose own year is full meet none of its sales (their pairs were written out before)."""
+    sales = [(1000 + i, "raw", i, 1.0, 1, NOW, True, "x", 1990 + i % 3) for i in range(300)] + [(5000 + i, "raw", 900 + i, 2.0, 1, NOW, True, "y", 1990) for i in range(6)]
+    queries = [(i, i, "raw", 90, 3, "x", 1991) for i in range(300)] + [(300, 300, "raw", 90, 3, "y", 1991), (301, 301, "proof", 90, 3, "y", 1991)]
+    q, (a, none) = frames(spark, queries, [sales, []])
+    written, plain = {}, cascade.staged
+
+    def counting(df, name):
+        out = plain(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(cascade, "staged", counting)
+    comps, ways = cascade.cascade(q, a, none, none, F.lit(NOW))
+    assert [(r["query_id"], r["route"]) for r in ways.collect()] == [(300, "neighbours")]
+    assert comps.count() == 6 and max(written.values()) <= 306
