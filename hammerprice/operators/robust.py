@@ -72,9 +72,10 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     w = F.when(F.coalesce(F.col(weight), F.lit(0)) == 0, F.lit(1)).otherwise(F.col(weight))
     each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w).alias("w"))
     group = Window.partitionBy(*keys)
-    running = F.sum("w").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    # Doubled before they are summed: a product of the widest decimals would lose digits.
+    running = F.sum(F.col("w") + F.col("w")).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("running", running).withColumn("total", F.sum("w").over(group))
-    reached = F.col("running") * 2 >= F.col("total")
+    reached = F.col("running") >= F.col("total")
     return each.groupBy(*keys).agg(F.min(F.when(reached, F.col(value))).alias("weighted_median"))
 
 
@@ -94,8 +95,8 @@ def fair_values(df: DataFrame, keys: list[str], value: str, weight: Column) -> D
     w, v = Window.partitionBy(*keys), F.col(value)
     out = with_spread(value_counts(df, keys, value, w=weight), keys, value).withColumn("kept", inside_fence(value))
     own = F.when(F.col("kept"), F.col("w"))
-    out = out.withColumn("_running", F.sum(own).over(w.orderBy(value))).withColumn("_total", F.sum(own).over(w))
-    fair = F.min(F.when(F.col("kept") & (F.col("_running") * 2 >= F.col("_total")), v))
+    out = out.withColumn("_running", F.sum(own + own).over(w.orderBy(value))).withColumn("_total", F.sum(own).over(w))
+    fair = F.min(F.when(F.col("kept") & (F.col("_running") >= F.col("_total")), v))
     rows = F.coalesce(F.sum(F.when(F.col("kept"), F.col("c"))), F.lit(0))
     inside = F.when(F.col("kept"), v)
     return out.groupBy(*keys).agg(fair.alias("fair_value"), rows.alias("n"), F.min(inside).alias("low"), F.max(inside).alias("high"), (F.sum("c") - rows).alias("removed"))

@@ -37,7 +37,7 @@ def sold_prices(comps: DataFrame, as_of: Column, half_life: Column | float) -> D
     return value.join(rows.groupBy("query_id").agg(*[a.alias(k) for k, a in aggs.items()]), "query_id")
 
 
-def fair_value(df: DataFrame) -> DataFrame:
+def fair_value(df: DataFrame, doubt: bool = True) -> DataFrame:
     """``df`` with ``fmv`` (money), ``method``, ``label``, ``range_low`` and ``range_high``.
 
     Columns: sold_median, n, sd, sold_share; spot (melt value of the whole item), wholesale,
@@ -45,11 +45,12 @@ def fair_value(df: DataFrame) -> DataFrame:
     2, null: 1). Bullion that is no proof is spot plus the premium that sales show (-5 % to
     100 %, to 40 % above 500), drawn a little to the wholesale price; without sales it leans
     on wholesale (if that is 80 % of spot) or is spot. All else is a blend of the sources
-    that are there. Without any source everything is null and the label is metal-only."""
+    that are there. Without any source everything is null and the label is metal-only.
+    With ``doubt`` the wholesale price of bullion that is absurdly below spot or sales is not used."""
     sold, spot, n = F.col("sold_median"), F.col("spot"), F.coalesce("n", F.lit(0))
     by_spot = F.coalesce(F.col("bullion") & ~F.col("proof") & (spot > 0), F.lit(False))
     absurd = F.col("bullion") & (F.coalesce(F.col("wholesale") < spot * 0.01, F.lit(False)) | F.coalesce(F.col("wholesale") < sold * 0.05, F.lit(False)))
-    wholesale = F.when(~absurd, F.col("wholesale"))
+    wholesale = F.when(~absurd, F.col("wholesale")) if doubt else F.col("wholesale")
     most = F.when(spot > 500, 0.4).otherwise(1.0)
     premium = spot * (1 + F.greatest(F.lit(-0.05), F.least((sold - spot) / spot, most)))
     share = reduce(lambda rest, step: F.when(n >= step[0], step[1]).otherwise(rest), reversed(WHOLESALE), F.lit(0.0))

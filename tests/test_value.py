@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from hammerprice.operators import audit, holdings, value
+from hammerprice.operators import audit, holdings, robust, value
 
 COLUMNS = "query_id int, sold_median double, n long, sd double, sold_share double, spot double, wholesale double, guide double, auction double, bullion boolean, proof boolean, certified boolean, tier string, appeal double"
 
@@ -70,3 +70,25 @@ def test_removal_takes_the_first_rule(spark):
     rules = audit.listing_rules(F.col("title"), {"score": F.col("score"), "metal": F.lit("silver"), "year": F.lit(1921)})
     got = [r["removed_by"] for r in audit.removed_by(df, rules).collect()]
     assert got == ["lowRelevance", "lowRelevance", None, "denied", "yearMismatch"]
+
+
+def test_medians_keep_all_digits(spark):
+    """Half of the weight is missed by less than the seven digits that a product of wide decimals had."""
+    df = spark.sql("SELECT * FROM VALUES ('k', 1.0D, 0.123456712BD), ('k', 2.0D, 0.123456730BD) AS t(k, v, w)").withColumn("w", F.col("w").cast("decimal(18,9)"))
+    assert robust.weighted_median(df, ["k"], "v", "w").first()["weighted_median"] == 2.0
+    assert robust.fair_values(df, ["k"], "v", F.col("w")).first()["fair_value"] == 2.0
+
+
+def test_valuation_far_above_wholesale(spark, tmp_path):
+    """Sales over 28 times the retail price of a bullion part, as its SQL has them."""
+    import duckdb
+
+    from hammerprice.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT 3::BIGINT AS p_partkey, 'hot bolt' AS p_name, 'Brand#1' AS p_brand, 'PROMO' AS p_type, 7 AS p_size, 900.0::DOUBLE AS p_retailprice")
+    con.execute("CREATE TABLE lineitem AS SELECT i::BIGINT AS l_orderkey, 3::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1 AS l_linenumber, 1.0::DOUBLE AS l_quantity, 90000.0::DOUBLE + i AS l_extendedprice, TIMESTAMP '1999-01-01' AS l_shipdate FROM range(5) r(i)")
+    for name in ("part", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = queries()["valuation_by_part"](spark, str(tmp_path)).first()
+    assert (got["part_key"], got["fmv"], got["method"]) == con.execute(oracle_sql()["valuation_by_part"]).fetchone()
