@@ -1,7 +1,9 @@
 """Rules that hold from one value to another, met by equality.
 
-A rule is posted in each bucket of values that it covers; the rules of a bucket are one
-sorted row, so a row of the large side meets one row at most and keeps its number.
+Values are cut into blocks, and those into smaller ones. A rule is posted in the largest blocks that
+it covers, a block keeps the one rule that goes before its others, and each distinct value of the
+large side looks into the few blocks that hold it. No list of rules and no pair of a rule and a
+row is made.
 """
 
 from __future__ import annotations
@@ -17,19 +19,36 @@ def interval_join(rows: DataFrame, rules: DataFrame, keys: list[str], at: str, o
     open), ``priority`` and the outputs. Of rules that overlap the lowest priority holds, of
     equal ones the narrower, then the later ``low``, then the first output. Keys are whole rows' names of a group
     of rules (none: one group). A rule whose low is above its high holds nowhere. Open ends
-    reach as far as the rows do: two numbers are read from them."""
+    reach as far as the rows do: two numbers are read from them.
+    A block is ``width`` (two at least) times as large as those that it is cut into."""
     ends = rows.agg(F.min(at), F.max(at)).first()
     low, high = (0, -1) if ends[0] is None else ends
     first = F.greatest(F.coalesce("low", F.lit(low)), F.lit(low)).cast("bigint")
     last = F.least(F.coalesce("high", F.lit(high)), F.lit(high)).cast("bigint")
     span = F.coalesce(F.col("high") - F.col("low"), F.lit((1 << 63) - 1)).cast("bigint")
     cut = rules.select(*keys, "priority", *outputs, first.alias("_low"), last.alias("_high"), span.alias("_span")).where("_low <= _high")
-    posted = cut.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
-    rule = F.struct("priority", "_span", (-F.col("_low")).alias("_later"), *outputs, "_low", "_high")
-    shelf = posted.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
-    met = rows.withColumn("_bucket", F.floor(F.col(at) / width)).join(shelf, [*keys, "_bucket"], "left")
-    own = F.get(F.filter("_rules", lambda r: F.col(at).between(r["_low"], r["_high"])), F.lit(0))
-    return met.withColumn("_rule", own).select(*rows.columns, *[F.col(f"_rule.{o}").alias(o) for o in outputs])
+    sizes, base = [1], max(2, width)
+    while sizes[-1] <= high - low:
+        sizes.append(sizes[-1] * base)
+
+    def blocks(n: int, begin: str, end: str) -> str:
+        return f"transform(CASE WHEN {begin} < {end} THEN sequence({begin}, {end} - 1) ELSE array() END, x -> struct({n} AS n, x AS block))"
+
+    cut = cut.withColumns({"_start": F.col("_low") - low, "_stop": F.col("_high") - low + 1})
+    posts = []
+    for n, size in enumerate(sizes):
+        # Whole blocks of this size inside the rule, without those that a larger block inside it holds.
+        a, b, wide = f"(_start + {size - 1}) div {size}", f"_stop div {size}", size * base
+        c, d = f"(_start + {wide - 1}) div {wide} * {base}", f"_stop div {wide} * {base}"
+        posts.append(F.expr(f"CASE WHEN {c} < {d} THEN concat({blocks(n, a, c)}, {blocks(n, d, b)}) ELSE {blocks(n, a, b)} END"))
+    rule = F.struct("priority", "_span", (-F.col("_low")).alias("_later"), *outputs)
+    posted = cut.withColumn("_post", F.explode(F.concat(*posts)))
+    shelf = posted.groupBy(*keys, F.col("_post.n").alias("_n"), F.col("_post.block").alias("_block")).agg(F.min(rule).alias("_rule"))
+    held = F.array(*[F.struct(F.lit(n).alias("_n"), F.expr(f"_point div {size}").alias("_block")) for n, size in enumerate(sizes)])
+    asked = rows.select(*keys, at).where(F.col(at).isNotNull()).distinct().withColumn("_point", F.col(at).cast("bigint") - low).select(*keys, at, F.explode(held).alias("_at"))
+    met = asked.select(*keys, at, "_at._n", "_at._block").join(shelf, [*keys, "_n", "_block"])
+    own = met.groupBy(*keys, at).agg(F.min("_rule").alias("_rule"))
+    return rows.join(own, [*keys, at], "left").select(*rows.columns, *[F.col(f"_rule.{o}").alias(o) for o in outputs])
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, keys: list[str], outputs: list[str]) -> DataFrame:

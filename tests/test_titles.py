@@ -103,6 +103,17 @@ def test_interval_join(spark, width):
     assert intervals.interval_join(df.limit(0), dim, ["k"], "v", ["rule"]).collect() == []
 
 
+def test_many_rules_are_no_lists(spark):
+    """4,000 rules over the same values: each block keeps one, and no list of them is made (which grew with the square)."""
+    df = spark.range(2000).selectExpr("id", "'a' AS k", "id % 55 AS v")
+    dim = spark.range(4000).selectExpr("'a' AS k", "id % 50 AS low", "id % 50 + id % 23 AS high", "id % 3 AS priority", "concat('r', id) AS rule")
+    out = intervals.interval_join(df, dim, ["k"], "v", ["rule"])
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rules = [(i % 3, i % 23, -(i % 50), f"r{i}", i % 50, i % 50 + i % 23) for i in range(4000)]
+    best = {v: min((r for r in rules if r[4] <= v <= r[5]), default=(None,) * 4)[3] for v in range(55)}
+    assert {(r["v"], r["rule"]) for r in out.select("v", "rule").distinct().collect()} == set(best.items())
+
+
 def test_half_dollars(spark):
     df = spark.createDataFrame([(y,) for y in (1793, 1794, 1807, 1839, 1964, 1970, 1971, 1976, 2026, 2101, None)], "y int")
     got = {r["y"]: (r["design"], r["composition"], r["suffix"]) for r in intervals.half_dollars(df, "y").collect()}
