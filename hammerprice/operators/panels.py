@@ -20,6 +20,8 @@ ANIMALS = r"\b(rat|ox|tiger|rabbit|dragon|snake|horse|goat|monkey|rooster|dog|pi
 LUNAR_STARTS = {"I": 1996, "II": 2008, "III": 2020}
 #: How fractions of an ounce are written in a search.
 FRACTIONS = {0.5: "1/2", 0.25: "1/4", 0.1: "1/10", 0.05: "1/20"}
+#: Fixed value: parts that the listings of a series are dealt into.
+PARTS = 64
 #: Offers at a fixed price.
 FIXED_PRICE = r"(?i)fixed|buyitnow|bin"
 
@@ -87,7 +89,10 @@ def kept(listings: DataFrame, as_of: Column, days: int) -> DataFrame:
     left out, bars have no year. What a series says is found once for each series."""
     s = F.col("series")
     of_series = listings.select("series").distinct().withColumns({"mode": mode(s), "_start": lunar_start(s), "_first": classes.first_year(s)})
-    rows = listings.drop("mode", "_start", "_first").join(of_series, "series").withColumns({"year": F.coalesce(text.year(F.col("title")), F.lit(0)), "sold": F.coalesce("sold", F.lit(False))})
+    # Few series have most rows, so each is dealt into parts: else one task would read all listings of a series.
+    of_series = of_series.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("title", "url"), F.lit(PARTS)).cast("int")
+    rows = listings.drop("mode", "_start", "_first").withColumn("_part", part).join(of_series, ["series", "_part"]).withColumns({"year": F.coalesce(text.year(F.col("title")), F.lit(0)), "sold": F.coalesce("sold", F.lit(False))})
     grade_mode = F.col("mode") == "grade"
     early = F.coalesce((F.col("year") > 0) & (F.col("year") < F.col("_first")), F.lit(False))
     good = F.when(F.col("sold"), F.col("at").between(F.date_sub(as_of, days).cast("timestamp"), as_of)).otherwise(F.col("listing_type").isNull() | F.col("listing_type").rlike(FIXED_PRICE))
