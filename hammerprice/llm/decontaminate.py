@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, utf8, written
+from .shared import let_go, small, utf8, written
 
 #: Test items are met in blocks of about so many bytes. A block is broadcast for a pass over the
 #: documents and dropped after it, so that no more than one is held anywhere.
@@ -184,6 +184,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
         matches of those only that have some."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             block = sent.value
             get = block.ids.get
             for batch in small(batches, 1):
@@ -237,6 +238,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFr
 
     def clean(sent: Broadcast) -> Column:
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            let_go()
             for series in texts:
                 batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
                 yield pd.Series(np.concatenate([np.zeros(0, bool), *(kept(part) for part in small(iter([batch]), 0))]))

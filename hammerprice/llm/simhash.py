@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _BASE, mixed
-from .shared import components, small, utf8, written
+from .shared import components, let_go, small, utf8, written
 
 #: A posting list of more fingerprints is met part by part.
 LIST_LIMIT = 20_000
@@ -225,6 +225,7 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id``, ``node`` (the set of shingles) and its fingerprint, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in small(batches, 1):
             sets = [shingles(t, width) for t in utf8(batch.column(1))]
             fps = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, LANES).view(np.int64)

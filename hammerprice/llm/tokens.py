@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .shared import held
+
 #: Entries of one generation of a memo; two generations are kept.
 MEMO = 400_000
 #: Characters with which a text goes to the library whole: white space but blank and
@@ -100,11 +102,6 @@ class Encoder:
         return b"".join(out[1:])
 
 
-_OPEN: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file; a Python worker opens each one once."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    """The encoder of a vocabulary file; a Python worker opens it once and keeps it while it is in use."""
+    return held(("encoder", path), lambda: Encoder(path))

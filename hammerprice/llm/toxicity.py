@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import utf8
+from .shared import held, small, utf8
 
 #: Words of a window, words from one window to the next (windows overlap, so that no passage
 #: falls on an edge), and bytes of the shortest match that counts.
@@ -159,14 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_r
     return model
 
 
-_OPEN: dict[bytes, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    if model.toxic not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model.toxic] = Scorer(model.ordinary, model.toxic)
-    return _OPEN[model.toxic]
+    return held(("scorer", model.ordinary, model.toxic), lambda: Scorer(model.ordinary, model.toxic))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +172,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, probability = _scorer(sent.value), sent.value.probability
-        for batch in batches:
+        for batch in small(batches, 1):
             found = [scorer.saved(t) for t in utf8(batch.column(1))]
             score = [probability[min(n, TOP)] for n, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int64())], ["doc_id", "score", "saved", "window"])
