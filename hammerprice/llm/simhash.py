@@ -189,7 +189,7 @@ PAIRS = [(8 * g + i, 8 * g + j) for g in range(LANES) for i, j in combinations(r
 WIDE_BITS = 36
 #: In lists up to this size all pairs are compared at once.
 SHORT = 32
-#: A longer list gives all its pairs unless they are more than so many a member.
+#: In a longer list all pairs are looked at unless more than so many a member are near.
 DENSE = 16
 #: Up to so many ids of texts to compare are sent to all tasks; more meet by a shuffle.
 SENT = 1 << 20
@@ -267,29 +267,23 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x[..., 0] ^ y[..., 0]) + np.bitwise_count(x[..., 1] ^ y[..., 1])
 
 
-def wide_forest(fps: np.ndarray, bits: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """The shortest links (places in ``fps``) that join its rows as all links of at most
-    ``bits`` bits do, and the tree of each row."""
-    n = len(fps)
-    rest, source, tree = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    near = np.full(n, 255, np.uint8)
-    links, at, m = [], 0, n
-    while True:
-        k = int(near[:m].argmin())
-        at = int(rest[k])
-        if near[k] <= bits:
-            links.append((int(source[k]), at))
-            tree[at] = tree[source[k]]
-        else:
-            tree[at] = at
-        m -= 1
-        rest[k], near[k], source[k] = rest[m], near[m], source[m]
-        if not m:
-            return links, tree
-        d = _apart(fps[rest[:m]], fps[at])
-        less = d < near[:m]
-        near[:m][less] = d[less]
-        source[:m][less] = at
+def wide_forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in ``fps``) that join its rows as all links of at most ``bits`` bits do,
+    breadth first as in ``forest``."""
+    sources, found, frontier, rest = [], [], [], np.arange(len(fps))
+    while rest.size:
+        if not frontier:
+            frontier.append(int(rest[0]))
+            rest = rest[1:]
+        at = frontier.pop()
+        near = _apart(fps[rest], fps[at]) <= bits
+        if near.any():
+            sources.append(np.full(int(near.sum()), at))
+            found.append(rest[near])
+            frontier += found[-1].tolist()
+            rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *sources]), np.concatenate([none, *found])
 
 
 def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -303,14 +297,11 @@ def _near_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[
             yield i, i + d
 
 
-def _tiles(fps: np.ndarray, bits: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of at most ``bits`` differing bits (and different ``apart``), tile by tile."""
+def _tiles(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of at most ``bits`` differing bits, tile by tile."""
     step = max(1, (1 << 20) // len(fps))
     for at in range(0, len(fps), step):
-        near = _apart(fps[at : at + step, None], fps[None, at:]) <= bits
-        if apart is not None:
-            near &= apart[at : at + step, None] != apart[None, at:]
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(_apart(fps[at : at + step, None], fps[None, at:]) <= bits)
         i, j = i[i < j] + at, j[i < j] + at
         yield i, j
 
@@ -334,68 +325,136 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(keys)])))
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links ``a``, ``b`` and the smallest that it is joined to, itself left out:
+    one link less than nodes, whatever the number of links."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    hub = np.arange(len(nodes))
+    while len(a) and (hub[x] != hub[y]).any():
+        low, u, v = np.minimum(hub[x], hub[y]), hub[x], hub[y]
+        np.minimum.at(hub, u, low)
+        np.minimum.at(hub, v, low)
+        while (hub != hub[hub]).any():
+            hub = hub[hub]
+    return nodes[hub != np.arange(len(nodes))], nodes[hub[hub != np.arange(len(nodes))]]
+
+
 def _wide_linked(postings: DataFrame, bits: int, limit: int | None) -> DataFrame:
-    """kind 0: nodes ``a``, ``b`` to compare. kind 1: a node ``a`` of a dense list's tree
-    ``key``, of whose pairs only the shortest were given. Others: the members ``a`` of lists over
-    ``limit``, under ``key``; kind is the number of parts to deal them into."""
+    """kind 0: stars ``a``, ``b`` that join nodes as do all pairs of at most ``bits`` bits in a task's
+    lists. Others: the members ``a`` of lists over ``limit``, under ``key``; kind is the number
+    of parts to deal them into."""
 
     def rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         columns = [np.full(len(a), kind, np.int32), key, a, b, *(np.ascontiguousarray(fps[:, k]).view(np.int64) for k in (0, 1))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a", "b", "f", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros((2, 0), np.int64)
         for keys, nodes, f, g in _lists(batches):
             fps = np.stack([f, g], axis=1).view(np.uint64)
             lo, size = _bounds(keys)
             short = np.repeat((size <= SHORT) & (size > 1), size)
-            k, own = nodes[short], fps[short]
-            for i, j in _near_pairs(keys[short], own, bits):
-                yield rows(0, keys[short][i], k[i], k[j], np.zeros((len(i), 2), np.uint64))
+            k = nodes[short]
+            found = [(k[i], k[j]) for i, j in _near_pairs(keys[short], fps[short], bits)]
             for at, n in zip(lo[size > SHORT].tolist(), size[size > SHORT].tolist()):
                 key, node, own = keys[at : at + n], nodes[at : at + n], fps[at : at + n]
                 if limit and n > limit:
                     yield rows(max(2, -(-n // max(1, limit // 2))), key, node, node, own)
                     continue
-                found, total = [], 0
+                some, total = [], 0
                 for i, j in _tiles(own, bits):
-                    found.append((i, j))
+                    some.append((node[i], node[j]))
                     total += len(i)
                     if total > DENSE * n:
+                        i, j = wide_forest(own, bits)
+                        some = [(node[i], node[j])]
                         break
-                if total <= DENSE * n:
-                    i, j = (np.concatenate(x) for x in zip(*found))
-                    yield rows(0, key[i], node[i], node[j], np.zeros((len(i), 2), np.uint64))
-                    continue
-                links, tree = wide_forest(own, bits)
-                i, j = np.array(links, np.int64).reshape(-1, 2).T
-                yield rows(0, key[i], node[i], node[j], np.zeros((len(i), 2), np.uint64))
-                some = np.bincount(tree, minlength=n)[tree] > 2  # of two nodes the only pair is given
-                name = mixed(mixed(key[some].view(np.uint64)) ^ node[tree[some]].view(np.uint64)).view(np.int64)
-                yield rows(1, name, node[some], node[some], own[some])
+                found += some
+            a, b = _stars(*(np.concatenate(x) for x in zip((a, b), *found)))
+        for i in range(0, len(a), 1 << 14):
+            own = slice(i, i + (1 << 14))
+            yield rows(0, np.zeros(len(a[own]), np.int64), a[own], b[own], np.zeros((len(a[own]), 2), np.uint64))
 
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, key bigint, a bigint, b bigint, f bigint, g bigint")
 
 
-def _across(trees: DataFrame, bits: int) -> DataFrame:
-    """All pairs ``a``, ``b`` of at most ``bits`` bits within trees (key, node, f, g, component) whose components differ."""
+#: So many links are joined into stars in one task.
+SPANNED = 1 << 20
+
+
+def _spanned(links: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that join the same nodes as ``links`` (a written table). The lists have a node's
+    links in many tasks; few tasks leave it few of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, f, g, component in _lists(batches):
-            fps = np.stack([f, g], axis=1).view(np.uint64)
+        a, b = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            a, b = _stars(np.concatenate([a, new[0]]), np.concatenate([b, new[1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return links.coalesce(max(1, -(-links.count() // SPANNED))).mapInArrow(run, "a bigint, b bigint")
+
+
+#: A block of more texts, or with more shingles, is met part by part.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1 << 12, 1 << 22
+
+
+def set_forest(fps: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (places) that join sets as do all pairs of a Jaccard similarity of ``similarity`` or more of
+    which two lanes side by side have at most ``bits`` differing bits. Breadth first, against what is
+    not yet reached only."""
+    size = np.array([len(x) for x in sets])
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    own = [place[i:j] for i, j in zip((ends - size).tolist(), ends.tolist())]
+    mark = np.zeros(len(words), bool)
+    links, frontier, rest = [], [], np.arange(len(sets))
+    while rest.size:
+        if not frontier:
+            frontier.append(int(rest[0]))
+            rest = rest[1:]
+        at = frontier.pop()
+        lanes = np.bitwise_count(fps[rest] ^ fps[at])
+        near = (lanes + np.roll(lanes, -1, axis=1)).min(axis=1) <= bits
+        near &= np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at])
+        some = np.flatnonzero(near)
+        if not some.size:
+            continue
+        mark[own[at]] = True
+        shared = np.array([np.count_nonzero(mark[own[k]]) for k in rest[some].tolist()])
+        mark[own[at]] = False
+        some = some[shared >= similarity * (size[rest[some]] + size[at] - shared)]
+        found = rest[some].tolist()
+        links += [(at, x) for x in found]
+        frontier += found
+        rest = np.delete(rest, some)
+    return links
+
+
+def _set_linked(blocks: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The links ``a``, ``b`` of ``set_forest`` in each block (key, node, own and the lanes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, own, *lanes in _lists(batches):
+            fps = np.stack(lanes, axis=1).view(np.uint64)
+            a, b = [], []
             for at, n in zip(*(x.tolist() for x in _bounds(keys))):
-                own = slice(at, at + n)
-                for i, j in _tiles(fps[own], bits, component[own]):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][i]), pa.array(nodes[own][j])], ["a", "b"])
+                links = np.array(set_forest(fps[at : at + n], list(own[at : at + n]), bits, similarity), np.int64).reshape(-1, 2) + at
+                a.append(nodes[links[:, 0]])
+                b.append(nodes[links[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
-    return trees.select("key", "node", "f", "g", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return blocks.select("key", "node", "own", *_WIDE).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of the pairs ``a``, ``b`` of nodes those whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
-    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bits: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or
+    more, found within blocks (node, component): a text comes to one block only, with its set."""
     none = F.lit((1 << 63) - 1)
-    wanted = written(classes.join(nodes, "node", "left_semi").select(F.coalesce("least", none).alias("id")).distinct(), "wanted")
+    members = written(classes.join(blocks, "node").select("node", F.coalesce("least", none).alias("id"), F.col("component").alias("key"), *_WIDE), "members")
+    wanted = written(members.select("id").distinct(), "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
@@ -406,31 +465,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in found], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "own"])
 
     own = written(texts.select("text").mapInArrow(sets, "node bigint, own array<bigint>"), "shingles").dropDuplicates(["node"])
-    first = written(pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a"), "pairs")
-    both = first.join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("all"))
-    return written(both.where(F.col("shared") >= F.lit(similarity) * (F.col("all") - F.col("shared"))).select("a", "b"), "links")
+    met = written(members.drop("id").join(own, "node"), "blocks")
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("own")).alias("shingles"))
+    sizes = sizes.where((F.col("texts") > BLOCK_TEXTS) | (F.col("shingles") > BLOCK_SHINGLES) & (F.col("texts") > 2))
+    parts = F.ceil(F.greatest(F.col("texts") / max(1, BLOCK_TEXTS // 2), F.least("texts", F.col("shingles") / max(1, BLOCK_SHINGLES // 2))))
+    large = written(sizes.select("key", F.greatest(parts, F.lit(2)).cast("bigint").alias("parts")), "large")
+    found = written(_set_linked(met.join(large, "key", "left_anti"), bits, similarity), "links")
+    if large.isEmpty():
+        return found
+    dealt = met.join(large, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where("part != other")
+    dealt = dealt.withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return found.union(written(_set_linked(dealt, bits, similarity), "links"))
 
 
 def similar(docs: DataFrame, width: int = 5, bits: int = WIDE_BITS, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row of ``docs`` (doc_id, text): texts whose sets of
-    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more link. Pairs
-    are found by wide fingerprints of at most ``bits`` of 128 differing bits and then decided by
-    their sets (of 64-bit hashes). Texts without words link with each other; ids as in ``near_duplicates``."""
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more link. Texts
+    joined by wide fingerprints of at most ``bits`` of 128 differing bits are a block, in which sets (of
+    64-bit hashes) decide; pairs are met in tasks and never handed on. Texts without words link with each other; ids as in ``near_duplicates``."""
     fps = written(wide_fingerprints(docs, width), "fingerprints")
     classes = written(fps.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in _WIDE)), "classes")
     found = written(_wide_linked(_wide_post(classes), bits, LIST_LIMIT), "links")
-    crowded = found.where("kind > 1").select("key", F.col("kind").alias("parts"), F.col("a").alias("node"), "f", "g")
-    found = found.where("kind < 2").union(written(_wide_linked(_meetings(crowded), bits, None), "links"))
-    edges = _verified(found.where("kind = 0"), docs, classes, width, similarity)
-    groups = components(edges)
-    # Trees of dense lists that the links found have not made one: all their other pairs are compared, too.
-    trees = found.where("kind = 1").select("key", F.col("a").alias("node"), "f", "g").join(groups, "node", "left")
-    trees = written(trees.withColumn("component", F.coalesce("component", "node")), "trees")
-    split = trees.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    split = written(trees.join(split, "key", "left_semi"), "trees")
-    if not split.isEmpty():
-        groups = components(edges.union(_verified(_across(split, bits), docs, classes, width, similarity)))
+    crowded = found.where("kind > 0").select("key", F.col("kind").alias("parts"), F.col("a").alias("node"), "f", "g")
+    found = found.where("kind = 0").union(written(_wide_linked(_meetings(crowded), bits, None), "links")).select("a", "b")
+    # All that may be similar lies in one block; within it sets are compared, and only stars leave it.
+    groups = components(_verified(components(_spanned(found)), docs, classes, width, bits, similarity))
     named = classes.select("node", "least").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = written(named.join(written(least, "least"), "group").select("node", "component_id"), "classes")

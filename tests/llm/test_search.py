@@ -60,3 +60,35 @@ def test_recall_of_similar_texts(spark, shared, only):
     found = {d["doc_id"]: d["component_id"] for d in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(c in (d, d - 1) for d, c in found.items())
     assert sum(found[2 * k + 1] == 2 * k for k in range(500)) >= 450
+
+
+def family(size, words=200, changed=2):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(size):
+        x = [f"w{k}" for k in range(words)]
+        for at in r.choice(words, changed, replace=False):
+            x[at] = f"new{i}"
+        rows.append((i, " ".join(x)))
+    return rows
+
+
+def test_a_group_of_similar_texts_gives_no_pairs(spark, monkeypatch):
+    """What is handed on of a group grows with its texts, not with their pairs."""
+    counts, real = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: counts.append(links.count()) or real(links))
+    rows = family(150)
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {d["component_id"] for d in found} == {0} and len(found) == len(rows)
+    assert counts and max(counts) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("texts, shingles", [(10, 1 << 22), (1 << 12, 1_000)])
+def test_large_blocks_lose_no_text(spark, monkeypatch, texts, shingles):
+    rows = family(40) + [(100 + i, t.replace("w", "v")) for i, t in family(30, changed=9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, simhash.similar(docs).collect()))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    assert sorted(map(tuple, simhash.similar(docs).collect())) == want
+    assert len({c for d, c in want if d < 100}) == 1 and len({c for d, c in want if d >= 100}) > 5
