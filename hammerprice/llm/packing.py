@@ -38,11 +38,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 33
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode_all, end = encoder(tokenizer).encode_all, np.array([end_id], "<u4").tobytes()
         for batch in small(batches, 1):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1))):
+                data = ids + end
                 n = len(data) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:])):

@@ -12,8 +12,11 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import held
 
@@ -25,6 +28,8 @@ MEMO = 400_000
 _CARE = re.compile("[^\n\x20-\x7e¡-ɏ]|[²³¹¼-¾]|<\\|")
 #: White space that isn't a single blank or line feed between two words.
 _LOOSE = re.compile("[ \n][ \n]|^[ \n]|[ \n]\\Z").search
+#: Either, for a column of texts at once.
+_UNFIT = _CARE.pattern + r"|[ \n][ \n]|^[ \n]|[ \n]\z"
 _ENDS = "'s|'t|'re|'ve|'m|'ll|'d|"
 
 
@@ -71,7 +76,18 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.by_chunk = _Memo(self._chunk)
-        self.by_word = _Memo(lambda word: self._chunk(" " + word))  # words after a blank
+        self.by_word = _Memo(self._word)  # words after a blank
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a blank and ``word``; of letters alone or with a point or comma no pieces are looked for."""
+        if not self.drops:
+            if word.isalpha():
+                if word.isascii():
+                    return array("I", [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()  # the blank's letter
+                return self._piece(" " + word)
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self.by_word[word[:-1]] + self.by_chunk[word[-1]]
+        return self._chunk(" " + word)
 
     def _piece(self, piece: str) -> bytes:
         units = piece.encode().decode("latin-1").translate(self.alphabet)
@@ -93,13 +109,28 @@ class Encoder:
             return b"".join([memo[c] for c in text.split()])
         if _LOOSE(text):
             return b"".join([memo[c] for c in self.chunks(text)])
-        after, out = self.by_word, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(memo["\n"])
-            out.append(memo[first])
-            out += [after[w] for w in rest]
-        return b"".join(out[1:])
+        return self._spaced(text)
+
+    def _spaced(self, text: str) -> bytes:
+        """The ids of a text that needs no care and whose words have one blank or line feed between them."""
+        first, *lines = text.split("\n")
+        out = self._line(first)
+        for line in lines:
+            out.append(self.by_chunk["\n"])
+            out += self._line(line)
+        return b"".join(out)
+
+    def _line(self, line: str) -> list[bytes]:
+        first, _, rest = line.partition(" ")
+        return [self.by_chunk[first], *map(self.by_word.__getitem__, rest.split(" "))] if rest else [self.by_chunk[first]]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text of a column."""
+        if not self.known or self.drops:
+            yield from map(self.encode, texts.to_pylist())
+            return
+        for text, unfit in zip(texts.to_pylist(), pc.match_substring_regex(texts, _UNFIT).to_pylist()):
+            yield self.encode(text) if unfit or not text else self._spaced(text)
 
 
 def encoder(path: str) -> Encoder:
