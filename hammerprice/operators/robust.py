@@ -79,6 +79,24 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return each.groupBy(*keys).agg(F.min(F.when(reached, F.col(value))).alias("weighted_median"))
 
 
+def binned_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys``, ``median`` (interpolated, exact) of groups that are too large for one task each.
+
+    Values are counted by bins, which are summed before the shuffle; then only the values of the bins that
+    hold the middle are ranked: one or two a group, which all tasks get. ``df`` is read twice."""
+    v, of = F.col(value), Window.partitionBy(*keys)
+    rows = df.where(v.isNotNull()).withColumn("_bin", F.floor(F.signum(v) * F.sqrt(F.abs(v))))
+    bins = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("c"))
+    bins = bins.withColumn("n", F.sum("c").over(of)).withColumn("_upto", F.sum("c").over(of.orderBy("_bin")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    bins = bins.withColumn("_before", F.col("_upto") - F.col("c")).where((F.col("_upto") > low) & (F.col("_before") <= high)).drop("c", "_upto")
+    each = rows.join(F.broadcast(bins), [*keys, "_bin"]).groupBy(*keys, "n", "_bin", "_before", value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.col("_before") + F.sum("c").over(Window.partitionBy(*keys, "_bin").orderBy(value))
+    each = each.withColumn("_upto", upto)
+    below, above = (F.min(F.when(F.col("_upto") > x, v)) for x in (low, high))
+    return each.groupBy(*keys).agg((below * 0.5 + above * 0.5).alias("median"))
+
+
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, median, p25, p75, min, max, stddev (0 for one row) and mad, as money."""
     w, v, c = Window.partitionBy(*keys), F.col(value), F.col("c")

@@ -44,18 +44,20 @@ CASE WHEN k % 97 <> 5 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, floor(CASE
 def price_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts priced as one batch: stored sales, neighbouring years, a second source, asking prices."""
     part = table(spark, sf_dir, "part")
-    line = table(spark, sf_dir, "lineitem").join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     shipped = F.col("l_shipdate").cast("timestamp")
     price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
-    comps = line.select(
+    line = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("dataset"), F.expr(_POOL).alias("pool"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"), price.alias("price"), (F.expr("CAST(l_discount * 100 AS INT)") * 10).alias("score"),
-        F.when(F.col("l_linenumber") < 7, shipped).alias("sold_at"), F.year(shipped).alias("year"), F.col("p_brand").alias("cohort"), (F.col("l_discount") < 0.09).alias("kept"), "l_returnflag",
+        F.when(F.col("l_linenumber") < 7, shipped).alias("sold_at"), F.year(shipped).alias("year"), (F.col("l_discount") < 0.09).alias("kept"), "l_returnflag",
     )
+    # A part's own comps are of the pool that follows from its key; neighbours are of any, and their cohort is their part's.
+    comps = line.where(F.col("pool") == F.expr(_WANTED.replace("p_partkey", "dataset")))
+    around = line.where("l_returnflag = 'R'").join(part.select(F.col("p_partkey").alias("dataset"), F.col("p_brand").alias("cohort")), "dataset")
     k = F.col("p_partkey")
     kind = F.when(F.col("p_type") == "SMALL", "bar").when(F.col("p_type") == "PROMO", "uncovered").otherwise("covered")
     least = F.when(F.col("p_size") % 4 == 0, 1).when(F.col("p_size") % 4 == 1, 3).otherwise(8)
     queries = part.select(k.alias("query_id"), k.alias("dataset"), F.expr(_WANTED).alias("pool"), F.when(k % 2 == 0, 120).otherwise(180).alias("asked"), least.alias("least"), F.col("p_brand").alias("cohort"), F.when(F.col("p_size") % 5 == 0, 1992 + F.col("p_size") % 7).alias("year"))
-    found, ways = cascade.cascade(queries, comps.where("l_returnflag = 'R'"), comps.where("l_returnflag = 'A'"), comps.where("l_returnflag NOT IN ('R', 'A')"), as_of())
+    found, ways = cascade.summed(queries, comps.where("l_returnflag = 'R'"), comps.where("l_returnflag = 'A'"), comps.where("coalesce(l_returnflag NOT IN ('R', 'A'), true)"), as_of(), around)
     none = F.lit(None).cast("double")
     guide = F.when(F.col("p_type") != "PROMO", F.floor(F.col("p_retailprice") * 60 + 0.5) / 100)
     items = part.select(

@@ -2,11 +2,14 @@
 
 import datetime as dt
 import random
+import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hammerprice.operators import cascade, pilot, ranks, resolve
+from hammerprice.operators import cascade, pilot, ranks, resolve, robust
+from hammerprice.queries import oracle_sql, queries
 from hammerprice.sources import stores
 
 NOW = dt.datetime(2024, 6, 1)
@@ -154,6 +157,51 @@ def test_full_cohorts_stay_apart(spark, monkeypatch):
     assert comps.count() == 6 and max(written.values()) <= 306
 
 
+def test_neighbours_are_summed_once(spark, tmp_path, monkeypatch):
+    """100 parts of one cohort, year and pool take the same 300 sales: no row for each part and sale, and the SQL's result."""
+    duck = duckdb.connect()
+    duck.execute("""CREATE TABLE part AS SELECT range AS p_partkey, 'coin ' || range AS p_name, 'Brand#1' AS p_brand, 'LARGE' AS p_type, 30 AS p_size, 900.0 + range AS p_retailprice FROM range(300)""")
+    duck.execute("""CREATE TABLE lineitem AS SELECT i AS l_orderkey, i % 100 * 3 + 1 AS l_partkey, 1 AS l_linenumber, 2.0 AS l_quantity, 100.0 + i * i % 777 AS l_extendedprice, i % 8 / 100 AS l_discount, 0.01 AS l_tax, 'R' AS l_returnflag,
+      TIMESTAMP '1995-02-01' + INTERVAL (i * 2) DAY AS l_shipdate FROM range(300) t(i)
+      UNION ALL SELECT 1000 + i, i * 3, 1, 1.0, 50.0 + i, 0.02, 0.07, CASE WHEN i % 2 = 0 THEN 'N' END, TIMESTAMP '2001-01-01' FROM range(20) t(i)""")
+    for name in ("part", "lineitem"):
+        duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    seen, plain = [], cascade.priced
+    monkeypatch.setattr(cascade, "priced", lambda items, found, ways: seen.append(found.count()) or plain(items, found, ways))
+    rows = queries()["price_batch"](spark, str(tmp_path)).collect()
+    assert seen[0] <= 300  # 30,010 before
+    assert sorted(map(tuple, rows)) == sorted(duck.execute(oracle_sql()["price_batch"]).fetchall())
+    assert {r["route"] for r in rows} == {"neighbours", "active", None} and sum(r["route"] == "active" for r in rows) == 20  # half of these have no flag
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_sums_are_those_of_the_comps(spark, seed):
+    asked = [(i, i % 9, "raw" if i % 3 else "proof", (90, 180, 200, 365)[i % 4], (1, 3, 8, 25)[i % 4], "xy"[i % 2], (1988, 1991, None)[i % 3]) for i in range(40)]
+    q, (a, b, c) = frames(spark, asked, [[x for x in listings(seed) if x[0] != 7], [x for x in listings(seed + 10, 60) if x[0] != 7], listings(seed + 20)])
+    comps, ways = cascade.cascade(q, a, b, c, F.lit(NOW))
+    stats, same = cascade.summed(q, a, b, c, F.lit(NOW))
+    groups = {}
+    for r in comps.collect():
+        groups.setdefault(r["query_id"], []).append((r["price"], r["score"], float(r["sold"])))
+    got = {r["query_id"]: r for r in stats.collect()}
+    assert stats.count() == len(groups) and sorted(map(str, same.collect())) == sorted(map(str, ways.collect()))
+    assert {r["route"] for r in ways.collect()} == {"stored", "neighbours", "searched", "active"}
+    for k, rows in groups.items():
+        price, score, sold = zip(*rows)
+        r = got[k]
+        assert (r["n"], r["sold_median"], r["sold_share"]) == (len(rows), statistics.median(price), sold[0])
+        assert [r["sd"], r["_mean"], r["_score"]] == pytest.approx([statistics.stdev(price) if len(rows) > 1 else 0.0, statistics.fmean(price), statistics.fmean(score)])
+
+
+def test_binned_median(spark):
+    r = random.Random(7)
+    groups = {"a": [r.uniform(-50, 5000) for _ in range(301)], "b": [r.uniform(0, 9) for _ in range(300)], "c": [3.25], "d": [1.0, 1000.0], "e": [-2.0, -2.0, 0.0, 0.0], "f": [0.5] * 7 + [4e9]}
+    rows = [(k, v) for k, values in groups.items() for v in [*values, None]] + [("none", None), (None, 8.0)]
+    r.shuffle(rows)
+    got = {x["k"]: x["median"] for x in robust.binned_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert {k: v for k, v in got.items() if k is not None} == {k: statistics.median(v) for k, v in groups.items()}
+
+
 def test_equal_terms_are_looked_up_once(spark, monkeypatch):
     """300 searches of three terms meet the keys three times, and each has its answer."""
     q = spark.createDataFrame([(i, ["1964 kennedy half", "silver bar cast", None, "1881 morgan dollar"][i % 4]) for i in range(400)], "query_id int, term string")
